@@ -80,7 +80,7 @@ def _unit_rows(vectors: pd.Series) -> np.ndarray:
 def _block_top_k(k: int):
     def score(key, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or rows.empty:
-            return pd.DataFrame({"query_id": [], "name": [], "cosine": []})
+            return pd.DataFrame({"query_id": queries["query_id"][:0], "name": rows["name"][:0].astype(object), "cosine": []})
         rows = rows.sort_values("name", ignore_index=True)
         unit, names = _unit_rows(rows["vec"]), rows["name"].to_numpy()
         wanted, best = _unit_rows(queries["query_vec"]), min(k, len(rows))
@@ -99,7 +99,7 @@ def _block_top_k(k: int):
         return pd.DataFrame(
             {
                 "query_id": queries["query_id"].to_numpy()[np.concatenate(out_query)],
-                "name": names[np.concatenate(out_row)],
+                "name": pd.Series(names[np.concatenate(out_row)], dtype=object),
                 "cosine": np.concatenate(out_score),
             }
         )

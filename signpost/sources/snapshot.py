@@ -27,30 +27,39 @@ def current_version(spark: SparkSession, path: str) -> int:
     return version or 0
 
 
-def committed_notes(spark: SparkSession, path: str) -> set[str]:
+def is_committed(spark: SparkSession, path: str, note: str) -> bool:
+    """Whether a version with this note exists, so a repeated streaming batch can be skipped."""
     commits = _commits(spark, path)
-    return set() if commits is None else {r[0] for r in commits.select("note").filter("note is not null").collect()}
+    return commits is not None and not commits.filter(F.col("note") == note).isEmpty()
 
 
-def write_catalog(catalog: DataFrame, path: str, note: str | None = None) -> int:
-    """Write the whole snapshot as a new version, then commit it; readers see either the old or the new one.
+def write_snapshot(df: DataFrame, path: str, note: str | None = None) -> int:
+    """Write a table as a new version, then commit it; readers see either the old or the new one.
 
-    The version being read is never overwritten, so a job may write a catalog derived from the current one.
+    The version being read is never overwritten, so a job may write what it derives from the current one.
     """
-    spark = catalog.sparkSession
+    spark = df.sparkSession
     version = current_version(spark, path) + 1
-    catalog.select(*S.CATALOG.names).write.mode("overwrite").parquet(f"{path}/versions/{version:012d}")
+    df.write.mode("overwrite").parquet(f"{path}/versions/{version:012d}")
     commit = spark.range(1).select(F.lit(version).cast("long").alias("version"), F.lit(note).cast("string").alias("note"))
     commit.coalesce(1).write.mode("append").parquet(f"{path}/commits")
     return version
 
 
-def read_catalog(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """A committed snapshot, the current one unless asked otherwise; empty before the first commit."""
+def read_snapshot(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
+    """A committed version, the current one unless asked otherwise; None before the first commit."""
     version = version or current_version(spark, path)
-    if version == 0:
-        return spark.createDataFrame([], S.CATALOG)
-    return evolve_schema(spark.read.parquet(f"{path}/versions/{version:012d}"))
+    return spark.read.parquet(f"{path}/versions/{version:012d}") if version else None
+
+
+def write_catalog(catalog: DataFrame, path: str, note: str | None = None) -> int:
+    return write_snapshot(catalog.select(*S.CATALOG.names), path, note)
+
+
+def read_catalog(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The catalog of a committed version, the current one unless asked otherwise; empty before the first commit."""
+    snapshot = read_snapshot(spark, path, version)
+    return spark.createDataFrame([], S.CATALOG) if snapshot is None else evolve_schema(snapshot)
 
 
 DEFAULTS = {
