@@ -61,7 +61,7 @@ class SliceEffect:
             key = (nxt, carried and decision != OK)
             after[key] = after[key] + entries if key in after else entries
         self.first = t if self.first is None else self.first
-        if self.previous is None or self.previous - self.recovery < self.first:
+        if self.previous is None or (self.previous < t and self.previous - self.recovery < self.first):
             # a circuit opened before this slice may find its gate open exactly now
             key = ((None, 0), False) if success else ((t, 1), True)
             entry = [("open", t - self.recovery)]

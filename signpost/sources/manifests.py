@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signpost import schema as S
+from signpost.functions.jsons import strict_json
 from signpost.functions.text import blank_to_null, infer_category
 from signpost.operators.catalog import last_unit_per_source, replace_source
 
@@ -43,7 +44,7 @@ def _tools(v: Column) -> Column:
 
 def parsed(files: DataFrame) -> DataFrame:
     """Files with `manifest`, null for broken JSON. Repeated keys in one object count as broken."""
-    return files.withColumn("manifest", F.try_parse_json("content"))
+    return files.withColumn("manifest", strict_json(F.col("content")))
 
 
 def _usable(tool: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signpost import schema as S
-from signpost.functions.jsons import parse_json_or_default
+from signpost.functions.jsons import parse_json_or_default, strict_json
 from signpost.functions.text import blank_to_null
 
 
@@ -106,9 +106,7 @@ def decode_rows(rows: DataFrame) -> DataFrame:
     def text(name: str) -> F.Column:
         return F.coalesce(blank_to_null(F.col(name)), F.lit(DEFAULTS[name])).alias(name)
 
-    valid_schema = F.when(
-        F.try_parse_json(schema).isNotNull() & ~F.is_variant_null(F.try_parse_json(schema)), schema
-    )
+    valid_schema = F.when(strict_json(schema).isNotNull() & ~F.is_variant_null(strict_json(schema)), schema)
     vector = parse_json_or_default(F.col("embedding"), "array<float>", F.lit(None).cast(S.VECTOR))
     return df.select(
         F.coalesce("name", F.lit("")).alias("name"),

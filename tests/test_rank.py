@@ -176,9 +176,9 @@ def test_vector_search_without_a_match(spark):
 
 
 def test_blocked_search_equals_exact(spark, sf_dir, monkeypatch, tmp_path):
-    monkeypatch.setattr(V, "ROWS_PER_BLOCK", 7)
-    monkeypatch.setattr(V, "QUERIES_PER_BLOCK", 11)
-    monkeypatch.setattr(V, "CELLS_AT_ONCE", 20)
+    monkeypatch.setattr(V, "ROWS_PER_BLOCK", 40)
+    monkeypatch.setattr(V, "QUERIES_PER_BLOCK", 200)
+    monkeypatch.setattr(V, "CELLS_AT_ONCE", 2000)
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     catalog = rows.select(
         F.col("vec_id").cast("string").alias("name"), (F.col("label") % 4).cast("string").alias("category"), "embedding"
