@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from workload import text
+from workload import learning, ranking, text, vectors
 
 
 def all_queries() -> dict:
     merged: dict = {}
-    for module in (text,):
+    for module in (text, ranking, vectors, learning):
         merged.update(module.QUERIES)
     return merged

@@ -193,7 +193,7 @@ def document_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("attempt_id"),
         F.concat(F.lit("doc_"), F.col("user_id").cast("string")).alias("name"),
-        "ts",
+        F.col("ts").cast("timestamp").alias("ts"),
         (F.col("event_type") != "error").alias("success"),
     )
 
@@ -203,8 +203,8 @@ def circuit_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("attempt_id"),
         F.concat(F.lit("doc_"), F.col("user_id").cast("string")).alias("name"),
-        "ts",
-        ~((F.col("event_type") == "error") | (F.col("value") < 20)).alias("success"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        (~((F.col("event_type") == "error") | (F.col("value") < 20))).alias("success"),
     )
 
 
