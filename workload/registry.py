@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from workload import learning, ranking, text, vectors
+from workload import ingestion, learning, maintenance, ranking, text, vectors
 
 
 def all_queries() -> dict:
     merged: dict = {}
-    for module in (text, ranking, vectors, learning):
+    for module in (text, ranking, vectors, learning, maintenance, ingestion):
         merged.update(module.QUERIES)
     return merged

@@ -63,17 +63,21 @@ TRIGGER_LIST = r"""list_concat([name],
       list_filter(tags, lambda t: length(t) > 2))"""
 
 SEARCH_TEXT = """lower(concat_ws(' ', nullif(name, ''), nullif(description, ''), nullif(category, ''),
-      nullif(provider, ''), nullif(array_to_string(triggers, ' '), ''), nullif(array_to_string(tags, ' '), '')))"""
+      nullif(provider, ''), {boost} nullif(array_to_string(triggers, ' '), ''), nullif(array_to_string(tags, ' '), '')))"""
 
 
-def entry_ctes(source_sql: str, prefix: str) -> str:
-    """CTEs `<prefix>_catalog` with derived triggers and search text over `name, description, source, ...`."""
+def entry_ctes(source_sql: str, prefix: str, triggers: str = "NULL", boost: str = "") -> str:
+    """CTEs `<prefix>_catalog` with derived triggers and search text over `name, description, source, ...`.
+
+    `triggers` and `boost` name columns of the source that give explicit triggers and boost keywords.
+    """
+    twice = f"nullif({boost}, ''), nullif({boost}, '')," if boost else ""
     return rf"""{prefix}_raw AS ({source_sql}),
 {prefix}_listed AS (SELECT *, {TRIGGER_LIST} AS l FROM {prefix}_raw),
 {prefix}_triggered AS (
-  SELECT * EXCLUDE (l), list_filter(l, lambda x, i: length(x) > 1 AND list_position(l, x) = i) AS triggers
+  SELECT * EXCLUDE (l), coalesce({triggers}, list_filter(l, lambda x, i: length(x) > 1 AND list_position(l, x) = i)) AS triggers
   FROM {prefix}_listed),
-{prefix}_catalog AS (SELECT *, {SEARCH_TEXT} AS search_text FROM {prefix}_triggered)"""
+{prefix}_catalog AS (SELECT *, {SEARCH_TEXT.format(boost=twice)} AS search_text FROM {prefix}_triggered)"""
 
 
 DOCUMENTS = entry_ctes(
