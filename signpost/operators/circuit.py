@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from signpost import schema as S
 from signpost.operators.usage import SLICE_SECONDS, time_slice
 from signpost.operators.windows import rank_within
+from signpost.session import shuffle_partitions
 
 OK, FAILED, REJECTED = "ok", "failed", "rejected"
 MICROS = 1_000_000
@@ -171,7 +172,7 @@ def circuit_trace(
     log = attempts.select(
         "attempt_id", "name", time_slice(F.col("ts"), slice_seconds).alias("slice"),
         F.unix_micros("ts").alias("t"), "success",
-    ).repartition("name", "slice")
+    ).repartition(shuffle_partitions(attempts), "name", "slice")
     order = ["name", "slice", "t", "attempt_id"]
     effects = (
         log.sortWithinPartitions(*order)

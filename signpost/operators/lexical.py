@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from signpost import schema as S
 from signpost.functions import text as X
+from signpost.session import shuffle_partitions
 
 
 @dataclass(frozen=True)
@@ -30,6 +31,11 @@ class TextIndex:
     terms: DataFrame | None = None
 
 
+def by_name(df: DataFrame) -> DataFrame:
+    """The layout all candidate stages share."""
+    return df.repartition(shuffle_partitions(df), "name")
+
+
 def document_lengths(catalog: DataFrame) -> DataFrame:
     return catalog.select("name", F.size(X.doc_tokens(F.col("search_text"))).alias("doc_len"))
 
@@ -68,7 +74,7 @@ def narrow_text_index(catalog: DataFrame, vocabulary: DataFrame) -> TextIndex:
     Tokens outside the vocabulary are dropped before anything is exchanged.
     """
     wanted = token_rows(catalog).join(vocabulary.select("term"), "term", "left_semi")
-    counted = wanted.repartition("name").groupBy("name", "doc_len", "term").agg(F.count("*").alias("tf"))
+    counted = by_name(wanted).groupBy("name", "doc_len", "term").agg(F.count("*").alias("tf"))
     return TextIndex(counted, corpus_of(catalog))
 
 
@@ -110,7 +116,7 @@ def bm25(catalog: DataFrame, queries: DataFrame, index: TextIndex | None = None)
     """BM25 of every (query, entry) sharing a term: `query_id, name, score`."""
     terms = query_term_counts(queries)
     if index is None:
-        index = narrow_text_index(catalog, terms.select("term").distinct())
+        index = narrow_text_index(catalog, terms)
     scores = bm25_parts(index, terms).groupBy("query_id", "name").agg(F.sum("part").alias("score"))
     return scores.filter(F.col("score") > 0)
 
@@ -130,7 +136,7 @@ def trigger_words(catalog: DataFrame, words: DataFrame) -> DataFrame:
         F.explode(F.concat(X.grams(F.col("trigger"), 2), X.grams(F.col("trigger"), 3))).alias("gram"),
     )
     hits = spread.join(keyed, "gram").filter(F.col("trigger").contains(F.col("word")))
-    return hits.select("name", "word").repartition("name").distinct()
+    return by_name(hits.select("name", "word")).distinct()
 
 
 def trigger_parts(catalog: DataFrame, words: DataFrame) -> DataFrame:

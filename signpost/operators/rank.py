@@ -113,7 +113,7 @@ def add_explorer(
     slot = F.struct(
         *[
             pick.alias(c) if c == "name"
-            else (F.size("_names") + 1).alias(c) if c == "rank"
+            else (F.size("_names") + 1).cast("long").alias(c) if c == "rank"
             else F.lit(0.0).alias(c)
             for c in ranked.columns if c != "query_id"
         ],

@@ -13,7 +13,8 @@ def rank_within(df: DataFrame, keys: str | list[str], order: list[Column], k: in
     exchange (window group limit), so a key with a third of all rows sends only k of them per task.
     """
     window = Window.partitionBy(keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
+    best = df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
+    return best.withColumn(rank, F.col(rank).cast("long"))
 
 
 def keep_last(df: DataFrame, key: str, order: list[Column]) -> DataFrame:

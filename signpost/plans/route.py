@@ -24,11 +24,11 @@ def stage_scores(
     All three stages are laid out by name before they are put together, so their sum needs no exchange.
     """
     terms = L.query_term_counts(queries)
-    vocabulary = terms.select("term").distinct()
+    vocabulary = terms.select("term")
     if text_index is None:
         index = L.narrow_text_index(catalog, vocabulary)
     else:
-        wanted = text_index.postings.join(vocabulary, "term", "left_semi").repartition("name")
+        wanted = L.by_name(text_index.postings.join(vocabulary, "term", "left_semi"))
         index = L.TextIndex(wanted, text_index.corpus, text_index.terms)
     triggers = L.trigger_parts(catalog, L.query_word_counts(queries))
     frames = [
@@ -36,7 +36,7 @@ def stage_scores(
         R.stage_frame(triggers, "trigger", F.col("hits") * F.lit(S.TRIGGER_WEIGHT)),
     ]
     if vector_index is not None:
-        semantic = V.semantic_stage(vector_index, queries).repartition("name")
+        semantic = L.by_name(V.semantic_stage(vector_index, queries))
         frames.append(R.stage_frame(semantic, "semantic", F.col("score")))
     return R.sum_stages(frames)
 

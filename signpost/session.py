@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # split a skewed side even where that costs a later operator one more exchange
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.unionOutputPartitioning": "true",
+    # call-site capture on every column expression makes building a large plan several times slower
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -32,6 +36,15 @@ def local_session(app: str = "signpost", cpus: int | str = "*", shuffle_partitio
     return spark
 
 
+def shuffle_partitions(df: DataFrame) -> int:
+    """Partition count for a layout several operators share.
+
+    A count given outright is kept by adaptive execution. It would otherwise merge the partitions by the bytes they
+    receive, too few tasks where the rows multiply after the exchange, as hits of a common word do.
+    """
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor reaches, as the cluster names it; only a test session lacks one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -98,14 +98,18 @@ def _list(v: Column, path: str) -> Column:
 
 
 def explode_manifests(files: DataFrame) -> DataFrame:
-    """Raw entries of loadable manifests with `path` and `position`; entries lacking name or description drop out."""
+    """Raw entries of loadable manifests with `path` and `position`; entries lacking name or description drop out.
+
+    An unloadable manifest gives a null list to the outer explode instead of being filtered away: the optimizer would
+    move such a filter below the parser and parse every document again for it.
+    """
     df = parsed(files).select(
         "path",
         _truthy_text(F.col("manifest"), "$.provider").alias("provider"),
         _tools(F.col("manifest")).alias("tools"),
     )
     sound = F.col("provider").isNotNull() & ~F.exists("tools", lambda t: t.isNull() | F.is_variant_null(t))
-    rows = df.filter(sound).select("path", "provider", F.posexplode("tools").alias("position", "t"))
+    rows = df.select("path", "provider", F.posexplode_outer(F.when(sound, F.col("tools"))).alias("position", "t"))
     t = F.col("t")
     name = _truthy_text(t, "$.name")
     none = F.array().cast(S.STRINGS)
@@ -127,14 +131,29 @@ def explode_manifests(files: DataFrame) -> DataFrame:
     )
 
 
+def stage_entries(files: DataFrame, folder: str) -> DataFrame:
+    """Parse once into a table under `folder`, for the several joins a load makes.
+
+    Read back, the entries also have a known size, by which Spark chooses how to join them.
+    """
+    explode_manifests(files).write.mode("overwrite").parquet(folder)
+    return files.sparkSession.read.parquet(folder)
+
+
 def load_manifests(
-    catalog: DataFrame, files: DataFrame, as_of: Column | None = None, preserve_all: bool = False
+    catalog: DataFrame,
+    files: DataFrame,
+    as_of: Column | None = None,
+    preserve_all: bool = False,
+    staging: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Catalog with every loadable manifest's source replaced, and the status per file.
 
     Files apply in path order, so of two manifests of one provider the later one stands; within a file the last
-    entry of a name, and across files the later path, wins.
+    entry of a name, and across files the later path, wins. With `staging`, a folder all executors share, the parsed
+    entries are written there first.
     """
-    rows = last_unit_per_source(explode_manifests(files), "path")
+    entries = explode_manifests(files) if staging is None else stage_entries(files, staging)
+    rows = last_unit_per_source(entries, "path")
     ordered = rows.withColumn("seq", F.struct("path", "position")).drop("path", "position")
     return replace_source(catalog, ordered, as_of, preserve_all), triage_manifests(files)

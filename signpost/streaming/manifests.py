@@ -38,7 +38,8 @@ def stream_manifests(
         note = f"manifests-{epoch}"
         if is_committed(spark, catalog_path, note):
             return
-        catalog, status = load_manifests(read_catalog(spark, catalog_path), batch)
+        staging = f"{catalog_path}/staging/{note}"
+        catalog, status = load_manifests(read_catalog(spark, catalog_path), batch, staging=staging)
         write_catalog(catalog, catalog_path, note)
         if on_reload is not None:
             on_reload(status, epoch)

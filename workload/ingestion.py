@@ -26,7 +26,7 @@ def new_folder(spark, name: str) -> str:
 
 
 def manifest_files(spark, sf_dir):
-    p = T.table(spark, sf_dir, "part")
+    p = T.spread(T.table(spark, sf_dir, "part"), "p_partkey")
     base, key, size = F.translate("p_name", " ", "_"), F.col("p_partkey"), F.col("p_size")
     own = F.struct(
         F.concat(base, F.lit("_"), key.cast("string")).alias("name"),
@@ -69,7 +69,7 @@ TRIAGE = f"""judged AS (SELECT *, '/manifests/' || lpad(p_partkey::VARCHAR, 12,
   p_brand || '-' || p_partkey % 50 AS maker, replace(p_name, ' ', '_') AS base FROM part),
 triaged AS (SELECT path, CASE WHEN reason IS NULL THEN 'loaded' WHEN reason IN ('invalid_manifest', 'no_valid_entries') THEN 'skipped'
   ELSE 'failed' END AS status, reason, CASE WHEN reason IS NULL THEN maker END AS provider,
-  CASE WHEN reason IS NULL THEN 2 ELSE 0 END AS entries FROM judged)"""
+  CASE WHEN reason IS NULL THEN 2 ELSE 0 END::BIGINT AS entries FROM judged)"""
 EXPLODED = f"""{TRIAGE}, exploded AS (
   SELECT path, 0 AS position, base || '_' || p_partkey AS name, p_type || ' ' || p_name AS description, 'provider:' || maker AS source,
     CASE WHEN p_type = 'PROMO' THEN 'misc' ELSE lower(p_type) END AS category, maker AS provider,
@@ -92,7 +92,9 @@ def explode_manifests(spark, sf_dir):
 
 
 def load_manifests(spark, sf_dir):
-    catalog, _ = M.load_manifests(T.part_catalog(spark, sf_dir), manifest_files(spark, sf_dir), T.as_of())
+    catalog, _ = M.load_manifests(
+        T.part_catalog(spark, sf_dir), manifest_files(spark, sf_dir), T.as_of(), staging=new_folder(spark, "staging")
+    )
     return MA.shown(catalog)
 
 

@@ -144,7 +144,7 @@ QUERIES = {
           QUALIFY row_number() OVER (PARTITION BY name ORDER BY rn DESC) = 1)
         SELECT 'doc_' || doc_id AS name, CASE WHEN opened_at IS NULL THEN 'closed'
           WHEN epoch_us(TIMESTAMP '2024-01-20 12:00:00') - opened_at >= 43200000000 THEN 'half-open' ELSE 'open' END AS state,
-          coalesce(failures, 0) AS failures FROM documents LEFT JOIN last ON name = 'doc_' || doc_id""",
+          coalesce(failures, 0)::BIGINT AS failures FROM documents LEFT JOIN last ON name = 'doc_' || doc_id""",
     ),
     "tripped_circuits": (
         tripped_circuits,

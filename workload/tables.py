@@ -29,7 +29,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     The test tables are one row group each, which one task would otherwise tokenise alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 # ---- documents as a text catalog ----
@@ -120,7 +120,7 @@ TURNS = """queries AS (SELECT conv_id || '-' || turn AS query_id, text AS query_
 
 
 def raw_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
+    part = spread(table(spark, sf_dir, "part"), "p_partkey")
     return part.select(
         F.concat(F.translate("p_name", " ", "_"), F.lit("_"), F.col("p_partkey").cast("string")).alias("name"),
         F.concat(F.initcap("p_name"), F.lit(" of type "), F.lower("p_type"), F.lit(" by "), F.col("p_brand")).alias("description"),
@@ -227,7 +227,7 @@ CIRCUIT = """ev AS (SELECT event_id AS attempt_id, 'doc_' || user_id AS name, ep
   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
 trace AS (
   SELECT attempt_id, name, t, success, rn, CASE WHEN success THEN 'ok' ELSE 'failed' END AS decision,
-    NULL::BIGINT AS opened_at, CASE WHEN success THEN 0 ELSE 1 END AS failures FROM ev WHERE rn = 1
+    NULL::BIGINT AS opened_at, CASE WHEN success THEN 0 ELSE 1 END::BIGINT AS failures FROM ev WHERE rn = 1
   UNION ALL
   SELECT e.attempt_id, e.name, e.t, e.success, e.rn,
     CASE WHEN p.opened_at IS NOT NULL AND e.t - p.opened_at < 43200000000 THEN 'rejected'
