@@ -34,9 +34,10 @@ def upsert_catalog(
     A replaced entry keeps its use count unless zero, its success rate, its registration time, and its vector
     unless a new one is given; its last use and failure count start afresh. `preserve_all` keeps those too.
     """
-    rows = dedupe_batch(batch) if "seq" in batch.columns else batch
-    entries = normalize_entries(rows, as_of).select(*NAMES)
-    touched = entries.select("name")
+    repeats = "seq" in batch.columns
+    entries = normalize_entries(dedupe_batch(batch) if repeats else batch, as_of).select(*NAMES)
+    touched = batch.select(F.coalesce("name", F.lit("")).alias("name"))
+    touched = touched.distinct() if repeats else touched
     untouched = catalog.select(*NAMES).join(touched, "name", "left_anti")
     kept = ["usage_count", "success_rate", "embedding", "registered_at", "last_used_at", "consecutive_failures"]
     old = catalog.select("name", *[F.col(c).alias(f"_{c}") for c in kept]).join(touched, "name", "left_semi")
@@ -80,7 +81,7 @@ def replace_source(
 
 
 def delete_names(catalog: DataFrame, names: DataFrame) -> DataFrame:
-    return catalog.join(names.select("name"), "name", "left_anti")
+    return catalog.join(names.select("name").distinct(), "name", "left_anti")
 
 
 def missing_names(catalog: DataFrame, names: DataFrame) -> DataFrame:

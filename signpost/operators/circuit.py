@@ -118,15 +118,21 @@ def pass_through(state: tuple, closed, opened) -> tuple:
     return state
 
 
+def known(last) -> int | None:
+    return None if last is pd.NA else last
+
+
 def chain_slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     name, state = None, (None, 0)
     for batch in batches:
         rows = []
-        for key, part, closed, opened in zip(
-            batch["name"], batch["slice"], batch["closed"], batch["opened"], strict=True
-        ):
+        start_last = batch["start_last"].astype("Int64")
+        for key, part, closed, opened, last, failures in zip(
+            batch["name"], batch["slice"], batch["closed"], batch["opened"], start_last, batch["start_failures"],
+            strict=True,
+        ):
             if key != name:
-                name, state = key, (None, 0)
+                name, state = key, (known(last), failures)
             rows.append((key, part, *state))
             state = pass_through(state, closed, opened)
         yield pd.DataFrame(rows, columns=["name", "slice", "entry_last", "entry_failures"]).astype(
@@ -145,7 +151,7 @@ def replay(threshold: int, recovery: int):
                 strict=True,
             ):
                 if (name, part) != current:
-                    current, state = (name, part), (None if last is pd.NA else last, failures)
+                    current, state = (name, part), (known(last), failures)
                 decision, state = advance(state, t, success, threshold, recovery)
                 out.append((decision, *state))
             told = pd.DataFrame(out, columns=["decision", "opened_at", "failures"], index=batch.index)
@@ -160,11 +166,13 @@ def circuit_trace(
     threshold: int = S.FAILURE_THRESHOLD,
     recovery_seconds: float = S.RECOVERY_SECONDS,
     slice_seconds: int = SLICE_SECONDS,
+    initial: DataFrame | None = None,
 ) -> DataFrame:
     """Decision per attempt: `attempt_id, name, ts, success, decision, state, failures, last_failure`.
 
     `success` is what the call would return if let through. `state` is the stored one, closed or open;
-    `last_failure` is given while open. Order is (ts, attempt_id).
+    `last_failure` is given while open. Order is (ts, attempt_id). `initial`, in the shape of `stored_circuits`, is
+    where keys stand before the log; others start closed.
     """
     recovery = round(recovery_seconds * MICROS)
     name_type = attempts.schema["name"].dataType.simpleString()
@@ -179,8 +187,17 @@ def circuit_trace(
         .select("name", "slice", "t", "success")
         .mapInPandas(slice_effects(threshold, recovery), EFFECT.format(name=name_type))
     )
+    if initial is None:
+        started = effects.withColumns({"start_last": F.lit(None).cast("long"), "start_failures": F.lit(0).cast("long")})
+    else:
+        start = initial.select(
+            "name",
+            F.unix_micros("last_failure").alias("start_last"),
+            F.col("failures").alias("start_failures"),
+        )
+        started = effects.join(start, "name", "left").withColumn("start_failures", F.coalesce("start_failures", F.lit(0)))
     entries = (
-        effects.repartition("name")
+        started.repartition("name")
         .sortWithinPartitions("name", "slice")
         .mapInPandas(chain_slices, f"name {name_type}, slice long, entry_last long, entry_failures long")
     )

@@ -1,69 +1,83 @@
-"""Circuit breaker per key over a stream, state kept by Spark."""
+"""Circuit breaker kept up to date from a stream of attempts."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
 from signpost import schema as S
-from signpost.operators.circuit import MICROS, advance
+from signpost.operators.circuit import circuit_trace
+from signpost.operators.usage import SLICE_SECONDS
+from signpost.operators.windows import rank_within
+from signpost.sources.snapshot import is_committed, read_snapshot, write_snapshot
+
+
+def states_type(name_type: str) -> str:
+    return f"name {name_type}, state string, failures long, last_failure timestamp, last_ts timestamp, late long"
+
+
+def read_circuits(spark: SparkSession, path: str, name_type: str = "string") -> DataFrame:
+    """Stored state per key, the time of its last attempt and the number of its late attempts."""
+    states = read_snapshot(spark, f"{path}/states")
+    return spark.createDataFrame([], states_type(name_type)) if states is None else states
+
+
+def read_decisions(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/decisions").drop("batch")
 
-STATE = "opened_at long, failures long, last_t long, late long"
-OUTPUT = (
-    "attempt_id {id}, name {name}, t long, success boolean, decision string, opened_at long, failures long, late long"
-)
+
+def on_time(batch: DataFrame, states: DataFrame) -> DataFrame:
+    """Batch with `late`: older than the last attempt its key was folded with."""
+    seen = states.select("name", "last_ts")
+    return batch.join(seen, "name", "left").withColumn("late", F.coalesce(F.col("ts") < F.col("last_ts"), F.lit(False)))
+
+
+def next_states(states: DataFrame, told: DataFrame, marked: DataFrame) -> DataFrame:
+    """States after a batch; keys without an attempt in it keep theirs."""
+    last = rank_within(told, "name", [F.desc("ts"), F.desc("attempt_id")], 1)
+    newest = last.select("name", *[F.col(c).alias(f"_{c}") for c in ("state", "failures", "last_failure", "ts")])
+    late = marked.groupBy("name").agg(F.count_if("late").alias("_late"))
+    both = states.join(newest, "name", "full_outer").join(late, "name", "full_outer")
+    moved = F.col("_state").isNotNull()
+    return both.select(
+        "name",
+        F.coalesce("_state", "state").alias("state"),
+        F.coalesce("_failures", "failures").alias("failures"),
+        F.when(moved, F.col("_last_failure")).otherwise(F.col("last_failure")).alias("last_failure"),
+        F.coalesce("_ts", "last_ts").alias("last_ts"),
+        (F.coalesce("late", F.lit(0)) + F.coalesce("_late", F.lit(0))).alias("late"),
+    )
 
 
 def stream_circuit(
     attempts: DataFrame,
+    path: str,
+    checkpoint: str,
+    interval: str | None = "10 seconds",
     threshold: int = S.FAILURE_THRESHOLD,
     recovery_seconds: float = S.RECOVERY_SECONDS,
-    watermark: str | None = None,
-) -> DataFrame:
-    """Streaming frame with a decision per attempt, as `circuit_trace` gives for the whole log.
+    slice_seconds: int = SLICE_SECONDS,
+) -> StreamingQuery:
+    """Decide a stream `(attempt_id, name, ts, success)`; decisions and states are kept under `path`.
 
-    Attempts of a micro-batch are ordered by (ts, attempt_id) per key before they are folded. One older than the
-    key's last folded attempt is late: it is left out, and `late` counts those of its key so far. With `watermark`,
-    Spark also drops rows that are late against the whole stream.
+    Each micro-batch is traced from the stored states by the sliced fold, so a key that floods a batch is still spread
+    over tasks. Decisions go to a folder per batch, overwritten if the batch is run again; the states that follow from
+    them are committed once. Attempts older than their key's last folded one are late: left out and counted.
     """
-    recovery = round(recovery_seconds * MICROS)
-
-    def fold(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened_at, failures, last_t, late = state.get if state.exists else (None, 0, None, 0)
-        current = (opened_at, failures)
-        rows = pd.concat(list(chunks)).sort_values(["t", "attempt_id"], ignore_index=True)
-        if last_t is not None:
-            late += int((rows["t"] < last_t).sum())
-            rows = rows[rows["t"] >= last_t]
-        out = []
-        for attempt, t, success in zip(rows["attempt_id"], rows["t"], rows["success"], strict=True):
-            decision, current = advance(current, int(t), bool(success), threshold, recovery)
-            out.append((attempt, key[0], t, success, decision, *current, late))
-            last_t = int(t)
-        state.update((*current, last_t, late))
-        told = pd.DataFrame(
-            out, columns=["attempt_id", "name", "t", "success", "decision", "opened_at", "failures", "late"]
-        )
-        told["opened_at"] = told["opened_at"].astype("Int64")
-        yield told
-
-    if watermark is not None:
-        attempts = attempts.withWatermark("ts", watermark)
-    log = attempts.select("attempt_id", "name", F.unix_micros("ts").alias("t"), "success")
-    types = {f.name: f.dataType.simpleString() for f in attempts.schema.fields}
-    told = log.groupBy("name").applyInPandasWithState(
-        fold,
-        OUTPUT.format(id=types["attempt_id"], name=types["name"]),
-        STATE,
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
-    return told.select(
-        "attempt_id", "name", F.timestamp_micros("t").alias("ts"), "success", "decision",
-        F.when(F.col("opened_at").isNull(), "closed").otherwise("open").alias("state"),
-        "failures", F.timestamp_micros("opened_at").alias("last_failure"), "late",
-    )
+    spark = attempts.sparkSession
+    name_type = attempts.schema["name"].dataType.simpleString()
+
+    def decide(batch: DataFrame, epoch: int) -> None:
+        note, folder = f"circuit-{epoch}", f"{path}/decisions/batch={epoch}"
+        if is_committed(spark, f"{path}/states", note):
+            return
+        states = read_circuits(spark, path, name_type)
+        marked = on_time(batch, states)
+        timely = marked.filter(~F.col("late")).select(*batch.columns)
+        told = circuit_trace(timely, threshold, recovery_seconds, slice_seconds, states)
+        told.write.mode("overwrite").parquet(folder)
+        write_snapshot(next_states(states, spark.read.parquet(folder), marked), f"{path}/states", note)
+
+    writer = attempts.writeStream.option("checkpointLocation", checkpoint).foreachBatch(decide)
+    return (writer.trigger(availableNow=True) if interval is None else writer.trigger(processingTime=interval)).start()

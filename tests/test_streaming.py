@@ -8,7 +8,16 @@ from signpost.operators import circuit as C
 from signpost.operators import usage as U
 from signpost.plans.route import route
 from signpost.sources.snapshot import current_version, read_catalog
-from signpost.streaming import merge_batch, read_usage, stream_circuit, stream_manifests, stream_route, stream_usage
+from signpost.streaming import (
+    merge_batch,
+    read_circuits,
+    read_decisions,
+    read_usage,
+    stream_circuit,
+    stream_manifests,
+    stream_route,
+    stream_usage,
+)
 
 ATTEMPT = "attempt_id long, name string, ts timestamp, success boolean"
 
@@ -45,12 +54,22 @@ def test_late_attempts_are_counted(spark, tmp_path):
 def test_circuit_stream_equals_batch(spark, tmp_path):
     log = attempts(spark, random_log(12, n=300))
     chunks(log, f"{tmp_path}/log", [0, 90, 210, 300])
-    told = stream_circuit(stream(spark, f"{tmp_path}/log", ATTEMPT))
-    query = told.writeStream.option("checkpointLocation", f"{tmp_path}/cp").format("parquet")
-    query.trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    source = stream(spark, f"{tmp_path}/log", ATTEMPT)
+    stream_circuit(source, f"{tmp_path}/out", f"{tmp_path}/cp", None, slice_seconds=400).awaitTermination()
     columns = ["attempt_id", "decision", "state", "failures"]
-    got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").select(columns).collect()))
-    assert got == sorted(map(tuple, C.circuit_trace(log).select(columns).collect()))
+    trace = C.circuit_trace(log)
+    got = sorted(map(tuple, read_decisions(spark, f"{tmp_path}/out").select(columns).collect()))
+    assert got == sorted(map(tuple, trace.select(columns).collect()))
+    states = read_circuits(spark, f"{tmp_path}/out")
+    columns = ["name", "state", "failures", "last_failure"]
+    assert sorted(map(str, states.select(columns).collect())) == sorted(map(str, C.stored_circuits(trace).collect()))
+    late = attempts(spark, [("k0", 0, False), ("k0", 1, False)]).selectExpr("attempt_id + 1000 AS attempt_id", "name", "ts", "success")
+    late.write.mode("append").parquet(f"{tmp_path}/log")
+    stream_circuit(stream(spark, f"{tmp_path}/log", ATTEMPT), f"{tmp_path}/out", f"{tmp_path}/cp", None).awaitTermination()
+    assert read_decisions(spark, f"{tmp_path}/out").count() == 300
+    after = read_circuits(spark, f"{tmp_path}/out")
+    assert after.filter("name = 'k0'").first().late == 2
+    assert sorted(map(str, after.select(columns).collect())) == sorted(map(str, states.select(columns).collect()))
 
 
 def test_route_stream_equals_batch(spark, tmp_path):

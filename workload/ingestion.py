@@ -11,7 +11,7 @@ from signpost.session import shared_folder
 from signpost.sources import listings as LI
 from signpost.sources import manifests as M
 from signpost.sources import snapshot as SN
-from signpost.streaming import read_usage, stream_circuit, stream_manifests, stream_route, stream_usage
+from signpost.streaming import read_decisions, read_usage, stream_circuit, stream_manifests, stream_route, stream_usage
 from workload import learning as L
 from workload import maintenance as MA
 from workload import ranking as R
@@ -257,10 +257,9 @@ def streamed_circuit(spark, sf_dir):
         F.col("ts").cast("timestamp").alias("ts"),
         (~((F.col("event_type") == "error") | (F.col("value") < 20))).alias("success"),
     )
-    told, path = stream_circuit(attempts, recovery_seconds=T.CIRCUIT_RECOVERY), new_folder(spark, "decisions")
-    writer = told.writeStream.option("checkpointLocation", new_folder(spark, "checkpoint"))
-    finish(writer.trigger(availableNow=True).format("parquet").start(path))
-    return spark.read.parquet(path).select("attempt_id", "name", "decision", "state", "failures")
+    path = new_folder(spark, "circuit")
+    finish(stream_circuit(attempts, path, new_folder(spark, "checkpoint"), None, recovery_seconds=T.CIRCUIT_RECOVERY))
+    return read_decisions(spark, path).select("attempt_id", "name", "decision", "state", "failures")
 
 
 def streamed_route(spark, sf_dir):

@@ -47,9 +47,14 @@ def vector_index_stats(spark, sf_dir):
 
 
 def embedded_documents(spark, sf_dir):
-    """Documents with the vector of the same number; those without one keep a null."""
-    vectors = T.table(spark, sf_dir, "embeddings").select(
-        F.concat(F.lit("doc_"), F.col("vec_id").cast("string")).alias("name"), "embedding"
+    """Documents with the vector of the same number; those without one keep a null.
+
+    Grouped by name the vectors are known to be unique, and readers of other columns skip the join.
+    """
+    vectors = (
+        T.table(spark, sf_dir, "embeddings")
+        .groupBy(F.concat(F.lit("doc_"), F.col("vec_id").cast("string")).alias("name"))
+        .agg(F.max("embedding").alias("embedding"))
     )
     catalog = T.used_document_catalog(spark, sf_dir)
     return catalog.drop("embedding").join(vectors, "name", "left").select(catalog.columns)
@@ -57,7 +62,7 @@ def embedded_documents(spark, sf_dir):
 
 def route_with_vectors(spark, sf_dir):
     catalog = embedded_documents(spark, sf_dir)
-    vectors = T.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+    vectors = T.table(spark, sf_dir, "embeddings").groupBy(F.col("vec_id").alias("query_id")).agg(F.max("embedding").alias("embedding"))
     queries = T.benchmark_queries(spark, sf_dir).join(vectors, "query_id", "left")
     ranked = P.route(
         catalog, queries, as_of=T.as_of(), weights=R.WEIGHTS, vector_index=V.build_vector_index(catalog)
