@@ -18,12 +18,15 @@ from signpost.functions import text as X
 from signpost.session import shuffle_partitions
 
 
+NO_TERM = ""
+
+
 @dataclass(frozen=True)
 class TextIndex:
     """`postings(name, doc_len, term, tf)`, `terms(term, df)` and one-row `corpus(n, avg_len)`.
 
     `terms` is None for an index narrowed to some query terms: document frequency is then counted
-    from the postings themselves, which hold every posting of those terms.
+    from the postings themselves, which hold every posting of those terms (and one of NO_TERM per entry).
     """
 
     postings: DataFrame
@@ -71,11 +74,21 @@ def build_text_index(catalog: DataFrame) -> TextIndex:
 def narrow_text_index(catalog: DataFrame, vocabulary: DataFrame) -> TextIndex:
     """Index of the query vocabulary alone, for a batch against a catalog without a stored index.
 
-    Tokens outside the vocabulary are dropped before anything is exchanged.
+    Tokens outside the vocabulary are dropped before anything is exchanged. Each entry also sends one row with an
+    empty term, which no text or query contains: entries and their lengths are counted from those rows, out of the same
+    exchange, so that the text is read once. Nothing below filters on the term, as the optimizer would move such a
+    filter under the exchange, which then could not be shared.
     """
-    wanted = token_rows(catalog).join(vocabulary.select("term"), "term", "left_semi")
-    counted = by_name(wanted).groupBy("name", "doc_len", "term").agg(F.count("*").alias("tf"))
-    return TextIndex(counted, corpus_of(catalog))
+    marked = catalog.select("name", F.concat(X.doc_tokens(F.col("search_text")), F.array(F.lit(NO_TERM))).alias("t"))
+    rows = marked.select("name", (F.size("t") - 1).alias("doc_len"), F.explode_outer("t").alias("term"))
+    terms = vocabulary.select("term")
+    every = terms.unionByName(terms.sparkSession.range(1).select(F.lit(NO_TERM).alias("term")))
+    counted = by_name(rows.join(every, "term", "left_semi")).groupBy("name", "doc_len", "term").agg(F.count("*").alias("tf"))
+    entry = F.col("term") == NO_TERM
+    corpus = counted.agg(
+        F.count_if(entry).alias("n"), F.coalesce(F.avg(F.when(entry, F.col("doc_len"))), F.lit(0.0)).alias("avg_len")
+    )
+    return TextIndex(counted, corpus)
 
 
 def inverse_document_frequency(n: Column, df: Column) -> Column:
