@@ -107,14 +107,15 @@ def _block_top_k(k: int):
     return score
 
 
-def nearest_in_groups(wanted: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+def nearest_in_groups(queries: DataFrame, wanted: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """Best k rows by cosine per query: `query_id, name, cosine, rank`.
 
-    `wanted(query_id, query_vec, grp, blocks)` asks for a group split into `blocks`; `rows(name, vec, grp, blocks)`
-    belong to one. Large query batches are cut into blocks too, so both inputs of a task stay bounded.
+    `wanted(query_id, query_vec, grp, blocks)` asks, for one of the `queries`, for a group split into `blocks`;
+    `rows(name, vec, grp, blocks)` belong to one. Large query batches are cut into blocks too, by the number of all
+    queries, which no group exceeds, so both inputs of a task stay bounded.
     """
     query_blocks = F.greatest(
-        F.ceil(wanted.agg(F.count("*").alias("n")).scalar() / F.lit(float(QUERIES_PER_BLOCK))).cast("int"), F.lit(1)
+        F.ceil(queries.agg(F.count("*").alias("n")).scalar() / F.lit(float(QUERIES_PER_BLOCK))).cast("int"), F.lit(1)
     )
     asked = wanted.select(
         "query_id", "query_vec", "grp",
@@ -152,7 +153,7 @@ def nearest_categories(index: VectorIndex, queries: DataFrame, top_categories: i
     rows = index.centroids.select(
         F.col("category").alias("name"), F.col("centroid").alias("vec"), F.lit(0).alias("grp"), blocks.alias("blocks")
     )
-    return nearest_in_groups(wanted, rows, top_categories).withColumnRenamed("name", "category")
+    return nearest_in_groups(queries, wanted, rows, top_categories).withColumnRenamed("name", "category")
 
 
 def centroid_search(
@@ -167,6 +168,7 @@ def centroid_search(
     wanted = chosen.join(usable_queries(index, queries), "query_id").join(sizes, "category")
     rows = index.vectors.join(sizes, "category")
     return nearest_in_groups(
+        queries,
         wanted.select("query_id", "query_vec", F.col("category").alias("grp"), "blocks"),
         rows.select("name", "vec", F.col("category").alias("grp"), "blocks"),
         top_k,
