@@ -71,6 +71,12 @@ def build_text_index(catalog: DataFrame) -> TextIndex:
     return TextIndex(postings, corpus_of(catalog), terms)
 
 
+def marked_token_rows(catalog: DataFrame) -> DataFrame:
+    """Token rows, and one row with NO_TERM per entry, with or without tokens."""
+    marked = catalog.select("name", F.concat(X.doc_tokens(F.col("search_text")), F.array(F.lit(NO_TERM))).alias("t"))
+    return marked.select("name", (F.size("t") - 1).alias("doc_len"), F.explode_outer("t").alias("term"))
+
+
 def narrow_text_index(catalog: DataFrame, vocabulary: DataFrame) -> TextIndex:
     """Index of the query vocabulary alone, for a batch against a catalog without a stored index.
 
@@ -79,8 +85,7 @@ def narrow_text_index(catalog: DataFrame, vocabulary: DataFrame) -> TextIndex:
     exchange, so that the text is read once. Nothing below filters on the term, as the optimizer would move such a
     filter under the exchange, which then could not be shared.
     """
-    marked = catalog.select("name", F.concat(X.doc_tokens(F.col("search_text")), F.array(F.lit(NO_TERM))).alias("t"))
-    rows = marked.select("name", (F.size("t") - 1).alias("doc_len"), F.explode_outer("t").alias("term"))
+    rows = marked_token_rows(catalog)
     terms = vocabulary.select("term")
     every = terms.unionByName(terms.sparkSession.range(1).select(F.lit(NO_TERM).alias("term")))
     counted = by_name(rows.join(every, "term", "left_semi")).groupBy("name", "doc_len", "term").agg(F.count("*").alias("tf"))

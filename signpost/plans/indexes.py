@@ -5,20 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signpost.operators.lexical import TextIndex, build_text_index, corpus_of, postings_of
+from signpost.operators.lexical import NO_TERM, TextIndex, marked_token_rows
 from signpost.operators.vectors import VectorIndex, build_vector_index
 
 
 def write_text_index(catalog: DataFrame, path: str) -> TextIndex:
     """Postings sorted by term within each file, so a term's row groups are found by their min/max statistics.
 
-    Term and corpus figures are computed from the written postings and document lengths.
+    The text is read once: entries without tokens are in the postings too, by their NO_TERM row, so that term and
+    corpus figures come from what was written.
     """
     spark = catalog.sparkSession
-    postings_of(catalog).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    counted = marked_token_rows(catalog).groupBy("name", "doc_len", "term").agg(F.count("*").alias("tf"))
+    counted.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
     postings = spark.read.parquet(f"{path}/postings")
-    postings.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
-    corpus_of(catalog).write.mode("overwrite").parquet(f"{path}/corpus")
+    entry = F.col("term") == NO_TERM
+    terms = postings.filter(~entry).groupBy("term").agg(F.count("*").alias("df"))
+    terms.write.mode("overwrite").parquet(f"{path}/terms")
+    corpus = postings.filter(entry).agg(
+        F.count("*").alias("n"), F.coalesce(F.avg("doc_len"), F.lit(0.0)).alias("avg_len")
+    )
+    corpus.write.mode("overwrite").parquet(f"{path}/corpus")
     return read_text_index(spark, path)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from signpost import functions as X
@@ -9,6 +11,9 @@ from signpost.operators import dispatch as D
 from signpost.operators import lexical as L
 from signpost.operators import rank as R
 from signpost.plans import route as P
+from signpost.plans.indexes import write_text_index
+from signpost.session import shared_folder
+from signpost.sources import snapshot as SN
 from workload import tables as T
 
 WEIGHTS = {"src1": 1.2, "src2": 0.8, "src3": 0.0}
@@ -117,6 +122,16 @@ def route(spark, sf_dir):
     return shown(routed(spark, sf_dir), "rank")
 
 
+def route_stored_index(spark, sf_dir):
+    """As `route`, over a catalog and a text index that were written first."""
+    folder = f"{shared_folder(spark)}/index-{uuid4().hex}"
+    SN.write_catalog(T.used_document_catalog(spark, sf_dir), f"{folder}/catalog")
+    catalog = SN.read_catalog(spark, f"{folder}/catalog")
+    index = write_text_index(catalog, f"{folder}/text")
+    ranked = P.route(catalog, T.benchmark_queries(spark, sf_dir), as_of=T.as_of(), weights=WEIGHTS, text_index=index)
+    return shown(ranked, "rank")
+
+
 def rank_top_k(spark, sf_dir):
     return R.rank_top_k(scored_documents(spark, sf_dir), 20).select("query_id", "name", "score", "rank")
 
@@ -223,6 +238,10 @@ def attempt_log(spark, sf_dir):
 
 QUERIES = {
     "route": (route, f"{FULL} SELECT {SHOWN_SQL}, rank FROM numbered_results WHERE rank <= 5"),
+    "route_stored_index": (
+        route_stored_index,
+        f"{FULL} SELECT {SHOWN_SQL}, rank FROM numbered_results WHERE rank <= 5",
+    ),
     "corpus_stats": (
         corpus_stats,
         f"WITH {T.DOCUMENTS}, cat AS (FROM doc_catalog), {LEXICAL} SELECT term, df, {T.rounded_sql('idf', 6)} AS idf FROM idf",

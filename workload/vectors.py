@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from signpost import functions as X
 from signpost.operators import vectors as V
 from signpost.plans import route as P
+from signpost.plans.indexes import write_vector_index
+from signpost.session import shared_folder
 from workload import ranking as R
 from workload import tables as T
 
@@ -37,6 +41,13 @@ def centroid_search(spark, sf_dir):
     return found.select("query_id", "name", T.rounded("cosine", 6).alias("cosine"), "rank")
 
 
+def centroid_search_stored(spark, sf_dir):
+    """As `centroid_search`, over an index that was written first."""
+    index = write_vector_index(T.vector_catalog(spark, sf_dir), f"{shared_folder(spark)}/vectors-{uuid4().hex}")
+    found = V.centroid_search(index, T.vector_queries(spark, sf_dir))
+    return found.select("query_id", "name", T.rounded("cosine", 6).alias("cosine"), "rank")
+
+
 def semantic_stage(spark, sf_dir):
     found = V.semantic_stage(index_of(spark, sf_dir), T.vector_queries(spark, sf_dir))
     return found.select("query_id", "name", T.rounded("score", 6).alias("score"))
@@ -103,6 +114,10 @@ QUERIES = {
         centroid_search,
         f"{SEARCH} SELECT query_id, name, {T.rounded_sql('cosine', 6)} AS cosine, rank FROM found",
     ),
+    "centroid_search_stored": (
+        centroid_search_stored,
+        f"{SEARCH} SELECT query_id, name, {T.rounded_sql('cosine', 6)} AS cosine, rank FROM found",
+    ),
     "semantic_stage": (
         semantic_stage,
         f"{SEARCH} SELECT query_id, name, {T.rounded_sql('cosine * 2e0', 6)} AS score FROM found",
