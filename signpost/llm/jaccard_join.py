@@ -8,12 +8,14 @@ segments adds up to their number, the pair meets in one of them. A set is indexe
 up in that and the next smaller one.
 
 1. Sets of equal content are one class, known by their fingerprint. Each class is written with its segment signatures.
-2. Signatures held by several classes give each class a hub, the smallest class it shares most of them with. These links
-   are verified exactly, and linked classes joined to components. A group of near copies is one component after this,
-   without a pair between its other members.
-3. Classes that still share a signature with another component are partitioned anew: segments are indexed with all their
-   one-deletion neighbours, the candidates behind each segment are counted, and each class allots its own segments at the
-   least cost, so that it avoids those it shares with a large group. Candidates of other components are verified exactly.
+2. Signatures held by several classes give each class a hub it shares most of them with. These links are verified exactly,
+   and linked classes joined to components. A group of near copies is mostly one component after this, without a pair
+   between its other members.
+3. Signatures that classes of several components still share give candidates: all pairs of different components where few
+   classes hold the signature. A pair that shares none of these shares one that many hold, so both are crowded.
+4. Crowded classes are partitioned anew: segments are indexed with all their one-deletion neighbours, the candidates behind
+   each segment are counted, and each class allots its own segments at the least cost, so that it avoids those it shares
+   with a large group. Candidates of other components are verified exactly.
 
 Shingles, classes and signatures are 64-bit hashes; apart from their collisions the join is exact.
 
@@ -38,6 +40,8 @@ from signpost.llm.components import components
 #: Similarity as a fraction, so that every bound is a whole number.
 NUMERATOR, DENOMINATOR = 9, 10
 SHINGLE = 3
+#: Classes behind a signature up to which all its pairs of different components are candidates.
+CROWD = 32
 #: Rows per output batch of the signature pass, in documents.
 SLICE = 256
 
@@ -199,8 +203,10 @@ def _allotments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for fp, scheme, costs in zip(b["fp"], b["scheme"], b["costs"], strict=True):
             seg = np.array([c["seg"] for c in costs])
-            out = allot(np.array([c["equal"] for c in costs], float), np.array([c["within"] for c in costs], float))
-            yield pd.DataFrame({"fp": fp, "scheme": scheme, "seg": seg[out > 0], "units": out[out > 0]})
+            equal, within = (np.array([c[k] for c in costs], float) for k in ("equal", "within"))
+            out = allot(equal, within)
+            total = equal[out == 1].sum() + within[out == 2].sum()
+            yield pd.DataFrame({"fp": fp, "scheme": scheme, "total": total, "seg": seg, "units": out})
 
 
 def _verified(pairs: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
@@ -230,29 +236,21 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(named, "fp", "left").withColumn("comp", F.coalesce("known", "fp")).drop("known")
 
 
-def _contested(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """Classes (fp) that share a signature with a class of another component."""
-    rows = _labelled(shared.select("sig", "fp"), labels)
-    open_sigs = rows.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
-    return shared.join(open_sigs, "sig", "left_semi").select("fp", "n").distinct()
-
-
-def _allotted_candidates(contested: DataFrame, tokens: DataFrame, labels: DataFrame, bands: Bands) -> DataFrame:
-    """Pairs (a, b) of contested classes of different components that meet in an allotted segment."""
-    rows = contested.join(tokens, "fp").select("fp", "n", "tokens")
+def _allotted_candidates(crowded: DataFrame, tokens: DataFrame, labels: DataFrame, bands: Bands) -> DataFrame:
+    """Pairs (a, b) of these classes, of different components, that meet in an allotted segment."""
+    rows = crowded.join(tokens, "fp").select("fp", "n", "tokens")
     schema = "fp long, n int, own boolean, scheme int, seg int, sig long, gone array<long>"
     segs = written(_labelled(rows.mapInPandas(_neighbour_rows(bands), schema), labels), "class-segments")
     equal = segs.select("fp", "n", "comp", "own", "scheme", "seg", "sig", F.lit(False).alias("less"))
     less = segs.select("fp", "n", "comp", "own", "scheme", "seg", F.explode("gone").alias("sig"), F.lit(True).alias("less"))
     every = equal.unionAll(less)
-    index = every.where("own").select("sig", "fp", "n", "comp", "less")
-    counts = index.groupBy("sig").agg(
+    counts = every.groupBy("sig").agg(
         F.sum(F.when(F.col("less"), 0).otherwise(1)).alias("n_equal"),
         F.sum(F.when(F.col("less"), 1).otherwise(0)).alias("n_less"),
         F.min("comp").alias("low"),
         F.max("comp").alias("high"),
     )
-    seen = every.join(counts, "sig", "left").where("low is not null")
+    seen = every.join(counts, "sig")
     foreign = (F.col("low") != F.col("comp")) | (F.col("high") != F.col("comp"))
     cost = lambda c: F.when(foreign, F.col(c)).otherwise(0)
     costs = seen.groupBy("fp", "scheme", "seg").agg(
@@ -262,38 +260,67 @@ def _allotted_candidates(contested: DataFrame, tokens: DataFrame, labels: DataFr
     filled = segs.select("fp", "scheme", "seg").join(costs, ["fp", "scheme", "seg"], "left").fillna(0, ["equal", "within"])
     # one class's segments: a tenth of its size
     by_class = filled.groupBy("fp", "scheme").agg(F.collect_list(F.struct("seg", "equal", "within")).alias("costs"))
-    units = by_class.mapInPandas(_allotments, "fp long, scheme int, seg int, units int")
-    probe = (
-        every.join(units, ["fp", "scheme", "seg"])
-        .where("not less or units = 2")
-        .select(F.col("sig"), F.col("fp").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"), F.col("less").alias("pl"), "units")
+    allotted = by_class.mapInPandas(_allotments, "fp long, scheme int, total double, seg int, units int")
+    rows = written(every.join(allotted, ["fp", "scheme", "seg"]).drop("scheme", "seg"), "allotted-segments")
+    probe = rows.where("units = 2 or (units = 1 and not less)")
+    # of two classes the one with the cheaper allotment looks the other up; in a scheme of the smaller one's band
+    meets = F.expr(
+        f"""p.sig = i.sig and p.comp <> i.comp and (p.own or i.own) and (p.total < i.total or (p.total = i.total and p.fp < i.fp))
+        and least(p.n, i.n) * {bands.den} >= greatest(p.n, i.n) * {bands.num}
+        and (not i.less or (p.units = 2 and not p.less))"""
+    )
+    pairs = probe.alias("p").join(rows.alias("i"), meets)
+    return pairs.select(F.greatest("p.fp", "i.fp").alias("a"), F.least("p.fp", "i.fp").alias("b")).distinct()
+
+
+def _stars(shared: DataFrame) -> DataFrame:
+    """(a, b): each class with the hub it shares most signatures with. The hub of a signature is the class among its
+    holders that shares most with others, which in a group of near copies is one close to their origin."""
+    sizes = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("holders"))
+    scores = shared.join(sizes, "sig").groupBy("fp").agg(F.sum("holders").alias("score"))
+    ranked = shared.join(scores, "fp").select("sig", "fp", F.struct("score", "fp").alias("rank"))
+    hubs = ranked.groupBy("sig").agg(F.max("rank").alias("top")).select("sig", F.col("top.fp").alias("hub"))
+    votes = shared.join(hubs, "sig").where("fp <> hub").groupBy("fp", "hub").agg(F.count(F.lit(1)).alias("votes"))
+    best = votes.groupBy("fp").agg(F.max(F.struct("votes", "hub")).alias("best"))
+    return best.select(F.col("fp").alias("a"), F.col("best.hub").alias("b"))
+
+
+def _open_rows(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """sig, fp, n, comp and holders (classes of the signature), for signatures that several components share."""
+    rows = _labelled(shared, labels)
+    counts = rows.groupBy("sig").agg(
+        F.count(F.lit(1)).alias("holders"), F.min("comp").alias("x"), F.max("comp").alias("y")
     )
-    meets = (
-        (F.col("pc") != F.col("comp"))
-        & ((F.col("n") < F.col("pn")) | ((F.col("n") == F.col("pn")) & (F.col("fp") < F.col("p"))))
-        & (F.col("n") * bands.den >= F.col("pn") * bands.num)
-        & (~F.col("less") | ((F.col("units") == 2) & ~F.col("pl")))
+    return rows.join(counts.where("x <> y").select("sig", "holders"), "sig")
+
+
+def _small_group_candidates(rows: DataFrame, bands: Bands) -> DataFrame:
+    """Pairs (a, b) of different components that share a signature of at most CROWD classes."""
+    few = rows.where(F.col("holders") <= CROWD).select("sig", "fp", "n", "comp")
+    x, y = few.alias("x"), few.alias("y")
+    partners = F.expr(
+        f"x.sig = y.sig and x.fp > y.fp and x.comp <> y.comp and least(x.n, y.n) * {bands.den} >= greatest(x.n, y.n) * {bands.num}"
     )
-    pairs = probe.alias("q").join(index.alias("i"), (F.col("q.sig") == F.col("i.sig")) & meets)
-    return pairs.select(F.col("p").alias("a"), F.col("i.fp").alias("b")).distinct()
+    return x.join(y, partners).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
 
 
-def class_links(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+def class_links(
+    docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, shingle: int = SHINGLE
+) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, fp) per document, and (node, component) of linked classes."""
     bands = Bands(num, den)
     schema = "doc_id long, n int, fp long, sigs array<long>"
     sets = written(docs.select("doc_id", "text").mapInPandas(_set_rows(bands, shingle), schema), "shingle-sets")
-    rows = sets.select("fp", "n", F.explode("sigs").alias("sig"))
-    hubs = rows.groupBy("sig").agg(F.min("fp").alias("hub"), F.max("fp").alias("other")).where("hub <> other")
-    shared = written(rows.join(hubs.select("sig", "hub"), "sig").distinct(), "shared-signatures")
-    votes = shared.where("fp <> hub").groupBy("fp", "hub").agg(F.count(F.lit(1)).alias("votes"))
-    stars = votes.groupBy("fp").agg(F.max(F.struct("votes", F.bitwise_not("hub").alias("h"))).alias("best"))
-    stars = written(stars.select(F.col("fp").alias("a"), F.bitwise_not("best.h").alias("b")), "stars")
+    rows = sets.select("fp", "n", F.explode_outer("sigs").alias("sig"))
+    held = rows.groupBy("sig").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y")
+    shared = written(rows.join(held.select("sig"), "sig", "left_semi").distinct(), "shared-signatures")
     tokens = _tokens_of(shared.select("fp").distinct(), sets, docs, shingle)
-    links = written(_verified(stars, tokens, num, den), "star-links")
+    links = written(_verified(written(_stars(shared), "stars"), tokens, num, den), "star-links")
     labels = written(components(links), "labels")
-    contested = written(_contested(shared, labels), "contested")
-    more = _verified(_allotted_candidates(contested, tokens, labels, bands), tokens, num, den)
+    rows = written(_open_rows(shared, labels), "open-rows")
+    crowded = rows.where(F.col("holders") > CROWD).select("fp", "n").distinct()
+    pairs = _small_group_candidates(rows, bands).unionAll(_allotted_candidates(crowded, tokens, labels, bands))
+    more = _verified(written(pairs.distinct(), "candidates"), tokens, num, den)
     links = written(links.unionAll(more), "all-links")
     return sets.select("doc_id", "n", "fp"), written(components(links), "labels")
 
