@@ -21,23 +21,28 @@ from signpost.operators.windows import keep_last
 NAMES = S.CATALOG.names
 
 
+def _whole_row(df: DataFrame) -> Column:
+    """A total order over rows that hold no order of their own."""
+    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+
+
 def dedupe_batch(batch: DataFrame) -> DataFrame:
-    """Last row per name by `seq` wins."""
-    return keep_last(batch, "name", [F.desc("seq")])
+    """One row per name: the last by `seq`, or without one the last in the order of the whole rows' JSON."""
+    order = [F.desc("seq")] if "seq" in batch.columns else []
+    return keep_last(batch, "name", [*order, F.desc(_whole_row(batch))])
 
 
 def upsert_catalog(
     catalog: DataFrame, batch: DataFrame, as_of: Column | None = None, preserve_all: bool = False
 ) -> DataFrame:
-    """Insert or replace by name; a batch with `seq` may repeat names.
+    """Insert or replace by name; of rows that repeat a name one stands, as `dedupe_batch` says.
 
     A replaced entry keeps its use count unless zero, its success rate, its registration time, and its vector
     unless a new one is given; its last use and failure count start afresh. `preserve_all` keeps those too.
     """
-    repeats = "seq" in batch.columns
-    entries = normalize_entries(dedupe_batch(batch) if repeats else batch, as_of).select(*NAMES)
-    touched = batch.select(F.coalesce("name", F.lit("")).alias("name"))
-    touched = touched.distinct() if repeats else touched
+    batch = batch.withColumn("name", F.coalesce("name", F.lit("")))
+    entries = normalize_entries(dedupe_batch(batch), as_of).select(*NAMES)
+    touched = batch.select("name").distinct()
     untouched = catalog.select(*NAMES).join(touched, "name", "left_anti")
     kept = ["usage_count", "success_rate", "embedding", "registered_at", "last_used_at", "consecutive_failures"]
     old = catalog.select("name", *[F.col(c).alias(f"_{c}") for c in kept]).join(touched, "name", "left_semi")
@@ -111,16 +116,16 @@ def update_entries(
 ) -> tuple[DataFrame, DataFrame]:
     """Validated change of known entries: the next catalog and the judged updates.
 
-    Given fields replace, others stay; several updates of a name apply in `seq` order. Custom triggers and boost
+    Given fields replace, others stay; several updates of a name apply in `seq` order, without
+    one in the order of the whole rows' JSON. Custom triggers and boost
     keywords are lost, since the entry is built anew, unless `preserve_all`.
     """
     judged = Q.validate_update(updates, catalog)
+    order = F.col("seq")
     if "seq" not in judged.columns:
-        judged = judged.withColumn("seq", F.lit(0))
-    text = [
-        F.max_by(c, F.when(Q.given(F.col(c)), F.col("seq"))).alias(f"_{c}") for c in UPDATABLE_TEXT
-    ]
-    lists = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"_{c}") for c in UPDATABLE_LISTS]
+        order, judged = _whole_row(judged), judged.withColumn("seq", F.lit(0))
+    text = [F.max_by(c, F.when(Q.given(F.col(c)), order)).alias(f"_{c}") for c in UPDATABLE_TEXT]
+    lists = [F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(f"_{c}") for c in UPDATABLE_LISTS]
     changes = judged.filter("valid").groupBy(F.col("entry").alias("name")).agg(*text, *lists)
     kept = [c for c in ("triggers", "boost_keywords", "last_used_at") if preserve_all]
     current = catalog.select("name", *UPDATABLE_TEXT, *UPDATABLE_LISTS, *kept).join(changes, "name")
@@ -142,11 +147,11 @@ def embed_missing(catalog: DataFrame, embed: Embedder) -> DataFrame:
     """`name, embedding` of the entries lacking a vector, as the user's function gives them.
 
     `embed` maps batches of (name, search_text) to (name, embedding); entries with a vector never reach Python.
-    The embedder is given the first 2000 characters, the input limit this catalog is defined with.
+    The embedder is given the whole search text; how much of it a model takes in is the function's affair.
     """
     lacking = catalog.filter(F.col("embedding").isNull())
     text = F.coalesce(blank_to_null(F.col("search_text")), catalog_search_text())
-    inputs = lacking.select("name", F.substring(text, 1, S.EMBED_CHARS).alias("search_text"))
+    inputs = lacking.select("name", text.alias("search_text"))
     return inputs.mapInPandas(embed, "name string, embedding array<float>")
 
 

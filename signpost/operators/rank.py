@@ -68,8 +68,8 @@ def fuse_scores(
 
 
 def effective_top_k(top_k: int | None) -> int:
-    """0 or None means the default; callers' values are capped."""
-    return min(top_k or S.TOP_K, S.MAX_TOP_K)
+    """0 or None means the default."""
+    return top_k or S.TOP_K
 
 
 def rank_top_k(scored: DataFrame, top_k: int | None = S.TOP_K) -> DataFrame:

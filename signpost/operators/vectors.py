@@ -175,9 +175,11 @@ def centroid_search(
     )
 
 
-def semantic_stage(index: VectorIndex, queries: DataFrame) -> DataFrame:
-    """Cosine times the stage weight for the best entries of each query."""
-    found = centroid_search(index, queries, S.VECTOR_TOP_K)
+def semantic_stage(
+    index: VectorIndex, queries: DataFrame, top_k: int = S.VECTOR_TOP_K, categories: int = S.VECTOR_CATEGORIES
+) -> DataFrame:
+    """Cosine times the stage weight for the best `top_k` entries of each query's nearest `categories`."""
+    found = centroid_search(index, queries, top_k, categories)
     return found.select("query_id", "name", (F.col("cosine") * F.lit(S.SEMANTIC_WEIGHT)).alias("score"))
 
 

@@ -18,6 +18,8 @@ def stage_scores(
     queries: DataFrame,
     text_index: L.TextIndex | None = None,
     vector_index: V.VectorIndex | None = None,
+    vector_k: int = S.VECTOR_TOP_K,
+    vector_categories: int = S.VECTOR_CATEGORIES,
 ) -> DataFrame:
     """Trigger, keyword and semantic score of every candidate: `query_id, name, trigger, keyword, semantic`.
 
@@ -36,7 +38,7 @@ def stage_scores(
         R.stage_frame(triggers, "trigger", F.col("hits") * F.lit(S.TRIGGER_WEIGHT)),
     ]
     if vector_index is not None:
-        semantic = L.by_name(V.semantic_stage(vector_index, queries))
+        semantic = L.by_name(V.semantic_stage(vector_index, queries, vector_k, vector_categories))
         frames.append(R.stage_frame(semantic, "semantic", F.col("score")))
     return R.sum_stages(frames)
 
@@ -52,17 +54,21 @@ def route(
     as_of: Column | None = None,
     text_index: L.TextIndex | None = None,
     vector_index: V.VectorIndex | None = None,
+    vector_k: int = S.VECTOR_TOP_K,
+    vector_categories: int = S.VECTOR_CATEGORIES,
     explorer_seed: str | None = None,
     explorer_percent: int = S.EXPLORER_PERCENT,
 ) -> DataFrame:
     """Best entries for each query of a batch.
 
     `queries(query_id, query_text[, embedding])`. Without `vector_index` the other stages answer alone; without
-    `text_index` the needed part of it is built in the same plan. Give `explorer_seed` for the explorer slot.
+    `text_index` the needed part of it is built in the same plan. The semantic stage scores the
+    `vector_k` nearest entries from the `vector_categories` nearest categories; others get 0 from it. Give
+    `explorer_seed` for the explorer slot.
     """
     now = F.current_timestamp() if as_of is None else as_of
     scored = R.fuse_scores(
-        stage_scores(catalog, queries, text_index, vector_index),
+        stage_scores(catalog, queries, text_index, vector_index, vector_k, vector_categories),
         catalog, now, threshold or S.THRESHOLD, weights, match,
     )
     ranked = R.rank_top_k(scored, top_k)

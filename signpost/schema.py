@@ -77,7 +77,6 @@ RECENCY_DAYS = 30.0
 
 # Result limits
 TOP_K = 5
-MAX_TOP_K = 20
 THRESHOLD = 0.1
 VECTOR_TOP_K = 20
 VECTOR_CATEGORIES = 4
@@ -100,7 +99,6 @@ RECOVERY_SECONDS = 60.0
 
 # Text limits
 RESULT_CHARS = 4000
-EMBED_CHARS = 2000
 ERROR_CHARS = 50
 TRUNCATION_MARK = "\n... (truncated)"
 

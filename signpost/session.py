@@ -23,6 +23,7 @@ SETTINGS = {
 def local_session(app: str = "signpost", cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """Single-machine session for tests and the benchmark."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
+    builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix=f"{app}-"))
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     spark = (
@@ -46,10 +47,5 @@ def shuffle_partitions(df: DataFrame) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor reaches, as the cluster names it; only a test session lacks one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="signpost-")
+    """Folder every executor reaches, as the cluster names it; without one a folder in the warehouse, which is shared too."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/shared"

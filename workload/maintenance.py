@@ -290,7 +290,7 @@ def fill_embeddings(spark, sf_dir):
     return filled.select("name", F.array_join(F.transform("embedding", lambda x: (x * 256).cast("int")), ",").alias("vector"))
 
 
-EMBEDDED = f"""WITH {T.DOCUMENTS}, h AS (SELECT name, md5(substring(search_text, 1, 2000)) AS h FROM doc_catalog)
+EMBEDDED = f"""WITH {T.DOCUMENTS}, h AS (SELECT name, md5(search_text) AS h FROM doc_catalog)
 SELECT name, CASE WHEN doc_id IS NOT NULL THEN quality * 256 || ',' || toxic * 256 ELSE
   array_to_string([CAST('0x' || substr(h, i * 2 + 1, 2) AS INTEGER) FOR i IN range(8)], ',') END AS vector
 FROM h LEFT JOIN labels ON name = 'doc_' || doc_id"""

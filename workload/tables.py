@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from signpost.functions.text import query_words  # noqa: F401  (re-exported for the query modules)
 from signpost.operators.entries import normalize_entries
 from signpost.operators.usage import apply_usage, fold_usage
+from signpost.session import shuffle_partitions
 
 AS_OF_TEXT = "2024-01-31 00:00:00"
 
@@ -24,12 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a table that comes in fewer splits than the session has cores; a large one stays as it is.
-
-    The test tables are one row group each, which one task would otherwise tokenise alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    """Spread a table by its key: the test tables are one row group each, which one task would tokenise alone."""
+    return df.repartition(shuffle_partitions(df), key)
 
 
 # ---- documents as a text catalog ----
