@@ -136,7 +136,8 @@ def _matches(docs: DataFrame, items: DataFrame, k: int, similarity: float) -> Da
     )
     holders = hits.select(F.col("doc_id").alias("i"), F.col("version").alias("v")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("version") == F.col("v"))
-    texts = d.join(holders, same, "left_semi").dropDuplicates(["doc_id", "version"])
+    # by exchange at every size, so that the cost follows the input; the text is never sorted for it
+    texts = d.join(holders.hint("shuffle_hash"), same, "left_semi").dropDuplicates(["doc_id", "version"])
     t, h = shingled(texts, k).alias("t"), hits.alias("h")
     windows = h.join(t, F.expr("t.doc_id <=> h.doc_id and t.version = h.version")).select(
         "h.*", F.slice("t.sh", F.col("h.start") + 1, F.col("h.n")).alias("window")
