@@ -144,8 +144,9 @@ def revealing_terms(
     holders = held.join(owned.select("version").distinct(), "version", "left_semi")
     t = docs.select(F.col("doc_id").alias("i"), F.coalesce("text", F.lit("")).alias("text"))
     t = t.withColumn("v", F.xxhash64("text"))
+    # by exchange at every size, so that the cost follows the input
     texts = t.join(
-        holders, F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("v") == F.col("version")), "inner"
+        holders.hint("shuffle_hash"), F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("v") == F.col("version")), "inner"
     ).select("version", "text", "spans").dropDuplicates(["version"])
     placed = written(placed_words(texts), "entity-words")
     together = (
