@@ -99,15 +99,17 @@ def _counts(kind: str, hit: Column) -> Column:
 
 
 def base_hits(docs: DataFrame) -> DataFrame:
-    """doc_id, version (hash of the text), and per kind the array of hits."""
+    """doc_id, version (hash of the text), per kind the array of hits, and the text where there are any."""
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("version", F.xxhash64("text"))
     none = F.array().cast(HITS)
     found = d.select(
         "doc_id",
         "version",
+        "text",
         *[F.when(GUARDS[k](F.col("text")), pattern_hits(F.col("text"), PATTERNS[k])).otherwise(none).alias(k) for k in KINDS],
     )
-    return found.select("doc_id", "version", *[F.filter(k, _test(k)).alias(k) for k in KINDS])
+    hits = found.select("doc_id", "version", "text", *[F.filter(k, _test(k)).alias(k) for k in KINDS])
+    return hits.withColumn("text", F.when(F.size(F.concat(*KINDS)) > 0, F.col("text")))
 
 
 def placed_words(texts: DataFrame) -> DataFrame:
@@ -135,19 +137,13 @@ def revealing_terms(
     held = base.where(F.size(spans) > 0).groupBy("version").agg(
         F.first(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).alias("spans"),
         F.first(F.array_distinct(F.concat(*[F.transform(k, _identity(k)) for k in KINDS]))).alias("entities"),
-        F.min("doc_id").alias("doc_id"),
+        F.first("text").alias("text"),
     )
     held = written(held, "entity-texts")
     owned = held.select("version", F.explode("entities").alias("entity"))
     entities = owned.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= support)
     owned = owned.join(entities, "entity")
-    holders = held.join(owned.select("version").distinct(), "version", "left_semi")
-    t = docs.select(F.col("doc_id").alias("i"), F.coalesce("text", F.lit("")).alias("text"))
-    t = t.withColumn("v", F.xxhash64("text"))
-    # by exchange at every size, so that the cost follows the input
-    texts = t.join(
-        holders.hint("shuffle_hash"), F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("v") == F.col("version")), "inner"
-    ).select("version", "text", "spans").dropDuplicates(["version"])
+    texts = held.join(owned.select("version").distinct(), "version", "left_semi").select("version", "text", "spans")
     placed = written(placed_words(texts), "entity-words")
     together = (
         placed.select("version", "term").distinct().join(owned, "version")
@@ -161,11 +157,12 @@ def revealing_terms(
         F.array_distinct(F.split(lower_ascii(F.col("text")), r"[\x20\x09-\x0D]+", -1)),
         lambda w: F.regexp_replace(w, r"^\p{Punct}++|\p{Punct}++$", ""),
     )
-    frequency = (
-        t.select("v", F.explode(F.array_distinct(cleaned)).alias("term"))
-        .join(terms, "term").distinct()
-        .groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    )
+    # every text once, with its words; then counts of all terms, added up before the exchange
+    distinct = docs.select(F.coalesce("text", F.lit("")).alias("text")).select(
+        F.xxhash64("text").alias("v"), F.array_distinct(cleaned).alias("words")
+    ).dropDuplicates(["v"])
+    counts = distinct.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    frequency = counts.join(terms, "term", "left_semi")
     bits = F.log2(n_texts * F.col("n_te") / (F.col("n_t").cast("double") * F.col("n_e")))
     held_bits = F.log2(n_texts / F.col("n_e").cast("double"))
     told = (
@@ -186,7 +183,7 @@ def find_personal_data(
     terms = revealing_terms(docs, base, support=support, generalise_at=generalise_at)
     by_text = terms.groupBy("version").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
     none = F.array().cast("array<struct<start:int,end:int,share:double>>")
-    return base.join(by_text, "version", "left").withColumn("terms", F.coalesce("terms", none))
+    return base.drop("text").join(by_text, "version", "left").withColumn("terms", F.coalesce("terms", none))
 
 
 def sanitise(docs: DataFrame, found: DataFrame, *, remove_at: float = REMOVE_AT) -> DataFrame:
