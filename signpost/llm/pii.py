@@ -162,7 +162,8 @@ def revealing_terms(
         F.xxhash64("text").alias("v"), F.array_distinct(cleaned).alias("words")
     ).dropDuplicates(["v"])
     counts = distinct.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    frequency = counts.join(terms, "term", "left_semi")
+    # an inner join: a semi join would be moved below the counting
+    frequency = counts.join(terms, "term")
     bits = F.log2(n_texts * F.col("n_te") / (F.col("n_t").cast("double") * F.col("n_e")))
     held_bits = F.log2(n_texts / F.col("n_e").cast("double"))
     told = (
