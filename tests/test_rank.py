@@ -9,7 +9,7 @@ from signpost.operators.catalog import upsert_catalog
 from signpost.plans.indexes import write_text_index, write_vector_index
 from signpost.plans.route import route
 
-QUERIES = ["take a screenshot", "extract table data", "extract data", "navigate to URL", "xyzzy foobar", "quantum blockchain"]
+QUERIES = ["prune roses", "soil acidity survey", "plot tray", "water raised beds", "xyzzy foobar", "moonlight chamomile"]
 
 
 def results(df):
@@ -22,26 +22,27 @@ def results(df):
 def test_five_entries(spark):
     catalog = entries(spark, FIVE)
     assert results(route(catalog, ask(spark, *QUERIES), as_of=AS_OF)) == [
-        (0, "capture_screenshot", 6.63, 3.0, 2.630941),
-        (1, "extract_table_data", 9.93, 3.0, 5.929414),
-        (1, "ai_read", 2.21, 0.0, 1.213712),
-        (2, "extract_table_data", 4.68, 0.0, 3.682066),
-        (2, "ai_read", 2.21, 0.0, 1.213712),
-        (3, "ai_surf", 11.16, 6.0, 4.164058),
+        (0, "prune_roses", 8.15, 3.0, 4.145095),
+        (1, "soil_survey", 11.77, 6.0, 4.772085),
+        (1, "sow_seeds", 1.86, 0.0, 0.861511),
+        (2, "soil_survey", 2.68, 0.0, 1.677292),
+        (2, "sow_seeds", 2.36, 0.0, 1.364192),
+        (3, "water_beds", 6.65, 0.0, 5.647846),
     ]
 
 
 def test_corpus_figures_follow_the_catalog(spark):
     catalog = entries(spark, FIVE)
     stats = L.text_index_stats(L.build_text_index(catalog)).first()
-    assert (stats.terms, stats.avg_doc_len) == (39, 20.6)
+    assert (stats.terms, stats.avg_doc_len) == (69, 20.2)
     more = upsert_catalog(catalog, raw(spark, [SIXTH]), AS_OF)
     stats = L.text_index_stats(L.build_text_index(more)).first()
-    assert (stats.terms, stats.avg_doc_len) == (49, 20.7)
-    assert results(route(more, ask(spark, "quantum blockchain", "navigate to URL"), as_of=AS_OF)) == [
-        (0, "new_unique_tool", 4.06, 0.0, 3.060695),
-        (1, "ai_surf", 11.63, 6.0, 4.630536),
-        (1, "new_unique_tool", 4.0, 3.0, 0.0),
+    assert (stats.terms, stats.avg_doc_len) == (81, 20.8)
+    assert results(route(more, ask(spark, "moonlight chamomile", "sow at night"), as_of=AS_OF)) == [
+        (0, "brew_night_tea", 3.9, 0.0, 2.90053),
+        (1, "brew_night_tea", 6.54, 3.0, 2.540083),
+        (1, "sow_seeds", 6.42, 3.0, 2.416557),
+        (1, "water_beds", 4.0, 3.0, 0.0),
     ]
 
 
@@ -76,8 +77,8 @@ def test_threshold_uses_the_unrounded_score(spark):
 
 def test_repeated_query_words_count(spark):
     catalog = entries(spark, FIVE)
-    once = L.trigger_match(catalog, ask(spark, "click")).first()
-    twice = L.trigger_match(catalog, ask(spark, "click click")).first()
+    once = L.trigger_match(catalog, ask(spark, "bees")).first()
+    twice = L.trigger_match(catalog, ask(spark, "bees bees")).first()
     assert (once.score, twice.score) == (3.0, 6.0)
 
 
@@ -100,7 +101,7 @@ def test_trigger_blocking_equals_brute_force(spark, sf_dir):
 
 
 def test_top_k_is_a_prefix_of_the_next(spark):
-    catalog, queries = entries(spark, FIVE), ask(spark, "the page web", "read page")
+    catalog, queries = entries(spark, FIVE), ask(spark, "soil garden", "garden")
     one, two = [
         {(r.query_id, r["rank"]): r["name"] for r in route(catalog, queries, top_k=k, as_of=AS_OF).collect()} for k in (1, 2)
     ]
@@ -114,7 +115,7 @@ def test_top_k_defaults_and_cap():
 def test_explorer_never_displaces(spark):
     catalog = entries(spark, FIVE + [{"name": "idle_one", "description": "zzz"}])
     catalog = catalog.withColumn("usage_count", F.when(F.col("name") == "idle_one", 0).otherwise(3).cast("long"))
-    queries = ask(spark, "the page web", "screenshot")
+    queries = ask(spark, "soil garden", "irrigate")
     plain = route(catalog, queries, as_of=AS_OF)
     with_slot = route(catalog, queries, as_of=AS_OF, explorer_seed="s", explorer_percent=100)
     assert results(with_slot.filter("not explorer")) == results(plain)
@@ -210,6 +211,6 @@ def test_route_with_vectors(spark):
 
 def test_source_weights_scale_the_score(spark):
     catalog = entries(spark, [{**e, "source": "local"} for e in FIVE])
-    plain = route(catalog, ask(spark, "take a screenshot"), as_of=AS_OF).first().score
-    scaled = route(catalog, ask(spark, "take a screenshot"), as_of=AS_OF, weights={"local": 0.8}).first().score
+    plain = route(catalog, ask(spark, "prune roses"), as_of=AS_OF).first().score
+    scaled = route(catalog, ask(spark, "prune roses"), as_of=AS_OF, weights={"local": 0.8}).first().score
     assert scaled == pytest.approx(plain * 0.8, abs=0.011)

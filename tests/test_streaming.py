@@ -73,7 +73,7 @@ def test_circuit_stream_equals_batch(spark, tmp_path):
 
 
 def test_route_stream_equals_batch(spark, tmp_path):
-    queries = ask(spark, "take a screenshot", "extract table data", "navigate to URL")
+    queries = ask(spark, "prune roses", "soil acidity survey", "plot tray")
     queries.write.parquet(f"{tmp_path}/queries")
     catalog = entries(spark, FIVE)
     source = spark.readStream.schema(queries.schema).parquet(f"{tmp_path}/queries")
