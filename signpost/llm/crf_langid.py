@@ -6,8 +6,8 @@ Forward-backward gives every word's probabilities; a document's language is the
 that hold a letter, and its score that sum's share.
 
 Training text is cut into word sequences and joined across languages, so that the field sees switches; it is fitted by
-Adam on the exact likelihood, on `max_pieces` word sequences from `max_docs` documents of each language, drawn by hash. A sequence is a
-line's words, at most `MAX_RUN` at a time; every word of every text is labelled.
+Adam on the exact likelihood, on at most `max_pieces` word sequences from at most `max_docs` documents of each language, drawn by
+hash. A sequence is a line's words, at most `MAX_RUN` at a time; every word of every text is labelled.
 
 Defined cases: texts that are null or hold no letter are `und` with score 0; rows without language are not learned from;
 without any learned language every row is `und`; repeated rows are labelled alike; ties go to the first language in code
@@ -19,18 +19,25 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from signpost.llm.common import written
+
 MAX_DOCS = 400
 MAX_PIECES = 2_500
 #: Words per training sequence before two are joined.
 PIECE = 24
 MAX_RUN = 96
 MAX_FEATURES = 40_000
+#: Words whose scores a task keeps before it starts anew; results do not depend on it.
+KNOWN_WORDS = 200_000
+#: Hashes that decide on a sample lie below this.
+UNIT = 2**31
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -84,38 +91,50 @@ def forward_backward(emit: np.ndarray, length: np.ndarray, trans: np.ndarray, st
 
 
 class Field:
-    """Learned weights; a few MB, so it travels with every task."""
+    """Learned weights; a few MB, so it travels with every task. A task keeps the scores of words it has met."""
 
     def __init__(self, langs: list[str], index: dict[str, int], weights: np.ndarray, trans: np.ndarray, start: np.ndarray):
         self.langs, self.index, self.weights, self.trans, self.start = langs, index, weights, trans, start
+        self._forget()
+
+    def _forget(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.emit = np.zeros((0, len(self.langs)))
+        self.lettered = np.zeros(0, bool)
 
     def emissions(self, vocabulary: list[str]) -> np.ndarray:
         """Scores (words, languages): sums of the known features' weights, all words at once."""
         get = self.index.get
         flat: list[int] = []
-        ends = np.zeros(len(vocabulary), np.int64)
+        sizes = np.zeros(len(vocabulary), np.int64)
         for i, w in enumerate(vocabulary):
-            flat += [j for f in word_features(w) if (j := get(f)) is not None]
-            ends[i] = len(flat)
-        sums = np.zeros((len(flat) + 1, len(self.langs)))
-        np.cumsum(self.weights[flat], axis=0, out=sums[1:])
-        return sums[ends] - sums[np.concatenate([[0], ends[:-1]])] if len(ends) else sums[:0]
+            found = [j for f in word_features(w) if (j := get(f)) is not None]
+            sizes[i] = len(found)
+            flat += found
+        owner = np.repeat(np.arange(len(vocabulary)), sizes)
+        rows = self.weights[flat]
+        sums = [np.bincount(owner, rows[:, k], len(vocabulary)) for k in range(len(self.langs))]
+        return np.stack(sums, axis=1) if len(vocabulary) else self.emit[:0]
 
-    def label_words(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Per text the (words, languages) posteriors of all its words in order."""
-        runs, owner = [], []
-        for i, t in enumerate(texts):
-            r = runs_of(t or "")
-            runs += r
-            owner += [i] * len(r)
-        return self._posteriors(runs, owner, len(texts))
-
-    def _posteriors(self, runs, owner, n_texts):
-        ids: dict[str, int] = {}
+    def _coded(self, runs: list[list[str]]) -> list[np.ndarray]:
+        """Word numbers of the runs; scores of new words are worked out."""
+        if len(self.ids) > KNOWN_WORDS:
+            self._forget()
+        ids = self.ids
         coded = [np.fromiter((ids.setdefault(w, len(ids)) for w in r), np.int64, len(r)) for r in runs]
-        emit = self.emissions(list(ids))
-        parts: list[list[np.ndarray]] = [[] for _ in range(n_texts)]
-        found: list[np.ndarray | None] = [None] * len(runs)
+        new = list(islice(ids, len(self.emit), None))
+        self.emit = np.concatenate([self.emit, self.emissions(new)])
+        self.lettered = np.concatenate([self.lettered, np.fromiter((LETTER.search(w) is not None for w in new), bool, len(new))])
+        return coded
+
+    def _labelled(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Per text the posteriors of its words in order, and which words hold a letter."""
+        runs, cuts = [], [0]
+        for t in texts:
+            runs += runs_of(t or "")
+            cuts.append(len(runs))
+        coded = self._coded(runs)
+        found: list[np.ndarray] = [self.emit[:0]] * len(runs)
         order = sorted(range(len(runs)), key=lambda i: -len(runs[i]))
         for s in range(0, len(order), 512):
             rows = order[s : s + 512]
@@ -123,23 +142,24 @@ class Field:
             padded = np.zeros((len(rows), int(length[0])), np.int64)
             for j, i in enumerate(rows):
                 padded[j, : length[j]] = coded[i]
-            post, _, _ = forward_backward(emit[padded], length, self.trans, self.start)
+            post, _, _ = forward_backward(self.emit[padded], length, self.trans, self.start)
             for j, i in enumerate(rows):
                 found[i] = post[j, : length[j]]
-        for i, p in zip(owner, found, strict=True):
-            parts[i].append(p)
-        empty = np.zeros((0, len(self.langs)))
-        return [np.concatenate(p) if p else empty for p in parts]
+        joined = lambda parts, none: [np.concatenate([none, *parts[x:y]]) for x, y in zip(cuts, cuts[1:])]  # noqa: E731,B905
+        return joined(found, self.emit[:0]), joined([self.lettered[c] for c in coded], self.lettered[:0])
+
+    def label_words(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Per text the (words, languages) posteriors of all its words in order."""
+        return self._labelled(texts)[0]
 
     def label_texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, score) per text."""
         out = []
-        for t, post in zip(texts, self.label_words(texts), strict=True):
-            if not t or not LETTER.search(t):
+        for post, lettered in zip(*self._labelled(texts), strict=True):
+            if not lettered.any():
                 out.append(("und", 0.0))
                 continue
-            mask = np.fromiter((LETTER.search(w) is not None for r in runs_of(t) for w in r), bool, len(post))
-            share = post[mask].mean(0)
+            share = post[lettered].mean(0)
             out.append((self.langs[int(share.argmax())], float(min(1.0, share.max()))))
         return out
 
@@ -197,24 +217,39 @@ def fit_field(pairs: list[tuple[str, str]], *, epochs: int = 4, rate: float = 0.
     return Field(langs, index, w[0], w[1], w[2])
 
 
+def _shares(rows: DataFrame, counted: Column, most: int) -> Column:
+    """Below which hash a row of a language is kept, so that about 2 * most are. There are as many languages as the field has."""
+    counts = rows.groupBy("lang").agg(counted.alias("n")).collect()
+    limits = [(F.lit(r.lang), F.lit(min(1.0, 2 * most / max(1, r.n)) * UNIT)) for r in counts]
+    return F.create_map(*[x for pair in limits for x in pair])[F.col("lang")] if limits else F.lit(0.0)
+
+
 def train(docs: DataFrame, learnable: Column, *, max_docs: int = MAX_DOCS, max_pieces: int = MAX_PIECES) -> Field | None:
-    """Fit on at most max_docs documents of each language, and on max_pieces of their word sequences, both by hash."""
-    usable = docs.where(learnable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = usable.select("lang", "doc_id").withColumn("rank", rank).where(F.col("rank") <= max_docs).select("doc_id")
+    """Fit on at most max_docs documents of each language, and on max_pieces of their word sequences, both by hash.
+
+    Hashes below a share of the language's count give about twice as many, of which the driver keeps the smallest.
+    """
+    usable = docs.where(learnable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("lang", "doc_id", "text")
+    drawn = usable.select("lang", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(UNIT)).alias("u"))
+    drawn = drawn.where(F.col("u") < _shares(usable, F.approx_count_distinct("doc_id"), max_docs)).distinct().toPandas()
+    if drawn.empty:
+        return None
+    drawn = drawn.sort_values(["lang", "u", "doc_id"]).groupby("lang").head(max_docs)
+    chosen = docs.sparkSession.createDataFrame(drawn[["doc_id"]].drop_duplicates())
     # max_docs ids per language
-    texts = usable.select("lang", "doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id", "left_semi")
+    texts = written(usable.join(F.broadcast(chosen), "doc_id", "left_semi").dropDuplicates(["doc_id", "lang"]), "language-sample")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for lang, text in zip(b["lang"], b["text"], strict=True):
+            for doc_id, lang, text in zip(b["doc_id"], b["lang"], b["text"], strict=True):
                 pieces = [r[i : i + PIECE] for r in runs_of(text or "") for i in range(0, len(r), PIECE)]
                 if pieces:
-                    yield pd.DataFrame({"lang": lang, "piece": [" ".join(p) for p in pieces]})
+                    yield pd.DataFrame({"doc_id": doc_id, "at": range(len(pieces)), "lang": lang, "piece": [" ".join(p) for p in pieces]})
 
-    best = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("piece"), "piece"))
-    rows = texts.mapInPandas(cut, "lang string, piece string").withColumn("rank", best)
-    found = rows.where(F.col("rank") <= max_pieces).select("piece", "lang").toPandas()
+    rows = texts.mapInPandas(cut, "doc_id long, at long, lang string, piece string")
+    rows = rows.withColumn("u", F.pmod(F.xxhash64("doc_id", "at", "piece"), F.lit(UNIT)))
+    found = rows.where(F.col("u") < _shares(rows, F.count(F.lit(1)), max_pieces)).toPandas()
+    found = found.sort_values(["lang", "u", "piece"]).groupby("lang").head(max_pieces)
     return fit_field(sorted(zip(found["piece"], found["lang"], strict=True)))
 
 
@@ -223,7 +258,7 @@ def label_documents(docs: DataFrame, field: Field | None) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = [None if t is None else t for t in b["text"]]
+            texts = list(b["text"])
             found = [x for i in range(0, len(texts), 400) for x in field.label_texts(texts[i : i + 400])]
             yield pd.DataFrame({"doc_id": b["doc_id"].array, "lang_pred": [x[0] for x in found], "score": [x[1] for x in found]})
 
