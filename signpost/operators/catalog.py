@@ -97,6 +97,15 @@ def delete_provider(catalog: DataFrame, provider: str) -> DataFrame:
     return catalog.filter(~F.col("provider").eqNullSafe(F.lit(provider)))
 
 
+def deletion_report(catalog: DataFrame, column: str, value: str) -> DataFrame:
+    """One row for `purge_source` (column source) or `delete_provider` (column provider): value, deleted, found.
+
+    `found` is false where no entry has the value, and nothing is deleted.
+    """
+    gone = catalog.filter(F.col(column).eqNullSafe(F.lit(value))).agg(F.count("*").alias("deleted"))
+    return gone.select(F.lit(value).alias("value"), "deleted", (F.col("deleted") > 0).alias("found"))
+
+
 def create_entries(catalog: DataFrame, batch: DataFrame, as_of: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Validated insert: the next catalog and the judged batch. Triggers are derived, boost keywords not taken."""
     judged = Q.validate_new(batch, catalog)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from signpost import schema as S
@@ -29,7 +29,7 @@ def fallback_plan(
 
 
 def tried_candidates(plan: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Plan with each candidate's outcome and its query's winner rank, null when all fail.
+    """Plan with each candidate's outcome and its query's winner rank, null when all fail; the plan is computed once.
 
     `outcomes(name, success[, query_id])`; a candidate without an outcome has no handler and fails.
     """
@@ -37,10 +37,10 @@ def tried_candidates(plan: DataFrame, outcomes: DataFrame) -> DataFrame:
     known = plan.join(outcomes.select(*on, "success"), on, "left").withColumn(
         "success", F.coalesce("success", F.lit(False))
     )
-    won = known.groupBy("query_id").agg(
-        F.min(F.when(F.col("success"), F.col("rank"))).alias("winner_rank"), F.count("*").alias("candidates")
-    )
-    return known.join(won, "query_id")
+    # a query's candidates: a plan's few
+    per_query = Window.partitionBy("query_id")
+    won = F.min(F.when(F.col("success"), F.col("rank"))).over(per_query)
+    return known.select("*", won.alias("winner_rank"), F.count("*").over(per_query).alias("candidates"))
 
 
 def attempt_log(plan: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -129,8 +129,18 @@ def attach_details(results: DataFrame, catalog: DataFrame) -> DataFrame:
     return results.join(wide, "name")
 
 
-def no_match_report(queries: DataFrame, results: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Queries without a result, with the size of the catalog; its categories are `counts_by_category`."""
+def no_match_report(queries: DataFrame, results: DataFrame, catalog: DataFrame, categories: bool = False) -> DataFrame:
+    """Queries without a result, with the size of the catalog.
+
+    With `categories` also `category_counts`: (category, entries) of each, largest first, then by name.
+    """
     total = catalog.agg(F.count("*").alias("n")).scalar()
     missing = queries.join(results.select("query_id").distinct(), "query_id", "left_anti")
-    return missing.select("query_id", "query_text", total.alias("catalog_size"))
+    report = missing.select("query_id", "query_text", total.alias("catalog_size"))
+    if not categories:
+        return report
+    counts = catalog.groupBy("category").agg(F.count("*").alias("n"))
+    # one row per category of the catalog
+    listed = counts.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("minus"), "category"))).alias("all"))
+    pair = lambda c: F.struct(c["category"].alias("category"), (-c["minus"]).alias("entries"))
+    return report.withColumn("category_counts", listed.select(F.transform("all", pair).alias("all")).scalar())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,8 @@ from signpost.functions.text import blank_to_null
 
 def _commits(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return spark.read.schema("version long, note string").parquet(f"{path}/commits")
+        reader = spark.read.schema("version long, note string, folder string").option("recursiveFileLookup", "true")
+        return reader.parquet(f"{path}/commits")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -36,20 +39,32 @@ def is_committed(spark: SparkSession, path: str, note: str) -> bool:
 def write_snapshot(df: DataFrame, path: str, note: str | None = None) -> int:
     """Write a table as a new version, then commit it; readers see either the old or the new one.
 
-    The version being read is never overwritten, so a job may write what it derives from the current one.
+    A version's files lie in a folder of their own name, so nothing that was written is ever overwritten, and a job may
+    write what it derives from the current version. Of two writers that begin from the same version the second fails
+    when it commits, and its files stay unread. Only where both commit in the same moment may both fail; readers
+    then keep to the smaller folder name.
     """
     spark = df.sparkSession
     version = current_version(spark, path) + 1
-    df.write.mode("overwrite").parquet(f"{path}/versions/{version:012d}")
-    commit = spark.range(1).select(F.lit(version).cast("long").alias("version"), F.lit(note).cast("string").alias("note"))
-    commit.coalesce(1).write.mode("append").parquet(f"{path}/commits")
+    folder = f"{version:012d}-{uuid4().hex}"
+    df.write.parquet(f"{path}/versions/{folder}")
+    commit = spark.range(1).select(
+        F.lit(version).cast("long").alias("version"), F.lit(note).cast("string").alias("note"), F.lit(folder).alias("folder")
+    )
+    commit.coalesce(1).write.mode("errorifexists").parquet(f"{path}/commits/{version:012d}")
+    if _commits(spark, path).filter(F.col("version") == version).count() > 1:
+        raise RuntimeError(f"another writer committed version {version} of {path}")
     return version
 
 
 def read_snapshot(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
     """A committed version, the current one unless asked otherwise; None before the first commit."""
-    version = version or current_version(spark, path)
-    return spark.read.parquet(f"{path}/versions/{version:012d}") if version else None
+    commits = _commits(spark, path)
+    if commits is None:
+        return None
+    wanted = commits if version is None else commits.filter(F.col("version") == version)
+    found = wanted.groupBy("version").agg(F.min("folder").alias("folder")).orderBy(F.desc("version")).first()
+    return None if found is None else spark.read.parquet(f"{path}/versions/{found.folder}")
 
 
 def write_catalog(catalog: DataFrame, path: str, note: str | None = None) -> int:

@@ -113,6 +113,8 @@ def test_deletes(spark):
         return sorted(r["name"] for r in df.collect())
 
     assert left(C.purge_source(catalog, "s")) == ["c"]
+    assert C.deletion_report(catalog, "source", "s").first()["deleted"] == catalog.count() - 1
+    assert tuple(C.deletion_report(catalog, "source", "nowhere").first()) == ("nowhere", 0, False)
     assert left(C.delete_provider(catalog, "p")) == ["b"]
     names = spark.createDataFrame([("a",), ("zz",), ("zz",)], "name string")
     assert left(C.delete_names(catalog, names)) == ["b", "c"]

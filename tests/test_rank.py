@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 from fixtures import AS_OF, FIVE, SIXTH, ask, entries, raw
 from pyspark.sql import functions as F
@@ -128,6 +130,10 @@ def test_no_match_report(spark):
     catalog, queries = entries(spark, FIVE), ask(spark, *QUERIES)
     missing = R.no_match_report(queries, route(catalog, queries, as_of=AS_OF), catalog).collect()
     assert sorted((r.query_id, r.catalog_size) for r in missing) == [(4, 5), (5, 5)]
+    counted = R.no_match_report(queries, route(catalog, queries, as_of=AS_OF), catalog, categories=True).collect()
+    of = Counter(r["category"] for r in catalog.collect())
+    expected = sorted(of.items(), key=lambda x: (-x[1], x[0]))
+    assert [[tuple(c) for c in r.category_counts] for r in counted] == [expected, expected]
 
 
 VECTORS = [("a1", "A", [1.0, 0.0]), ("a2", "A", [0.8, 0.6]), ("b1", "B", [0.0, 1.0])]

@@ -2,6 +2,7 @@ import json
 
 import pytest
 from fixtures import AS_OF, MANIFEST, ask, entries, raw
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from signpost.functions.jsons import strict_json
@@ -141,6 +142,18 @@ def test_bulk(spark):
     assert got == {"a_b": ("s", "given", ["a_b", "first"], ""), "c_d": ("local", "own", ["c_d"], "")}
 
 
+def test_second_writer_of_a_version_fails(spark, tmp_path):
+    path = str(tmp_path / "table")
+    SN.write_snapshot(spark.range(3), path)
+    stale = SN.current_version(spark, path)
+    SN.write_snapshot(spark.range(5), path)
+    with pytest.MonkeyPatch.context() as m, pytest.raises(AnalysisException):
+        m.setattr(SN, "current_version", lambda *_: stale)
+        SN.write_snapshot(spark.range(7), path)
+    assert SN.read_snapshot(spark, path).count() == 5
+    assert SN.read_snapshot(spark, path, 1).count() == 3
+
+
 def test_snapshots(spark, tmp_path):
     path = str(tmp_path / "catalog")
     assert SN.read_catalog(spark, path).count() == 0 and SN.current_version(spark, path) == 0

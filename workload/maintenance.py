@@ -239,6 +239,14 @@ def delete_provider(spark, sf_dir):
     return shown(C.delete_provider(T.part_catalog(spark, sf_dir), "Brand#3"))
 
 
+def deletion_report(spark, sf_dir):
+    """Counts of a purge, of a provider's deletion, and of a purge that finds nothing."""
+    catalog = T.part_catalog(spark, sf_dir)
+    purged = C.deletion_report(catalog, "source", "provider:Brand#7")
+    deleted = C.deletion_report(catalog, "provider", "Brand#3")
+    return purged.unionAll(deleted).unionAll(C.deletion_report(catalog, "source", "nowhere"))
+
+
 def create_entries(spark, sf_dir):
     catalog, _ = C.create_entries(known_entries(spark, sf_dir), new_entries(spark, sf_dir), T.as_of())
     return catalog.select("name", "description", "source", "category", "provider", F.array_join("triggers", "|").alias("triggers"))
@@ -391,6 +399,15 @@ QUERIES = {
         f"WITH {DELETED} SELECT name FROM gone WHERE name NOT IN (SELECT name FROM part_catalog)",
     ),
     "delete_provider": (delete_provider, f"WITH {T.PARTS} SELECT {SHOWN_SQL} FROM part_catalog WHERE provider <> 'Brand#3'"),
+    "deletion_report": (
+        deletion_report,
+        f"""WITH {T.PARTS},
+        purged AS (SELECT 'provider:Brand#7' AS value, count(*) AS deleted FROM part_catalog WHERE source = 'provider:Brand#7'),
+        deleted AS (SELECT 'Brand#3' AS value, count(*) AS deleted FROM part_catalog WHERE provider = 'Brand#3'),
+        nothing AS (SELECT 'nowhere' AS value, count(*) AS deleted FROM part_catalog WHERE source = 'nowhere')
+        SELECT value, deleted, deleted > 0 AS found
+        FROM (SELECT * FROM purged UNION ALL SELECT * FROM deleted UNION ALL SELECT * FROM nothing)""",
+    ),
     "create_entries": (
         create_entries,
         f"""WITH {CREATED} SELECT name, description, source, category, provider, array_to_string(triggers, '|') AS triggers FROM made_catalog

@@ -163,6 +163,14 @@ def no_match_report(spark, sf_dir):
     return R.no_match_report(queries, ranked, catalog)
 
 
+def no_match_categories(spark, sf_dir):
+    catalog, queries = T.part_catalog(spark, sf_dir), T.turn_queries(spark, sf_dir)
+    ranked = P.route(catalog, queries, as_of=T.as_of(), threshold=20.0)
+    report = R.no_match_report(queries, ranked, catalog, categories=True)
+    pair = lambda c: F.concat(F.coalesce(c["category"], F.lit("")), F.lit(":"), c["entries"].cast("string"))
+    return report.withColumn("category_counts", F.array_join(F.transform("category_counts", pair), ","))
+
+
 def result_details(spark, sf_dir):
     ranked = routed(spark, sf_dir).select("query_id", "rank", "name")
     return R.attach_details(ranked, T.document_catalog(spark, sf_dir))
@@ -278,6 +286,14 @@ QUERIES = {
         SELECT query_id, query_text, (SELECT count(*) FROM cat) AS catalog_size FROM queries
         WHERE query_id NOT IN (SELECT query_id FROM scored)""",
     ),
+    "no_match_categories": (
+        no_match_categories,
+        f"""{FULL_PARTS}, {fused_sql(threshold="20e0")},
+        per_category AS (SELECT category, count(*) AS n FROM part_catalog GROUP BY category)
+        SELECT query_id, query_text, (SELECT count(*) FROM cat) AS catalog_size,
+          (SELECT string_agg(category || ':' || n, ',' ORDER BY n DESC, category) FROM per_category) AS category_counts
+        FROM queries WHERE query_id NOT IN (SELECT query_id FROM scored)""",
+    ),
     "result_details": (
         result_details,
         f"""{FULL} SELECT query_id, rank, name, description, source, category, NULL::VARCHAR AS input_schema
