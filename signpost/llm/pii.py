@@ -3,8 +3,9 @@
 Patterns find the protected entities. A term t reveals an entity e as far as they occur together in the corpus:
 PMI(t, e) = log2(N n_te / (n_t n_e)) bits of the IC(e) = log2(N / n_e) bits that e holds, with counts over all distinct
 texts. In a text that holds e, terms that reveal at least `remove_at` of it are removed, those from `generalise_at` on are
-replaced by a general word; both need `support` common texts, so that a single text never condemns its own words.
-Texts without entities are left as they are.
+replaced by a general word. Entities of every frequency are looked at. Of fewer than `support` common texts the share
+n_te / n_t is smoothed by one more text, (n_te + n_e / N) / (n_t + 1), which stays below a share of 1: few texts
+generalise a rare word, and only `support` of them remove it. Texts without entities are left as they are.
 
 Offsets count code points; the end is exclusive. Hits of one kind do not overlap; of hits of several kinds that do, the
 first by start, then kind, is masked and the others with it.
@@ -141,15 +142,20 @@ def revealing_terms(
     )
     held = written(held, "entity-texts")
     owned = held.select("version", F.explode("entities").alias("entity"))
-    entities = owned.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= support)
-    owned = owned.join(entities, "entity")
-    texts = held.join(owned.select("version").distinct(), "version", "left_semi").select("version", "text", "spans")
-    placed = written(placed_words(texts), "entity-words")
-    together = (
-        placed.select("version", "term").distinct().join(owned, "version")
-        .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"), F.first("n_e").alias("n_e"))
-        .where(F.col("n_te") >= support)
+    # entities of the same texts are told by the same terms: one of them stands for all
+    mark = F.xxhash64(F.lit("second"), "version")
+    entities = (
+        owned.groupBy("entity")
+        .agg(F.count(F.lit(1)).alias("n_e"), F.bit_xor("version").alias("v1"), F.bit_xor(mark).alias("v2"))
+        .groupBy("n_e", "v1", "v2").agg(F.min("entity").alias("entity"))
+        .select("entity", "n_e")
     )
+    owned = written(owned.join(entities, "entity"), "entities")
+    placed = written(placed_words(held), "entity-words")
+    pairs = placed.groupBy("version").agg(F.collect_set("term").alias("terms")).join(owned, "version").select(
+        "version", "entity", "n_e", F.explode("terms").alias("term")
+    )
+    together = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"), F.first("n_e").alias("n_e"))
     together = written(together, "together")
     # how many of all distinct texts hold each of these terms
     terms = together.select("term").distinct()
@@ -164,15 +170,20 @@ def revealing_terms(
     counts = distinct.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     # an inner join: a semi join would be moved below the counting
     frequency = counts.join(terms, "term")
-    bits = F.log2(n_texts * F.col("n_te") / (F.col("n_t").cast("double") * F.col("n_e")))
-    held_bits = F.log2(n_texts / F.col("n_e").cast("double"))
+    # few common texts count with one text more that holds the term, and the entity as often as any text does
+    chance = F.col("n_e") / F.lit(float(max(n_texts, 1)))
+    told_by = F.when(F.col("n_te") >= support, F.col("n_te") / F.col("n_t").cast("double")).otherwise(
+        (F.col("n_te") + chance) / (F.col("n_t") + 1.0)
+    )
+    held_bits = -F.log2(chance)
     told = (
         together.join(frequency, "term")
-        .withColumn("share", F.when(held_bits > 0, bits / held_bits))
+        .withColumn("share", F.when(held_bits > 0, F.log2(told_by / chance) / held_bits))
         .where(F.col("share") >= generalise_at - 1e-9)
         .select("entity", "term", "share")
     )
-    reveals = owned.select("version", "entity").join(told, "entity").groupBy("version", "term").agg(F.max("share").alias("share"))
+    # by (entity, term), never by the entity alone: an entity of many texts has many terms
+    reveals = pairs.join(told, ["entity", "term"]).groupBy("version", "term").agg(F.max("share").alias("share"))
     return placed.join(reveals, ["version", "term"]).select("version", "start", "end", "share")
 
 

@@ -334,6 +334,24 @@ def test_terms_that_reveal_an_entity(spark):
     assert out[101] == text[101]
 
 
+def test_terms_that_reveal_an_entity_of_one_text(spark):
+    """Rare words of an address's only texts are generalised; of words found elsewhere and texts without address, none."""
+    texts = [(i, f"the and of plain note w{i % 40}") for i in range(40)] + [(100 + i, f"the and of note from day n{i}") for i in range(2000)]
+    texts += [(5000, "Quixandor, the plain note of a@x.org and b@x.org"), (5001, "the note of vorpalin plain c@x.org"), (5002, "and vorpalin of c@x.org w7")]
+    docs = small(spark, texts)
+    found = pii.find_personal_data(docs).cache()
+    text = dict(texts)
+    words = {r.doc_id: [text[r.doc_id][h.start : h.end] for h in r.terms] for r in found.collect()}
+    assert {d: w for d, w in words.items() if w} == {5000: ["Quixandor,"], 5001: ["vorpalin"], 5002: ["vorpalin"]}
+    out = {r.doc_id: r.sanitised for r in pii.sanitise(docs, found).collect()}
+    assert out[5000] == "[TERM] the plain note of [EMAIL] and [EMAIL]"
+
+
+def test_terms_appear_on_the_whole_table(spark):
+    got = queries.QUERIES["op6_personal_data"][0](spark, "/root/testdata/sf0.1")
+    assert got.where(F.col("spans").contains("term:")).count() > 20
+
+
 # ---- classifiers ----
 
 
