@@ -1,10 +1,11 @@
 """Main text of HTML pages by line-block distribution.
 
 Markup is stripped into lines, one per block element, in page order. Lines of menus, headers, footers, sidebars, notices,
-adverts, forms and reader comments keep their place but weigh nothing; linked text weighs nothing in its line. A page
-with an article (or main) element that holds text is judged on that element's own lines. Over the weights goes a window of
-`WINDOW` lines. A surge is a line at which the window sum rises to `surge` from a line that weighs something; the text
-lasts to the dive, where the window sum is zero. Weighty lines between surges and dives are kept.
+adverts, forms and reader comments keep their place but weigh nothing; linked text weighs nothing in its line. Inside an
+article (or main) element every character, linked ones too, weighs `IN_ARTICLE`, and what is set apart leaves no gap; the
+element decides nothing else. Over the weights goes a window of `WINDOW` lines. A surge is a line at which the window sum
+rises to `surge` from a line that weighs something; the text lasts to the dive, where the window sum is zero. Weighty lines
+between surges and dives are kept, on every page.
 
 Where no window reaches `surge`, as on pages of one short line, the region with the largest sum is kept.
 
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 
 WINDOW = 3
 SURGE = 40
+#: Weight of a character in an article element; outside it is 1.
+IN_ARTICLE = 4
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -136,12 +139,11 @@ def kept_regions(weights: list[int], window: int = WINDOW, surge: int = SURGE) -
     return [(a, b)]
 
 
-def main_text(page: str | None) -> str:
-    lines = page_lines(page or "")
-    inner = [(t, len(t), True, False) for t, _, inside, apart in lines if inside and not apart]
+def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     # what interrupts a marked article leaves no gap in it, and links are part of its text
-    lines = inner or lines
-    regions = kept_regions([w for _, w, _, _ in lines])
+    lines = [x for x in page_lines(page or "") if not (x[2] and x[3])]
+    lines = [(t, IN_ARTICLE * len(t) if inside else w, inside, off) for t, w, inside, off in lines]
+    regions = kept_regions([w for _, w, _, _ in lines], window, surge)
     return " ".join(t for a, b in regions for t, w, _, _ in lines[a:b] if w > 0)
 
 

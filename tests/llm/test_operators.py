@@ -130,6 +130,25 @@ def test_cut_page_keeps_what_is_there():
     assert html_extract.main_text("<article><p>One</p><p cla") == "One"
 
 
+def test_lines_decide_with_and_without_article_tags(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").toPandas()
+    for page in pages.html:
+        assert html_extract.main_text(re.sub(r"</?article>", "", page)) == html_extract.main_text(page)
+
+
+BODY = "<div><div>The body of this page lies in plain blocks.</div><div>It is longer than the teaser is.</div></div>"
+
+
+def test_article_tag_is_only_a_weight():
+    teaser = "<article class=card><h3>Teaser</h3></article><ul><li><a href=/a>A</a><li><a href=/b>B</a><li><a href=/c>C</a></ul>"
+    body = "The body of this page lies in plain blocks. It is longer than the teaser is."
+    assert html_extract.main_text(teaser + BODY) == body
+    # surge and window act inside an article as well
+    two = "<article><p>Short.</p></article><ul><li><a href=/a>A</a><li><a href=/b>B</a></ul><article><p>A longer text.</p></article>"
+    assert html_extract.main_text(two, window=1) == "A longer text."
+    assert html_extract.main_text(two, window=3) == "Short. A longer text."
+
+
 # ---- line dedup ----
 
 
