@@ -149,6 +149,45 @@ def test_article_tag_is_only_a_weight():
     assert html_extract.main_text(two, window=3) == "Short. A longer text."
 
 
+LONG = ["The first paragraph is long enough to surge.", "The second paragraph is long enough, too.", "So is the third one, on its own merits."]
+PARAS = "".join(f"<p>{x}</p>" for x in LONG)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<p><a name=top>{PARAS}",
+        f"<a href=/x>{PARAS}<p><a href=/y></a></p>",
+        f"<p>{LONG[0]}</p><p><a href=/x>{LONG[1]}</a></p><p>{LONG[2]}</p>",
+    ],
+)
+def test_anchors_take_no_text_away(page):
+    assert html_extract.main_text(page) == " ".join(LONG)
+
+
+def test_links_over_blocks_stay_links():
+    cards = "".join(f"<a href=/{i}><div>The title of card number {i}</div><div>and its long teaser text</div></a>" for i in range(3))
+    assert html_extract.main_text(cards + "<ul><li></ul>" + PARAS) == " ".join(LONG)
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "with-sidebar", "search-results", "entry", "sidebar"])
+@pytest.mark.parametrize("inner", ["<article><h1>Head</h1>{}</article>", "<h1>Head</h1>{}"])
+def test_wrappers_are_not_set_apart(name, inner):
+    page = f'<body><div class="{name}">{inner.format(PARAS)}</div><div class="footer">A footer text that is long enough to surge.</div>'
+    assert html_extract.main_text(page) == "Head " + " ".join(LONG)
+
+
+def test_entry_header_holds_the_headline():
+    assert html_extract.main_text(f'<div class="entry-header"><h1>Head</h1></div>{PARAS}') == "Head " + " ".join(LONG)
+    for name in ("ad", "ad-box", "site-footer", "sidebar left", "comment-list", "main-nav", "cookie_banner", "related-posts"):
+        assert html_extract.main_text(f'{PARAS}<div class="{name}">{LONG[0]}</div>') == " ".join(LONG)
+
+
+def test_self_closed_svg_ends_at_once():
+    assert html_extract.main_text(f'<svg width="1" title="a>b"/>{PARAS}') == " ".join(LONG)
+    assert html_extract.main_text(f"<svg><path d='M0'/><text>no</text></svg>{PARAS}") == " ".join(LONG)
+
+
 # ---- line dedup ----
 
 
