@@ -520,3 +520,21 @@ def test_chat_collapse_edges(spark):
         (99, 1, 2, "<|user|>\nz<|end|>\n"),
     ]
     assert chat_collapse.collapse_conversations(turns.limit(0)).count() == 0
+
+
+def test_chat_without_numbers_is_rendered_in_bounded_rows(spark):
+    """A third of the rows without conversation and turn, half of those equal: rows of bounded size, in order, none lost."""
+    rows = [(None, None, "user", "same" if i % 2 else f"text {i:05}") for i in range(10_000)]
+    rows += [(i // 4, i % 4, "user", f"{i // 4 % 4000} {i % 4}") for i in range(20_000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat_collapse.collapse_conversations(turns).toPandas()
+    hot = got[got.conv_id.isna()].sort_values("part")
+    assert (hot.n_turns == 10_000).all() and hot.n_part_turns.sum() == 10_000 and hot.n_part_turns.max() <= 4096
+    assert hot.part.tolist() == list(range(len(hot)))
+    texts = sorted(x[3] for x in rows[:10_000])
+    assert "".join(hot.rendered) == "".join(f"<|user|>\n{t}<|end|>\n" for t in texts)
+    rest = got[got.conv_id.notna()]
+    assert sorted(rest.conv_id) == list(range(4000)) and (rest.n_part_turns == 4).all()
+    by_bytes = chat_collapse.collapse_conversations(turns.where("conv_id is null"), most_bytes=1000).toPandas()
+    assert by_bytes.rendered.map(len).max() < 1100
+    assert "".join(by_bytes.sort_values("part").rendered) == "".join(hot.rendered)
