@@ -7,7 +7,8 @@ non-negative estimator stops there: such a step goes the other way. The scorer i
 proportions of the text (symbols, capitals, repeated lines, words and word pairs, lengths). Its logits are set against
 the labels of the training fold, so that a score of 0.7 means what it says.
 
-The fit uses at most `max_labelled` labelled and `max_unlabelled` unlabelled documents, the first by a hash of their id;
+The fit uses at most `max_labelled` labelled and `max_unlabelled` unlabelled ids, the first by a hash of their id, and of
+each at most `TEXTS_PER_ID` different texts, so that no id fills the bounds or the driver;
 scoring covers every document. pi is the share of good ones among the training labels, which are a sample of the web
 text.
 
@@ -23,11 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_LABELLED = 6_000
 MAX_UNLABELLED = 12_000
+#: Different texts of one id in the fit.
+TEXTS_PER_ID = 4
 THRESHOLD = 0.7
 
 SYMBOLS = b"#*$%&|<>=_~^@{}[]\\/+"
@@ -160,17 +163,32 @@ def train(
         .orderBy(order, "doc_id")
         .limit(max_labelled)
     )
-    sample = docs.select("doc_id", "text")
-    labelled = sample.join(F.broadcast(known), "doc_id").select("text", "quality")
-    # unlabelled text is drawn without a look at labels; about twice the bound by hash, then the bound itself
-    some = docs.select("doc_id").orderBy(order, "doc_id").limit(max_unlabelled).where("doc_id is not null").distinct()
-    unlabelled = sample.join(F.broadcast(some), "doc_id").select("text", F.lit(None).cast("int").alias("quality"))
+    # unlabelled text is drawn without a look at labels
+    drawn = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(order, "doc_id").limit(max_unlabelled)
+    wanted = known.join(drawn.select("doc_id", F.lit(True).alias("drawn")), "doc_id", "full_outer").select(
+        "doc_id", "quality", F.coalesce("drawn", F.lit(False)).alias("drawn")
+    )
+    sample = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
+    # an id may have any share of the rows: equal ones count once, and of different texts the first by hash
+    versions = sample.select("doc_id", "version").join(F.broadcast(wanted), "doc_id").distinct()
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("version"))
+    chosen = versions.withColumn("place", first).where(F.col("place") <= TEXTS_PER_ID).drop("place")
+    rows = sample.join(F.broadcast(chosen), ["doc_id", "version"]).select("doc_id", "version", "quality", "drawn", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set = set()
         for b in batches:
-            yield pd.DataFrame({"x": [features(t) for t in b["text"]], "quality": b["quality"]})
-
-    rows = labelled.unionAll(unlabelled).mapInPandas(run, "x array<double>, quality int").toPandas()
+            keys = list(zip(b["doc_id"], b["version"], strict=True))
+            new = [k not in seen and not seen.add(k) for k in keys]
+            b = b[new]
+            yield b[["doc_id", "version", "quality", "drawn"]].assign(x=[features(t) for t in b["text"]])
+
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, version long, quality int, drawn boolean, x array<double>"
+    rows = rows.mapInPandas(run, schema).dropDuplicates(["doc_id", "version"]).toPandas()
+    rows = rows.sort_values(["doc_id", "version"]).astype({"quality": "float64"})
+    # labelled ones, then unlabelled ones; a document may be both
+    rows = pd.concat([rows[rows["quality"].notna()], rows[rows["drawn"].astype(bool)].assign(quality=np.nan)])
     if not rows["quality"].notna().any():
         return None
     x = np.array(rows["x"].tolist()).reshape(-1, N_FEATURES)

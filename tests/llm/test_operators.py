@@ -431,6 +431,25 @@ def test_quality_edges(spark, edges):
     assert pu_quality.score_documents(edges, None).select("score").distinct().count() == 1
 
 
+@pytest.fixture
+def fitted(monkeypatch):
+    """Shapes of the positive and unlabelled rows that reach the fit."""
+    shapes = []
+    fit = pu_quality.fit_nnpu
+    monkeypatch.setattr(pu_quality, "fit_nnpu", lambda p, u, prior: shapes.append((len(p), len(u))) or fit(p, u, prior, steps=5))
+    return shapes
+
+
+def test_quality_draws_ids_not_rows(spark, fitted):
+    """One id with most of the rows, copies and different texts, labelled and drawn, counts as at most four texts."""
+    ids = sorted((r.h, r.id) for r in spark.range(200).selectExpr("id", "xxhash64(id) as h").collect())
+    hot = ids[0][1]
+    texts = [(i, f"text of number {i}") for i in range(200)] + [(hot, "a copy")] * 500 + [(hot, f"version {i}") for i in range(500)]
+    labels = spark.createDataFrame([(hot, 1), (ids[1][1], 0)], "doc_id long, quality int")
+    pu_quality.train(small(spark, texts), labels, F.lit(True), max_unlabelled=50)
+    assert fitted == [(4, 49 + 4)]
+
+
 def test_language_on_held_out_documents(spark):
     got = run(spark, "op9_language")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").toPandas()
