@@ -1,7 +1,8 @@
 """Quality rules, line first.
 
 Every line is judged alone: too many symbols for its letters (punctuation rule), a menu of short linked words
-(navigation), or a phrase of licences, consent and site furniture (boilerplate). Failing lines are removed, and a
+(navigation), or a third of it in sentences with a phrase of licences, consent and site furniture (boilerplate), however
+long it is. Failing lines are removed, and a
 document that loses more than `max_loss` of its word characters with them is rejected. Before that stand the base rules:
 fewer than 50 words, or more than half of the words in repeated three-word windows.
 
@@ -24,6 +25,8 @@ MIN_WORDS = 50
 MAX_SYMBOLS = 0.1
 #: A document is rejected when its removed lines hold more than this share of its word characters.
 MAX_LOSS = 0.5
+#: A line fails when sentences with a boilerplate phrase hold at least this share of its word characters.
+MAX_BOILERPLATE = 1 / 3
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\x0b\x0c\r"
 NAVIGATION = re.compile(rb"(?:[^|>\xbb\n]{1,30}(?:\||>|\xc2\xbb|\xe2\x80\xba)){2,}[^|>\n]{0,30}")
@@ -33,6 +36,8 @@ BOILERPLATE = re.compile(
     rb"|\(c\) \d{4}|lorem ipsum|share (?:this|on)|read more",
     re.I,
 )
+#: Ends of sentences: a mark before white space, or a full-width one.
+SENTENCE_END = re.compile(rb"[.!?]+(?=\s)|\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f")
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -52,7 +57,22 @@ def line_fails(line: bytes, n_chars: int) -> bool:
     symbols = len(line) - len(line.translate(None, SYMBOLS))
     if symbols >= MAX_SYMBOLS * n_chars:
         return True
-    return bool(NAVIGATION.fullmatch(line.strip(SPACE)) or (len(line) < 400 and BOILERPLATE.search(line)))
+    if NAVIGATION.fullmatch(line.strip(SPACE)):
+        return True
+    hits = [m.span() for m in BOILERPLATE.finditer(line)]
+    return bool(hits) and _sentences_size(line, hits) >= MAX_BOILERPLATE * n_chars
+
+
+def _sentences_size(line: bytes, hits: list[tuple[int, int]]) -> int:
+    """Word characters of the sentences that the hits lie in."""
+    size = start = i = 0
+    for end in [*(m.end() for m in SENTENCE_END.finditer(line)), len(line)]:
+        while i < len(hits) and hits[i][1] <= start:
+            i += 1
+        if i < len(hits) and hits[i][0] < end:
+            size += _code_points(line[start:end].translate(None, SPACE))
+        start = end
+    return size
 
 
 def _code_points(b: bytes) -> int:

@@ -515,6 +515,16 @@ def test_rules_edges(spark, edges):
     assert judged[7] and judged[8] == good
 
 
+def test_boilerplate_lines_of_any_length():
+    good = "\n".join(f"Line {i} is plain text number {i * 7} here." for i in range(20))
+    notice = "This site uses cookies to remember what you like and to count how many people read each of its many pages every day. " * 5
+    cjk = "这个网站使用 cookies 来记住您的喜好并统计阅读人数。" * 12
+    for line in (notice, cjk, "Some words first. " + notice):
+        assert len(line.encode()) >= 400 and line_rules.judge(good + "\n" + line)[8] == good
+    story = "A long text on one line goes on and on, with nothing but plain prose in each of its sentences. " * 9 + "Read more."
+    assert line_rules.judge(good + "\n" + story)[8] == good + "\n" + story
+
+
 # ---- chat ----
 
 
