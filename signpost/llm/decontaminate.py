@@ -6,7 +6,9 @@ shared shingle never loses one, so the best window starts at a shingle the item
 windows are fingerprinted, and no other can be better. The fingerprint is a 64-bit SimHash, each shingle weighted by its
 count. It is cut into 13 blocks; the items' blocks are indexed with all one-bit neighbours. A pair that shares no index
 entry differs by two bits in every block, so every pair within radius 25 is found. A window of similarity 0.8 differs in
-10 bits on average, with a deviation of 3: 25 is missed once in some ten million. Candidates within the radius are
+10 bits on average, with a deviation of 3: 25 is missed once in some ten million. That holds for many different shingles;
+where few rule the counts, one more or less of them turns half of the bits, so windows held against an item that repeats
+shingles are candidates at any distance. Candidates are
 verified by the exact weighted similarity: shared shingle counts over all shingle counts.
 
 Windows of equal content are fingerprinted and verified once, however many documents hold them.
@@ -153,8 +155,9 @@ def _matches(docs: DataFrame, items: DataFrame, k: int, similarity: float) -> Da
         .join(index.select("item_id", "item_fp", "e.block", "e.value"), ["item_id", "block", "value"])
         .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
         .select("item_id", "content")
-        .distinct()
     )
+    periodic = printed.join(items.where("repeats").select("item_id"), "item_id").select("item_id", "content")
+    near = near.unionAll(periodic).distinct()
     shared = shared_weight(F.col("window"), F.col("item_sh"), F.col("repeats"))
     verified = (
         printed.join(near, ["item_id", "content"])

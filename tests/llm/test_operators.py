@@ -242,6 +242,15 @@ def test_decontamination_edges(spark, edges):
     assert decontaminate.contaminated(edges.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_periodic_texts(spark):
+    """Nineteen shingles of two kinds, ten and nine: the fingerprints follow the more frequent one."""
+    pairs = [("tick", "tock"), ("left", "right"), ("x", "y"), ("on", "off")]
+    bench = spark.createDataFrame([(i, " ".join([a, b] * 11 + [a])) for i, (a, b) in enumerate(pairs)], "item_id long, text string")
+    docs = small(spark, [(i, " ".join([b, a] * 11 + [b])) for i, (a, b) in enumerate(pairs)])
+    got = sorted((r.doc_id, r.item_id, round(r.similarity, 3), r.word_start, r.n_words) for r in decontaminate.contaminated(docs, bench).collect())
+    assert got == [(i, i, 0.9, 0, 23) for i in range(len(pairs))]
+
+
 # ---- Jaccard join ----
 
 
