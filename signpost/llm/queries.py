@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline over the given tables: name -> (query, SQL or None)."""
+"""The operators and the pipeline over the given tables: name -> (query, SQL or None)."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signpost.llm import (
+    centroid_clusters,
     chat_collapse,
+    collocations,
     crf_langid,
     decontaminate,
     html_extract,
@@ -14,6 +16,7 @@ from signpost.llm import (
     line_dedup,
     line_rules,
     mixing,
+    nra_search,
     pii,
     pu_quality,
 )
@@ -194,6 +197,101 @@ GROUP BY t.conv_id, block, n
 """
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.with_figures(centroid_clusters.cluster_vectors(table(spark, sf_dir, "embeddings")))
+
+
+def _rounds_sql(rounds: int, k: int) -> str:
+    """A CTE per round: assignments a<i> to the centroids m<i>, which the next ones follow from."""
+    distance = "list_sum([(w[i] - m[i]) * (w[i] - m[i]) FOR i IN range(1, 65)])"
+    assigned = """a{i} AS MATERIALIZED (SELECT rid, arg_min(c, d * {k} + c) AS c, min(d) AS d FROM (
+    SELECT rid, c, {distance}::BIGINT AS d FROM v, m{i}) GROUP BY rid)"""
+    moved = """m{j} AS MATERIALIZED (SELECT m{i}.c, coalesce(n.m, m{i}.m) AS m FROM m{i} LEFT JOIN (
+    SELECT c, list(x ORDER BY i) AS m FROM (
+        SELECT c, i, ((sum(w[i]) - ((sum(w[i]) % count(*) + count(*)) % count(*))) // count(*))::BIGINT AS x
+        FROM v JOIN a{i} USING (rid), range(1, 65) r(i) GROUP BY c, i) GROUP BY c) n USING (c))"""
+    out = []
+    for i in range(rounds + 1):
+        out.append(assigned.format(i=i, k=k, distance=distance))
+        if i < rounds:
+            out.append(moved.format(i=i, j=i + 1))
+    return ",\n".join(out)
+
+
+OP11_SQL = f"""
+WITH v AS MATERIALIZED (
+    SELECT row_number() OVER () AS rid, vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS w FROM embeddings
+    WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = 64
+), m0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, w AS m FROM v ORDER BY sha256('3:' || vec_id) LIMIT 8
+), {_rounds_sql(10, 8)}
+SELECT vec_id, a10.c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a10.c))::BIGINT AS cluster_inertia,
+    (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a10 JOIN v USING (rid) JOIN m10 ON m10.c = a10.c
+"""
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = nra_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+OP12_SQL = """
+WITH v AS MATERIALIZED (
+    SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS w FROM embeddings
+    WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)
+), s AS (
+    SELECT q.vec_id AS query_id, v.vec_id,
+        coalesce(list_sum([q.w[i] * v.w[i] FOR i IN range(1, least(len(q.w), len(v.w)) + 1)]), 0)::BIGINT AS score
+    FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id
+), r AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH p AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), w AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+), g AS (
+    SELECT lang, k, unnest([array_to_string(w[i : i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS phrase FROM w, range(1, 6) t(k)
+), f AS MATERIALIZED (
+    SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL
+), n AS (
+    SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS MATERIALIZED (
+    SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE k > 1 AND f >= 100
+), inside AS (
+    SELECT DISTINCT x.lang, array_to_string(x.w[i : i + m - 1], ' ') AS phrase, m, x.a
+    FROM c x, range(2, 5) s(m), range(1, 5) t(i) WHERE m < x.k AND i + m - 1 <= x.k
+), kept AS (
+    SELECT c.* FROM c WHERE NOT EXISTS (
+        SELECT 1 FROM inside i WHERE i.lang = c.lang AND i.phrase = c.phrase AND 100 * i.a >= 100 * c.a)
+), cut AS (
+    SELECT kept.*, j, array_to_string(w[1 : j], ' ') AS first_part, array_to_string(w[j + 1 : ], ' ') AS rest
+    FROM kept, range(1, 5) t(j) WHERE j < k
+), scored AS (
+    SELECT cut.lang, cut.phrase, a, j, x.f AS l, y.f AS r, n, (1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS score
+    FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = first_part JOIN f y ON y.lang = cut.lang AND y.phrase = rest
+        JOIN n ON n.lang = cut.lang
+), lowest AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS c FROM scored
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest WHERE c = 1
+)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -211,5 +309,8 @@ QUERIES = {
     "op8_line_rules": (op8, None),
     "op9_language": (op9, None),
     "op10_chat_collapse": (op10, OP10_SQL),
+    "op11_centroid_clusters": (op11, OP11_SQL),
+    "op12_top_k_search": (op12, OP12_SQL),
+    "op13_collocations": (op13, OP13_SQL),
     "pipeline": (pipeline, None),
 }
