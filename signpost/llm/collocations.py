@@ -1,16 +1,18 @@
 """Phrase collocation mining by HAT-trie counting.
 
-Tasks count runs of words in a burstable trie: a shallow trie over word ids whose leaves are hash containers of word-id tuples; a
-container that grows too large bursts into a trie node with a container per next word. At its memory bound a task spills
-whole subtrees, largest first, as sorted runs of (language, words) keys. All runs are written, dealt out by ranges of the key, so by
-prefix and, within a prefix that many runs share, by what follows, and merged by sorting. A run is counted once with its longest extent, as
-the count of a phrase is the sum over the keys that begin with it: neighbours in the merged order. Each batch of that order
-gives the phrases counted within it and, whatever their count, the first and last prefix of each length, which may go on in the
-next one; adding up the few parts of a phrase completes it.
-
-Three such passes count words, pairs, and runs of three to five. A phrase found often enough has only words and pairs found
-as often, so the second pass cuts runs at rare words and the third also at rare pairs. What is frequent travels as a bitmap of
-fixed size over key hashes. Two keys of one bit cost an additional count and never a result.
+Tasks count runs of words in a burstable trie: a shallow trie over word ids whose leaves are hash containers. A container holds the
+paths between two prefixes, (word ids, count) in an open-addressing table filled in batches; one that grows too large bursts
+into two at the word, or within one word at the next word, that parts it best. At its memory bound a task spills whole subtrees,
+largest first, as sorted runs of (language, words) keys. All runs are written, dealt out by ranges of the key, so by prefix
+and, within a prefix that many runs share, by what follows, and merged by sorting. A run is counted once with its longest
+extent, as the count of a phrase is the sum over the keys that begin with it: neighbours in the merged order. Each batch of
+that order gives the phrases counted within it and, whatever their count, the first and last prefix of each length, which may
+go on in the next one; adding up the few parts of a phrase completes it.
+
+One pass counts words, and one runs of two to five. A phrase found often enough has only words and pairs found as often, so
+runs are cut at rare words and at pairs that are surely rare. Which are frequent travels as two bitmaps of fixed size: that
+of words comes from their counts, that of pairs from counts of pair hashes, summed by hash over all tasks in a pass between.
+Keys of one hash cost an additional count and never a result.
 
 Scores are whole numbers throughout (38 digits).
 
@@ -36,19 +38,28 @@ from signpost.operators.windows import rank_within
 LONGEST = 5
 MIN_COUNT = 100
 TOP = 2000
-#: Entries of a container that bursts beyond, and of a task's trie before it spills.
-BURST = 4096
-ENTRIES = 400_000
-#: Pairs a task remembers as frequent or not.
-REMEMBERED = 500_000
-#: Bits of the bitmap of frequent keys, and of the parts it is put together from.
+#: Entries of a container that bursts beyond, and of a task's tries before it spills.
+BURST = 65_536
+ENTRIES = 1_000_000
+#: Paths that a container takes at once.
+SLICE = 32_768
+#: Words of a language that a task takes into its trie at once.
+CHUNK = 500_000
+#: Bits of a bitmap of frequent keys, and of the parts it is put together from.
 BITS, PART = 2**26, 2**15
 NO_LANGUAGE = "und"
-RARE, END = -1, -2
+RARE = -1
+#: Bits of a word's place in a packed path; a task knows fewer words.
+WIDTH = 21
+MOST_WORDS = 2 * ENTRIES
+#: Odd multipliers that spread hashes.
+SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 ENDS = b".,;:!?\n\x0b\x0c\r"
 PIECES = bytes.maketrans(UPPER.encode() + b"\t" + ENDS, LOWER.encode() + b" " + b"\n" * len(ENDS))
 WORDS = bytes.maketrans(UPPER.encode() + b"\t" + ENDS, LOWER.encode() + b" " + b" " * len(ENDS))
+#: Stands between pieces as a word that no lower-cased text has.
+BETWEEN = b" A "
 
 RUNS = "key binary, n long"
 
@@ -58,96 +69,157 @@ def escaped(word: bytes) -> bytes:
     return word.replace(b"\x01", b"\x01\x02").replace(b"\x00", b"\x01\x01") if b"\x00" in word or b"\x01" in word else word
 
 
-def has_bit(bitmap: bytes, key: bytes) -> int:
-    bit = zlib.crc32(key) % BITS
-    return bitmap[bit >> 3] >> (bit & 7) & 1
-
-
 class WordIds(dict):
     """Ids of one language's words, RARE for words that are not frequent."""
 
     def __init__(self, lang: bytes, frequent: bytes):
         super().__init__()
-        self.lang, self.frequent, self.words = lang, frequent, []
+        self.lang, self.frequent, self.words, self.hashes = lang, frequent, [], []
+        self[BETWEEN.strip()] = RARE
 
     def __missing__(self, word: bytes) -> int:
         own = escaped(word)
-        if has_bit(self.frequent, self.lang + b"\x00" + own):
+        bit = zlib.crc32(self.lang + b"\x00" + own) % BITS
+        if self.frequent[bit >> 3] >> (bit & 7) & 1:
             self[word] = len(self.words)
             self.words.append(own)
+            self.hashes.append(zlib.crc32(own))
         else:
             self[word] = RARE
         return self[word]
 
-
-class Pairs(dict):
-    """Whether two words that follow each other are a frequent pair; those with a rare word are not."""
-
-    def __init__(self, ids: WordIds, frequent: bytes | None):
-        super().__init__()
-        self.ids, self.frequent = ids, frequent
-
-    def __missing__(self, pair: tuple) -> bool:
-        words = self.ids.words
-        found = min(pair) != RARE
-        found = found and bool(has_bit(self.frequent, b"\x00".join([self.ids.lang, words[pair[0]], words[pair[1]]])))
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[pair] = found
-        return found
-
-
-class Node(dict):
-    """Next word id -> node, or container: a dict of what follows -> count."""
+    def add_text(self, text: bytes, ids: list[int]) -> None:
+        """Append the ids of a text's words, RARE between pieces."""
+        ids.extend(map(self.__getitem__, text.translate(PIECES).replace(b"\n", BETWEEN).split()))
+        ids.append(RARE)
+
+    def pair_hashes(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Bits of pairs of ids."""
+        own = np.array(self.hashes, np.uint64)
+        with np.errstate(over="ignore"):
+            x = own[first] * SPREAD[0] + own[second] * SPREAD[1] + np.uint64(zlib.crc32(self.lang)) * SPREAD[2]
+            return ((x ^ (x >> np.uint64(31))) * SPREAD[0] >> np.uint64(38)).astype(np.int64)
+
+
+class Container:
+    """Paths between two prefixes as an open-addressing hash table: two packed halves of a path and a count."""
+
+    def __init__(self, size: int = 1024):
+        self.used = 0
+        self.high, self.low, self.n = (np.zeros(size, np.int64) for _ in range(3))
+
+    def add(self, high: np.ndarray, low: np.ndarray, n: np.ndarray) -> None:
+        """Add paths, which may repeat."""
+        for at in range(0, len(high), SLICE):
+            part = slice(at, at + SLICE)
+            self._grow(len(high[part]))
+            self._put(high[part], low[part], n[part])
+
+    def _grow(self, more: int) -> None:
+        if 2 * (self.used + more) > len(self.n):
+            old, size = self.entries(), len(self.n)
+            while size < 2 * (self.used + more):
+                size *= 2
+            self.__init__(size)
+            self._put(*old)
+
+    def _put(self, high: np.ndarray, low: np.ndarray, n: np.ndarray) -> None:
+        mask = len(self.n) - 1
+        with np.errstate(over="ignore"):
+            x = high.view(np.uint64) * SPREAD[0] + low.view(np.uint64) * SPREAD[1]
+        slot = ((x ^ (x >> np.uint64(32))) & np.uint64(mask)).astype(np.int64)
+        while len(slot):
+            free = self.n[slot] == 0
+            at = slot[free]
+            # of several paths for a slot the last one takes it
+            self.high[at], self.low[at] = high[free], low[free]
+            self.n[at] = -1
+            same = (self.high[slot] == high) & (self.low[slot] == low)
+            taken = np.unique(at)
+            self.used += len(taken)
+            self.n[taken] = 0
+            np.add.at(self.n, slot[same], n[same])
+            left = ~same
+            high, low, n, slot = high[left], low[left], n[left], (slot[left] + 1) & mask
+
+    def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.flatnonzero(self.n)
+        return self.high[at], self.low[at], self.n[at]
 
 
 class Trie:
-    """Counts of word-id tuples; each tuple is of full length or ends with END."""
+    """Containers of word-id paths, ordered by the prefixes that part them; `starts` are the prefixes, packed."""
 
     def __init__(self, burst: int = BURST):
-        self.root, self.burst, self.entries = Node(), burst, 0
-
-    def add(self, path: tuple) -> None:
-        node, depth = self.root, 1
-        below = node.get(path[0])
-        while type(below) is Node:
-            node = below
-            below = node.get(path[depth])
-            depth += 1
-        rest = path[depth:]
-        if below is None:
-            node[path[depth - 1]] = {rest: 1}
-            self.entries += 1
-            return
-        count = below.get(rest)
-        if count is not None:
-            below[rest] = count + 1
-            return
-        below[rest] = 1
-        self.entries += 1
-        if len(below) > self.burst:
-            parted = node[path[depth - 1]] = Node()
-            for tail, n in below.items():
-                parted.setdefault(tail[0], {})[tail[1:]] = n
-
-    def spill(self, keep: int) -> Iterator[tuple[tuple, int]]:
-        """(path, count) of the largest subtrees below the root, taken out until at most `keep` entries are left."""
-        sizes = {first: sum(1 for _ in _entries(below, ())) for first, below in self.root.items()} if keep else dict.fromkeys(self.root, 0)
-        for first in sorted(sizes, key=sizes.get, reverse=True):
-            if keep and self.entries <= keep:
-                return
-            for path, n in _entries(self.root.pop(first), (first,)):
-                self.entries -= 1
-                yield path, n
-
-
-def _entries(below: dict, path: tuple) -> Iterator[tuple[tuple, int]]:
-    if type(below) is Node:
-        for word, deeper in below.items():
-            yield from _entries(deeper, (*path, word))
-    else:
-        for rest, n in below.items():
-            yield path + rest, n
+        self.starts, self.containers, self.burst = np.zeros(1, np.int64), [Container()], burst
+
+    @property
+    def entries(self) -> int:
+        return sum(c.used for c in self.containers)
+
+    def add(self, high: np.ndarray, low: np.ndarray, n: np.ndarray) -> None:
+        place = np.searchsorted(self.starts, high, side="right") - 1
+        order = np.argsort(place, kind="stable")
+        high, low, n = high[order], low[order], n[order]
+        cuts = np.searchsorted(place[order], np.arange(len(self.containers) + 1))
+        full = []
+        for i in np.flatnonzero(np.diff(cuts)):
+            part = slice(cuts[i], cuts[i + 1])
+            self.containers[i].add(high[part], low[part], n[part])
+            if self.containers[i].used > self.burst:
+                full.append(i)
+        for i in reversed(full):
+            self._burst(i)
+
+    def _burst(self, i: int) -> None:
+        """Part a container at the word boundary nearest to its middle, of the first word if that parts it, else of the next."""
+        high, low, n = self.containers[i].entries()
+        middle = np.sort(high)[len(high) // 2]
+        for depth in (2, 1, 0):
+            prefix = middle >> (depth * WIDTH) << (depth * WIDTH)
+            for cut in (prefix, prefix + (1 << (depth * WIDTH))):
+                left = high < cut
+                if left.any() and not left.all():
+                    halves = []
+                    for side in (left, ~left):
+                        halves.append(Container())
+                        halves[-1].add(high[side], low[side], n[side])
+                    self.containers[i : i + 1] = halves
+                    self.starts = np.insert(self.starts, i + 1, cut)
+                    for j in (i + 1, i):
+                        if self.containers[j].used > self.burst:
+                            self._burst(j)
+                    return
+
+    def spill(self, keep: int) -> tuple[np.ndarray, ...]:
+        """Entries of the largest subtrees, taken out until at most `keep` entries are left."""
+        out, left = [], self.entries
+        for c in sorted(range(len(self.containers)), key=lambda c: -self.containers[c].used):
+            if left <= keep:
+                break
+            out.append(self.containers[c].entries())
+            left -= self.containers[c].used
+            self.containers[c] = Container()
+        none = [(np.zeros(0, np.int64),) * 3]
+        return tuple(np.concatenate(x) for x in zip(*(out or none), strict=True))
+
+
+def run_of(ids: WordIds, high: np.ndarray, low: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Paths as (key, n) in the order of the keys."""
+    words = pa.array(ids.words, pa.binary())
+    by_order = pc.sort_indices(words).to_numpy().astype(np.int64)
+    rank = np.zeros(len(words) + 1, np.int64)
+    rank[by_order + 1] = np.arange(1, len(words) + 1)
+    mask = (1 << WIDTH) - 1
+    columns = [rank[half >> (i * WIDTH) & mask] for half, places in ((high, (2, 1, 0)), (low, (1, 0))) for i in places]
+    first = (columns[0] << 2 * WIDTH) | (columns[1] << WIDTH) | columns[2]
+    order = np.lexsort(((columns[3] << WIDTH) | columns[4], first))
+    ranked = words.take(pa.array(by_order))
+    for at in range(0, len(order), 10_000):
+        part = order[at : at + 10_000]
+        parts = [ranked.take(pa.array(c[part] - 1, mask=c[part] == 0)) for c in columns]
+        key = pc.binary_join_element_wise(pa.scalar(ids.lang, pa.binary()), *parts, pa.scalar(b"\x00"), null_handling="skip")
+        yield pa.RecordBatch.from_arrays([key, pa.array(n[part])], ["key", "n"])
 
 
 def sorted_run(keys: list[bytes], counts: list[int]) -> Iterator[pa.RecordBatch]:
@@ -177,62 +249,117 @@ def word_runs(batches: Iterator[pa.RecordBatch], entries: int = ENTRIES) -> Iter
     for b in batches:
         for lang, text in _texts(b):
             containers.setdefault(lang, Counter()).update(text.translate(WORDS).split())
-            if sum(map(len, containers.values())) > entries:
+            if sum(map(len, containers.values())) > entries // 2:
                 yield from spilled()
     yield from spilled()
 
 
-def phrase_runs(least: int, most: int, words: bytes, pairs: bytes | None, entries: int = ENTRIES, burst: int = BURST):
-    """Sorted runs of `least` to `most` frequent words: each place once, with as many of the words after it as there are."""
+def chunks(batches: Iterator[pa.RecordBatch], words: bytes, most_words: int = MOST_WORDS):
+    """(word ids of a language, array of ids with RARE between runs or None once its words are forgotten) in portions."""
+    known: dict[bytes, tuple[WordIds, list]] = {}
+    for b in batches:
+        for lang, text in _texts(b):
+            if lang not in known:
+                known[lang] = WordIds(escaped(lang), words), []
+            ids, pending = known[lang]
+            ids.add_text(text, pending)
+            if len(pending) >= CHUNK:
+                yield ids, np.array(pending)
+                pending.clear()
+            if sum(map(len, (i for i, _ in known.values()))) > most_words:
+                # what is known of words is bounded too
+                for i, rest in known.values():
+                    yield i, np.array(rest, np.int64)
+                    yield i, None
+                known.clear()
+    for i, rest in known.values():
+        yield i, np.array(rest, np.int64)
+        yield i, None
+
+
+def pair_counts(words: bytes):
+    """Counts of pair hashes of frequent words: rows of one part of the hashes each, with places and counts up to 255."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, tuple[WordIds, Pairs, Trie]] = {}
+        held: list[np.ndarray] = []
+
+        def told():
+            bits, counts = np.unique(np.concatenate([*held, np.zeros(0, np.int64)]), return_counts=True)
+            held.clear()
+            cuts = np.searchsorted(bits, np.arange(BITS // PART + 1) * PART)
+            parts = np.flatnonzero(np.diff(cuts))
+            places, few = (bits % PART).astype(np.uint16), np.minimum(counts, 255).astype(np.uint8)
+            rows = [(places[cuts[p] : cuts[p + 1]].tobytes(), few[cuts[p] : cuts[p + 1]].tobytes()) for p in parts]
+            columns = [pa.array(parts.astype(np.int32)), *(pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1))]
+            return pa.RecordBatch.from_arrays(columns, ["part", "places", "counts"])
+
+        for ids, chunk in chunks(batches, words):
+            if chunk is not None:
+                at = np.flatnonzero((chunk[:-1] >= 0) & (chunk[1:] >= 0))
+                held.append(ids.pair_hashes(chunk[at], chunk[at + 1]))
+                if sum(map(len, held)) > 4 * ENTRIES:
+                    yield told()
+        yield told()
 
-        def spilled(keep: int):
-            keys, counts = [], []
-            for ids, _, trie in known.values():
-                for path, n in trie.spill(keep):
-                    keys.append(b"\x00".join([ids.lang, *[ids.words[i] for i in path if i != END]]))
-                    counts.append(n)
-            return sorted_run(keys, counts)
+    return run
+
+
+def frequent_parts(min_count: int):
+    """Bits of each part of the hashes that are counted often enough; rows sorted by part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = None, np.zeros(PART, np.int64)
+
+        def bits():
+            packed = np.packbits(total >= min_count, bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([packed], pa.binary())], ["part", "bits"])
 
         for b in batches:
-            for lang, text in _texts(b):
-                if lang not in known:
-                    ids = WordIds(escaped(lang), words)
-                    known[lang] = ids, Pairs(ids, pairs), Trie(burst)
-                ids, joined, trie = known[lang]
-                for piece in text.translate(PIECES).split(b"\n"):
-                    run_ids = list(map(ids.__getitem__, piece.split()))
-                    if len(run_ids) >= least:
-                        _count(run_ids, joined, least, most, trie)
-                if sum(t.entries for _, _, t in known.values()) > entries:
-                    yield from spilled(entries // (2 * len(known)))
-                if sum(len(i) for i, _, _ in known.values()) > entries:
-                    # the words too are bounded: start anew
-                    yield from spilled(0)
-                    known.clear()
-        yield from spilled(0)
+            for p, places, counts in zip(*(b.column(c).to_pylist() for c in ("part", "places", "counts")), strict=True):
+                if p != part:
+                    if part is not None:
+                        yield bits()
+                    part, total = p, np.zeros(PART, np.int64)
+                total[np.frombuffer(places, np.uint16)] += np.frombuffer(counts, np.uint8)
+        if part is not None:
+            yield bits()
 
     return run
 
 
-def _count(ids: list[int], joined: Pairs, least: int, most: int, trie: Trie) -> None:
-    """Add the runs of the stretches in which all neighbours are joined."""
-    if joined.frequent is None:
-        marks = [a != RARE and b != RARE for a, b in zip(ids, ids[1:], strict=False)]
-    else:
-        marks = list(map(joined.__getitem__, zip(ids, ids[1:], strict=False)))
-    at, n = 0, len(ids)
-    while at < n:
-        end = at
-        while end < n - 1 and marks[end]:
-            end += 1
-        # the stretch is at..end
-        for i in range(at, end + 2 - least):
-            path = tuple(ids[i : min(i + most, end + 1)])
-            trie.add(path if len(path) == most else (*path, END))
-        at = end + 1
+def phrase_runs(most: int, words: bytes, pairs: bytes, entries: int = ENTRIES, burst: int = BURST):
+    """Sorted runs of two to `most` frequent words: each place once, with as many of the words after it as there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = np.frombuffer(pairs, np.uint8)
+        tries: dict[int, Trie] = {}
+        for ids, chunk in chunks(batches, words):
+            trie = tries.setdefault(id(ids), Trie(burst))
+            if chunk is None:
+                yield from run_of(ids, *trie.spill(0))
+                del tries[id(ids)]
+                continue
+            trie.add(*packed_paths(ids, chunk, most, frequent))
+            if sum(t.entries for t in tries.values()) > entries:
+                yield from run_of(ids, *trie.spill(trie.entries // 2))
+
+    return run
+
+
+def packed_paths(ids: WordIds, chunk: np.ndarray, most: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The longest run from each place that has one of two words at least, packed; words count from 1, 0 is none."""
+    joined = np.zeros(len(chunk), bool)
+    at = np.flatnonzero((chunk[:-1] >= 0) & (chunk[1:] >= 0))
+    bits = ids.pair_hashes(chunk[at], chunk[at + 1])
+    joined[at] = frequent[bits >> 3] >> (bits & 7) & 1
+    start = np.flatnonzero(joined)
+    columns, alive = [chunk[start] + 1], np.ones(len(start), bool)
+    padded, links = np.concatenate([chunk, np.full(most, RARE)]), np.concatenate([joined, np.zeros(most, bool)])
+    for k in range(1, 5):
+        alive = alive & links[start + k - 1] if k < most else np.zeros(len(start), bool)
+        columns.append(np.where(alive, padded[np.minimum(start + k, len(padded) - 1)] + 1, 0))
+    high = (columns[0] << 2 * WIDTH) | (columns[1] << WIDTH) | columns[2]
+    return high, (columns[3] << WIDTH) | columns[4], np.ones(len(start), np.int64)
 
 
 def merged_counts(least: int, most: int, min_count: int):
@@ -275,10 +402,8 @@ def _counted(runs: DataFrame, least: int, most: int, min_count: int, name: str)
     return written(rows, name)
 
 
-def _bitmap(keys: DataFrame) -> bytes:
-    """The bits of the keys' hashes; BITS / 8 bytes whatever their number."""
-    bit = F.crc32("key") % BITS
-    parts = keys.groupBy((bit / PART).cast("int").alias("part")).agg(F.bitmap_construct_agg(bit % PART).alias("bits"))
+def _bitmap(parts: DataFrame) -> bytes:
+    """A bitmap from its parts (part, bits): BITS / 8 bytes whatever the number of keys."""
     out = bytearray(BITS // 8)
     # BITS / PART rows at most
     for row in parts.collect():
@@ -287,25 +412,41 @@ def _bitmap(keys: DataFrame) -> bytes:
     return bytes(out)
 
 
+def frequent_words(singles: DataFrame) -> bytes:
+    bit = F.crc32("key") % BITS
+    keys = singles.where(F.size("parts") == 2)
+    return _bitmap(keys.groupBy((bit / PART).cast("int").alias("part")).agg(F.bitmap_construct_agg(bit % PART).alias("bits")))
+
+
+def frequent_pairs(held: DataFrame, words: bytes, min_count: int) -> bytes:
+    counts = held.mapInArrow(pair_counts(words), "part int, places binary, counts binary")
+    dealt = counts.repartition("part").sortWithinPartitions("part")
+    return _bitmap(dealt.mapInArrow(frequent_parts(min(min_count, 255)), "part int, bits binary"))
+
+
 def phrase_counts(docs: DataFrame, *, min_count: int = MIN_COUNT, longest: int = LONGEST, entries: int = ENTRIES, burst: int = BURST) -> DataFrame:
-    """parts, n: how often each phrase of 1 to `longest` words is found, if `min_count` times; parts of one element are
-    languages with their number of words."""
+    """parts, n: how often each phrase of 1 to `longest` (2 to 5) words is found, if `min_count` times; parts of one element
+    are languages with their number of words."""
+    if not 2 <= longest <= 5:
+        raise ValueError("phrases have 2 to 5 words")
     held = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), F.col("text")).where("text <> ''")
     singles = _counted(held.mapInArrow(lambda b: word_runs(b, entries), RUNS), 0, 1, min_count, "words")
-    words = _bitmap(singles.where(F.size("parts") == 2))
-    pairs = _counted(held.mapInArrow(phrase_runs(2, 2, words, None, entries, burst), RUNS), 2, 2, min_count, "pairs")
-    out = singles.unionByName(pairs)
-    if longest > 2:
-        joined = _bitmap(pairs)
-        runs = held.mapInArrow(phrase_runs(3, longest, words, joined, entries, burst), RUNS)
-        out = out.unionByName(_counted(runs, 3, longest, min_count, "phrases"))
-    return out.select("parts", "n")
+    words = frequent_words(singles)
+    pairs = frequent_pairs(held, words, min_count)
+    runs = held.mapInArrow(phrase_runs(longest, words, pairs, entries, burst), RUNS)
+    return singles.unionByName(_counted(runs, 2, longest, min_count, "phrases")).select("parts", "n")
 
 
 def _key(parts: Column) -> Column:
     return F.array_join(parts, "\x00")
 
 
+def pair_score(a: str, n: str, left: str, right: str) -> Column:
+    """floor(1000 * a * n / (left * right)) of columns of whole numbers."""
+    whole = "cast({} as decimal(38,0))"
+    return F.expr(f"cast(({whole.format(1000)} * {a} * {n}) div ({whole.format(left)} * {right}) as bigint)")
+
+
 def collocations(
     docs: DataFrame, *, min_count: int = MIN_COUNT, top: int = TOP, longest: int = LONGEST, entries: int = ENTRIES, burst: int = BURST
 ) -> DataFrame:
@@ -328,9 +469,8 @@ def collocations(
         .join(figures.select(F.col("key").alias("right_key"), F.col("n").alias("r")), "right_key")
         .join(keyed.where(F.size("parts") == 1).select(F.col("key").alias("lang_key"), "n"), F.get("parts", F.lit(0)) == F.col("lang_key"))
     )
-    whole = "cast({} as decimal(38,0))"
-    score = F.expr(f"cast(({whole.format(1000)} * a * n) div ({whole.format('l')} * r) as bigint)")
-    best = scored.groupBy("key", "parts", "a", "n").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("best"))
+    score = pair_score("a", "n", "l", "r").alias("score")
+    best = scored.groupBy("key", "parts", "a", "n").agg(F.min(F.struct(score, "k", "l", "r")).alias("best"))
     plain = F.transform("parts", lambda p: F.replace(F.replace(p, F.lit("\x01\x01"), F.lit("\x00")), F.lit("\x01\x02"), F.lit("\x01")))
     rows = best.select(plain.alias("parts"), "a", "n", "best.score", "best.l", "best.r").select(
         F.get("parts", F.lit(0)).alias("lang"),
