@@ -1,12 +1,16 @@
 """Circuit breaker over an ordered attempt log.
 
-A breaker is sequential per key, so the log is cut into time slices of a key and folded in three steps:
+A breaker is sequential per key, so the log is cut into slices and folded in three steps:
 
-1. each slice, in parallel, works out what it does to every state it could be entered with (`slice_effects`);
-2. the slices of a key, a handful of small rows, are chained in order to find each slice's true entry state;
-3. each slice, in parallel again, is replayed from that state and emits a decision per attempt.
+1. each slice, in parallel, works out what it does to every state it could be entered with;
+2. the slices of a key, a row each, are chained in order to find each slice's true entry state;
+3. each slice, in parallel again, is replayed from that state and tells a decision per attempt.
 
-No task ever holds all attempts of a key, and a slice streams through in Arrow batches.
+Slices are ranges of (name, time, attempt) with about as many rows each, so a key that holds a third of the log, or a burst
+within one second, is as many slices as its rows make. Within a slice nothing is stepped through attempt by attempt: a failure that
+opens the circuit points to the next one that does, by two binary searches (the attempt at which the gate lets a trial
+through, the end of the next run of failures that trips a closed circuit), and following the pointers, by doubling, gives the exit
+for every entry at once.
 
 A state is (last_failure, failures): last_failure is None while closed, else the time of the failure that
 opened the circuit, in microseconds.
@@ -14,202 +18,336 @@ opened the circuit, in microseconds.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signpost import schema as S
-from signpost.operators.usage import SLICE_SECONDS, time_slice
 from signpost.operators.windows import rank_within
-from signpost.session import shuffle_partitions
+from signpost.session import shared_folder, shuffle_partitions
 
 OK, FAILED, REJECTED = "ok", "failed", "rejected"
 MICROS = 1_000_000
+#: Attempts of a slice, about.
+SLICE_ROWS = 250_000
+#: Stands for "closed" among times.
+CLOSED = -(2**63)
 
 
-def advance(state: tuple, t: int, success: bool, threshold: int, recovery: int) -> tuple[str, tuple]:
-    """Decision and next state for one attempt."""
-    opened, failures = state
-    if opened is not None and t - opened < recovery:
-        return REJECTED, state
-    if success:
-        return OK, (None, 0)
-    if opened is not None or failures + 1 >= threshold:
-        return FAILED, (t, failures + 1)
-    return FAILED, (None, failures + 1)
+class Slices:
+    """Attempts of one or more keys, each key's in order, and where a circuit opened at one of them opens next.
 
-
-class SliceEffect:
-    """What one slice does to each possible entry state.
-
-    Entries are "closed with f failures" and, for a circuit opened earlier, the attempt at which the gate lets the
-    first trial through; which one that is depends only on the time of the last failure. All entries run side by
-    side and are merged as soon as they reach the same state, so a slice mostly costs one pass.
-    Failures of a circuit that was open on entry count from an unknown base: such states carry carried=True.
+    `starts` are the first rows of the keys. For row j, were it a failure that opens the circuit: `gate` is the first row whose attempt is let
+    through (the key's end if none is), `after` the next row that opens it (-1: none), and `tripped` whether it was closed in
+    between.
     """
 
-    def __init__(self, threshold: int, recovery: int):
+    def __init__(self, t: np.ndarray, success: np.ndarray, starts: np.ndarray, threshold: int, recovery: int):
+        n = len(t)
+        self.t, self.success, self.starts = t, success, starts
         self.threshold, self.recovery = threshold, recovery
-        self.live = {((None, f), False): [("closed", f)] for f in range(threshold)}
-        self.first = self.previous = None
-
-    def feed(self, t: int, success: bool) -> None:
-        after: dict = {}
-        for (state, carried), entries in self.live.items():
-            decision, nxt = advance(state, t, success, self.threshold, self.recovery)
-            key = (nxt, carried and decision != OK)
-            after[key] = after[key] + entries if key in after else entries
-        self.first = t if self.first is None else self.first
-        if self.previous is None or (self.previous < t and self.previous - self.recovery < self.first):
-            # a circuit opened before this slice may find its gate open exactly now
-            key = ((None, 0), False) if success else ((t, 1), True)
-            entry = [("open", t - self.recovery)]
-            after[key] = after[key] + entry if key in after else entry
-        self.live, self.previous = after, t
-
-    def table(self) -> dict:
-        exits = {entry: (*state, carried) for (state, carried), entries in self.live.items() for entry in entries}
-        closed = [exits["closed", f] for f in range(self.threshold)]
-        opened = sorted((upto, exits[kind, upto]) for kind, upto in exits if kind == "open")
-        # neighbours with one outcome become one line, valid up to the later bound
-        lines = [o for i, o in enumerate(opened) if i + 1 == len(opened) or opened[i + 1][1] != o[1]]
-        return {
-            "closed": [{"last": c[0], "failures": c[1]} for c in closed],
-            "opened": [{"upto": u, "last": e[0], "failures": e[1], "carried": e[2]} for u, e in lines],
-        }
+        self.ends = np.append(starts[1:], n)
+        self.key = np.repeat(np.arange(len(starts)), self.ends - starts)
+        self.end = self.ends[self.key]
+        place = np.arange(n)
+        last_ok = np.maximum.accumulate(np.where(success, place, -1))
+        #: failures in a row up to each row
+        self.run = place - np.maximum(last_ok, starts[self.key] - 1)
+        self.trips = np.flatnonzero(self.run >= threshold)
+        # times of all keys on one line, keys further apart than any wait
+        low = t.min() if n else 0
+        self.apart = (t.max() - low if n else 0) + recovery + 1
+        self.line = t - low + self.key * self.apart
+        self.low = low
+        self.gate = np.clip(np.searchsorted(self.line, self.line + recovery), place + 1, self.end)
+        reopened = (self.gate < self.end) & ~success[np.minimum(self.gate, n - 1)]
+        tripped = np.where(self.gate < self.end, self.next_trip(np.minimum(self.gate + 1, n), self.end), -1)
+        self.after = np.where(reopened, self.gate, tripped)
+        self.tripped = ~reopened
+
+    def next_trip(self, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Row at which a circuit closed without failures before row `at` opens, or -1."""
+        found = np.append(self.trips, len(self.t))[np.searchsorted(self.trips, at + self.threshold - 1)]
+        return np.where(found < end, found, -1)
+
+    def tail(self, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Failures of a circuit at its key's end that is closed from row `at` on."""
+        return np.minimum(self.run[end - 1], end - at)
+
+    def trip_from(self, failures: np.ndarray) -> np.ndarray:
+        """First row of each key that opens a circuit entered closed with `failures`, or -1."""
+        need = self.threshold - failures
+        # the first success of each key, or its end
+        ok = np.append(np.flatnonzero(self.success), len(self.t))
+        lead = np.minimum(ok[np.searchsorted(ok, self.starts)], self.ends) - self.starts
+        return np.where(lead >= need, self.starts + need - 1, self.next_trip(self.starts, self.ends))
+
+    def gate_from(self, last: np.ndarray) -> np.ndarray:
+        """First row of each key that a circuit opened at `last`, before the key's rows, lets through."""
+        wait = np.clip(last + self.recovery - self.low, -1, self.apart - 1)
+        return np.clip(np.searchsorted(self.line, wait + np.arange(len(self.starts)) * self.apart), self.starts, self.ends)
+
+    def exits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each row, were it to open the circuit: the last row that does, whether it was closed in between, and the
+        openings since then."""
+        n = len(self.t)
+        jump = np.where(self.after < 0, np.arange(n), self.after)
+        tripped = (self.after >= 0) & self.tripped
+        steps = ((self.after >= 0) & ~self.tripped).astype(np.int64)
+        while True:
+            further = jump[jump]
+            if (further == jump).all():
+                return jump, tripped, steps
+            steps = np.where(tripped[jump], steps[jump], steps + steps[jump])
+            tripped |= tripped[jump]
+            jump = further
+
+    def effects(self) -> list[dict]:
+        """Per key: exit state by number of failures if entered closed, and if entered open by lines, each valid for circuits
+        opened at `upto` at the latest (and after the line before)."""
+        final, tripped, steps = self.exits()
+        ends_open = self.gate[final] >= self.end[final]
+        left_closed = np.minimum(self.gate[final] + 1, self.end[final])
+
+        def leave(row: np.ndarray, failures: np.ndarray):
+            """Exit of circuits opened at `row` with `failures`: last failure or CLOSED, failures."""
+            last = np.where(ends_open[row], self.t[final[row]], CLOSED)
+            opened = np.where(tripped[row], self.threshold, failures) + steps[row]
+            end = self.end[row]
+            return last, np.where(ends_open[row], opened, self.tail(left_closed[row], end))
+
+        closed = []
+        for f in range(self.threshold):
+            row = self.trip_from(np.full(len(self.starts), f))
+            last, failures = leave(np.maximum(row, 0), np.full(len(row), self.threshold))
+            length = self.ends - self.starts
+            whole = self.run[self.ends - 1] == length
+            kept = np.where(whole, f + length, self.run[self.ends - 1])
+            closed.append((np.where(row < 0, CLOSED, last), np.where(row < 0, kept, failures)))
+        # rows that may be the first let through: of each time, while the wait began before the key's rows
+        n = len(self.t)
+        first = self.starts[self.key]
+        earlier = self.t[np.maximum(np.arange(n) - 1, 0)]
+        rows = np.flatnonzero((np.arange(n) == first) | ((earlier < self.t) & (earlier - self.recovery < self.t[first])))
+        trip = self.next_trip(np.minimum(rows + 1, n), self.end[rows])
+        row = np.where(self.success[rows], trip, rows)
+        last, failures = leave(np.maximum(row, 0), np.where(self.success[rows], self.threshold, 1))
+        shut = row < 0
+        last = np.where(shut, CLOSED, last)
+        failures = np.where(shut, self.tail(np.minimum(rows + 1, self.end[rows]), self.end[rows]), failures)
+        carried = ~self.success[rows] & ~tripped[np.maximum(row, 0)] & (last != CLOSED)
+        upto, key = self.t[rows] - self.recovery, self.key[rows]
+        # neighbours with one outcome become one line
+        same = (last[1:] == last[:-1]) & (failures[1:] == failures[:-1]) & (carried[1:] == carried[:-1]) & (key[1:] == key[:-1])
+        kept = np.append(~same, np.ones(min(len(rows), 1), bool))
+        upto, last, failures, carried, key = (x[kept] for x in (upto, last, failures, carried, key))
+        cuts = np.searchsorted(key, np.arange(len(self.starts) + 1))
+        return [
+            {
+                "closed_last": [int(c[0][i]) for c in closed],
+                "closed_failures": [int(c[1][i]) for c in closed],
+                "upto": upto[cuts[i] : cuts[i + 1]],
+                "open_last": last[cuts[i] : cuts[i + 1]],
+                "open_failures": failures[cuts[i] : cuts[i + 1]],
+                "carried": carried[cuts[i] : cuts[i + 1]],
+            }
+            for i in range(len(self.starts))
+        ]
+
+    def replay(self, last: np.ndarray, failures: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Decision, last failure (CLOSED while closed) and failures after each attempt; keys are entered with `last` and
+        `failures`."""
+        n = len(self.t)
+        place = np.arange(n)
+        shut = last == CLOSED
+        let = np.where(shut, self.starts, self.gate_from(np.where(shut, 0, last)))
+        trial = np.minimum(let, max(n - 1, 0))
+        inside = let < self.ends
+        first = np.where(self.success[trial], self.next_trip(np.minimum(let + 1, n), self.ends), trial)
+        opens = np.where(shut, self.trip_from(np.where(shut, failures, 0)), np.where(inside, first, -1))
+        counts = np.where(shut | self.success[trial], self.threshold, failures + 1)
+        rows, told = [], []
+        after, tripped = self.after.tolist(), self.tripped.tolist()
+        for row, count in zip(opens.tolist(), counts.tolist(), strict=True):
+            while row >= 0:
+                rows.append(row)
+                told.append(count)
+                count = self.threshold if tripped[row] else count + 1
+                row = after[row]
+        rows, told = np.array(rows, np.int64), np.array(told, np.int64)
+        held = np.searchsorted(rows, place, side="right") - 1
+        known = np.maximum(held, 0)
+        is_open = (held >= 0) & (place < self.gate[rows[known]]) if len(rows) else np.zeros(n, bool)
+        waits = ~shut[self.key] & (place < let[self.key])
+        added = np.where(shut[self.key] & (self.run == place - self.starts[self.key] + 1), failures[self.key], 0)
+        out_last, out_failures = np.full(n, CLOSED), self.run + added
+        if len(rows):
+            out_last = np.where(is_open, self.t[rows[known]], out_last)
+            out_failures = np.where(is_open, told[known], out_failures)
+        out_last = np.where(waits, last[self.key], out_last)
+        out_failures = np.where(waits, failures[self.key], out_failures)
+        opening = np.zeros(n, bool)
+        opening[rows] = True
+        rejected = waits | (is_open & ~opening)
+        decision = np.where(rejected, REJECTED, np.where(self.success, OK, FAILED))
+        return decision, out_last, out_failures
+
+
+def pass_through(state: tuple, effect: dict) -> tuple:
+    """State after a slice entered in `state`; last_failure is CLOSED while closed."""
+    last, failures = state
+    if last == CLOSED:
+        return effect["closed_last"][failures], effect["closed_failures"][failures]
+    line = int(np.searchsorted(effect["upto"], last))
+    if line == len(effect["upto"]):
+        return state
+    return effect["open_last"][line], effect["open_failures"][line] + (failures if effect["carried"][line] else 0)
+
+
+def key_starts(names: pd.Series) -> np.ndarray:
+    """First rows of the runs of equal names."""
+    codes = pd.factorize(names, use_na_sentinel=False)[0]
+    return np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
 
 
 EFFECT = (
-    "name {name}, slice long, closed array<struct<last:long,failures:long>>, "
-    "opened array<struct<upto:long,last:long,failures:long,carried:boolean>>"
+    "name {name}, slice long, closed_last array<long>, closed_failures array<long>, "
+    "upto array<long>, open_last array<long>, open_failures array<long>, carried array<boolean>"
 )
+ROWS = "attempt_id {id}, name {name}, t long, success boolean, slice long"
+
+
+def cut_slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The attempts with the number of their range, which grows along the order."""
+    number = TaskContext.get().partitionId()
+    for b in batches:
+        yield b.assign(slice=number)
+
+
+def gathered(batches: Iterator[pd.DataFrame], by: str) -> Iterator[pd.DataFrame]:
+    """Whole slices of a stream sorted by slice."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        cuts = np.append(np.flatnonzero(np.diff(b[by].to_numpy())) + 1, len(b))
+        at = 0
+        for cut in cuts:
+            part = b.iloc[at:cut]
+            if held and len(part) and held[0][by].iloc[0] != part[by].iloc[0]:
+                yield pd.concat(held, ignore_index=True)
+                held = []
+            if len(part):
+                held.append(part)
+            at = cut
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 def slice_effects(threshold: int, recovery: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, effect = None, None
-        for batch in batches:
-            done = []
-            for name, part, t, success in zip(batch["name"], batch["slice"], batch["t"], batch["success"], strict=True):
-                if (name, part) != current:
-                    if effect is not None:
-                        done.append({"name": current[0], "slice": current[1], **effect.table()})
-                    current, effect = (name, part), SliceEffect(threshold, recovery)
-                effect.feed(t, success)
-            if done:
-                yield pd.DataFrame(done)
-        if effect is not None:
-            yield pd.DataFrame([{"name": current[0], "slice": current[1], **effect.table()}])
+        for rows in gathered(batches, "slice"):
+            starts = key_starts(rows["name"])
+            cut = Slices(rows["t"].to_numpy(), rows["success"].to_numpy(bool), starts, threshold, recovery)
+            yield pd.DataFrame(cut.effects()).assign(name=rows["name"].iloc[starts].array, slice=rows["slice"].iloc[0])
 
     return run
 
 
-def pass_through(state: tuple, closed, opened) -> tuple:
-    """State after a slice entered in `state`."""
-    last, failures = state
-    if last is None:
-        exit_ = closed[failures]
-        return (exit_["last"], exit_["failures"])
-    for line in opened:
-        if last <= line["upto"]:
-            return (line["last"], line["failures"] + (failures if line["carried"] else 0))
-    return state
-
-
-def known(last) -> int | None:
-    return None if last is pd.NA else last
-
-
 def chain_slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    name, state = None, (None, 0)
+    name, state = None, (CLOSED, 0)
     for batch in batches:
         rows = []
-        start_last = batch["start_last"].astype("Int64")
-        for key, part, closed, opened, last, failures in zip(
-            batch["name"], batch["slice"], batch["closed"], batch["opened"], start_last, batch["start_failures"],
-            strict=True,
-        ):
-            if key != name:
-                name, state = key, (known(last), failures)
-            rows.append((key, part, *state))
-            state = pass_through(state, closed, opened)
-        yield pd.DataFrame(rows, columns=["name", "slice", "entry_last", "entry_failures"]).astype(
-            {"entry_last": "Int64"}
-        )
+        for row in batch.to_dict("records"):
+            if not rows and name is None or row["name"] != name:
+                name, state = row["name"], (row["start_last"], row["start_failures"])
+            rows.append((row["name"], row["slice"], *state))
+            state = pass_through(state, row)
+        yield pd.DataFrame(rows, columns=["name", "slice", "entry_last", "entry_failures"])
 
 
-def replay(threshold: int, recovery: int):
+def replay_slices(threshold: int, recovery: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, (None, 0)
-        for batch in batches:
-            entry_last = batch["entry_last"].astype("Int64")
-            out = []
-            for name, part, t, success, last, failures in zip(
-                batch["name"], batch["slice"], batch["t"], batch["success"], entry_last, batch["entry_failures"],
-                strict=True,
-            ):
-                if (name, part) != current:
-                    current, state = (name, part), (known(last), failures)
-                decision, state = advance(state, t, success, threshold, recovery)
-                out.append((decision, *state))
-            told = pd.DataFrame(out, columns=["decision", "opened_at", "failures"], index=batch.index)
-            told["opened_at"] = told["opened_at"].astype("Int64")
-            yield pd.concat([batch[["attempt_id", "name", "t", "success"]], told], axis=1)
+        for rows in gathered(batches, "slice"):
+            # a key's entry stands before its attempts
+            entry = rows["entry_last"].notna().to_numpy()
+            entries, log = rows[entry], rows[~entry].reset_index(drop=True)
+            starts = key_starts(log["name"])
+            cut = Slices(log["t"].to_numpy(np.int64), log["success"].to_numpy(bool), starts, threshold, recovery)
+            last, failures = (entries[c].to_numpy(np.int64) for c in ("entry_last", "entry_failures"))
+            yield told(log, *cut.replay(last, failures))
 
     return run
 
 
+def told(log: pd.DataFrame, decision: np.ndarray, last: np.ndarray, failures: np.ndarray) -> pd.DataFrame:
+    out = log[["attempt_id", "name", "t", "success"]].assign(decision=decision, failures=failures)
+    out["opened_at"] = pd.array(last, "Int64")
+    out.loc[last == CLOSED, "opened_at"] = pd.NA
+    return out[["attempt_id", "name", "t", "success", "decision", "opened_at", "failures"]]
+
+
 def circuit_trace(
     attempts: DataFrame,
     threshold: int = S.FAILURE_THRESHOLD,
     recovery_seconds: float = S.RECOVERY_SECONDS,
-    slice_seconds: int = SLICE_SECONDS,
     initial: DataFrame | None = None,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Decision per attempt: `attempt_id, name, ts, success, decision, state, failures, last_failure`.
 
     `success` is what the call would return if let through. `state` is the stored one, closed or open;
     `last_failure` is given while open. Order is (ts, attempt_id). `initial`, in the shape of `stored_circuits`, is
-    where keys stand before the log; others start closed.
+    where keys stand before the log; others start closed. The ordered log is written once, to the shared folder.
     """
     recovery = round(recovery_seconds * MICROS)
+    spark = attempts.sparkSession
     name_type = attempts.schema["name"].dataType.simpleString()
     id_type = attempts.schema["attempt_id"].dataType.simpleString()
-    log = attempts.select(
-        "attempt_id", "name", time_slice(F.col("ts"), slice_seconds).alias("slice"),
-        F.unix_micros("ts").alias("t"), "success",
-    ).repartition(shuffle_partitions(attempts), "name", "slice")
-    order = ["name", "slice", "t", "attempt_id"]
+    path = f"{shared_folder(spark)}/circuit-{uuid.uuid4().hex}"
+    order = ["name", "t", "attempt_id"]
+    rows = attempts.select("attempt_id", "name", F.unix_micros("ts").alias("t"), F.coalesce("success", F.lit(False)).alias("success"))
+    n = shuffle_partitions(attempts)
+    ranges = max(n, -(-attempts.count() // slice_rows))
+    schema = ROWS.format(id=id_type, name=name_type)
+    ranged = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    ranged.mapInPandas(cut_slices, schema).write.parquet(path)
+    log = spark.read.schema(schema).parquet(path)
+    # a slice is about as many rows as any other, whichever keys it holds
     effects = (
-        log.sortWithinPartitions(*order)
-        .select("name", "slice", "t", "success")
+        log.repartition(n, "slice").sortWithinPartitions("slice", *order)
         .mapInPandas(slice_effects(threshold, recovery), EFFECT.format(name=name_type))
-    )
+    )
+    closed = F.lit(CLOSED)
     if initial is None:
-        started = effects.withColumns({"start_last": F.lit(None).cast("long"), "start_failures": F.lit(0).cast("long")})
+        started = effects.withColumns({"start_last": closed, "start_failures": F.lit(0).cast("long")})
     else:
         start = initial.select(
             "name",
-            F.unix_micros("last_failure").alias("start_last"),
+            F.coalesce(F.unix_micros("last_failure"), closed).alias("start_last"),
             F.col("failures").alias("start_failures"),
         )
-        started = effects.join(start, "name", "left").withColumn("start_failures", F.coalesce("start_failures", F.lit(0)))
+        started = effects.join(start, "name", "left").withColumns(
+            {"start_last": F.coalesce("start_last", closed), "start_failures": F.coalesce("start_failures", F.lit(0))}
+        )
     entries = (
         started.repartition("name")
         .sortWithinPartitions("name", "slice")
         .mapInPandas(chain_slices, f"name {name_type}, slice long, entry_last long, entry_failures long")
     )
-    told = (
-        log.join(entries, ["name", "slice"])
-        .sortWithinPartitions(*order)
-        .mapInPandas(
-            replay(threshold, recovery),
-            f"attempt_id {id_type}, name {name_type}, t long, success boolean, "
-            "decision string, opened_at long, failures long",
-        )
+    both = log.unionByName(entries, allowMissingColumns=True).repartition(n, "slice")
+    told = both.sortWithinPartitions("slice", "name", F.asc_nulls_last("entry_last"), "t", "attempt_id").mapInPandas(
+        replay_slices(threshold, recovery),
+        f"attempt_id {id_type}, name {name_type}, t long, success boolean, "
+        "decision string, opened_at long, failures long",
     )
+    return shown_trace(told)
+
+
+def shown_trace(told: DataFrame) -> DataFrame:
     return told.select(
         "attempt_id",
         "name",

@@ -1,8 +1,9 @@
 """Learning from an attempt log: success rate, use count, last use, failures in a row.
 
 The moving average has a closed form: after n events the rate is r0 * 0.9^n + sum(0.1 * success * 0.9^k), where k
-counts the later events. So a log is folded by aggregation, first within time slices of a key, then across the
-few slices: a key that holds a third of all rows is spread over as many tasks as it has slices.
+counts the later events. So a log is folded by aggregation. It is dealt out by ranges of (name, time, attempt), which spread a key by its rows
+whatever their times, and numbered in that order; blocks of consecutive numbers are added up before anything else is
+exchanged, and the few blocks of a key then combined.
 """
 
 from __future__ import annotations
@@ -12,49 +13,49 @@ from pyspark.sql import functions as F
 
 from signpost import schema as S
 
-SLICE_SECONDS = 86_400
+#: Attempts of a block at most. Weights within one differ by 0.9^1024, far from the limits of a double.
+BLOCK_ROWS = 1024
 KEEP = 1 - S.EMA_ALPHA
 
 
-def time_slice(ts: Column, seconds: int = SLICE_SECONDS) -> Column:
-    return F.floor(F.unix_micros(ts) / F.lit(1_000_000.0 * seconds)).cast("long")
-
-
 def decay(n: Column) -> Column:
     return F.pow(F.lit(KEEP), n.cast("double"))
 
 
-def fold_usage(attempts: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def fold_usage(attempts: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """`attempts(attempt_id, name, ts, success)` -> one row per name.
 
     `uses` attempts, `gain` to add to the decayed old rate, `last_used_at`, and `failures_since_success`, null
     when the log has no success for the name. Order is (ts, attempt_id).
     """
-    sliced = attempts.select("name", time_slice(F.col("ts"), slice_seconds).alias("slice"), "ts", "attempt_id", "success")
-    newest_first = Window.partitionBy("name", "slice").orderBy(F.desc("ts"), F.desc("attempt_id"))
-    later = F.row_number().over(newest_first) - 1
-    slices = (
-        sliced.withColumn("later", later)
-        .groupBy("name", "slice")
+    order = ["name", "ts", "attempt_id"]
+    rows = attempts.select(*order, "success").repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = rows.withColumn("id", F.monotonically_increasing_id())
+    # weights count from the block's last number, which need not be one of this key's
+    block = F.floor(F.col("id") / F.lit(block_rows))
+    to_end = (block + 1) * block_rows - 1 - F.col("id")
+    blocks = (
+        numbered.withColumns({"block": block, "weight": F.when(F.col("success"), decay(to_end)).otherwise(F.lit(0.0))})
+        .groupBy("name", "block")
         .agg(
             F.count("*").alias("n"),
-            F.sum(F.when(F.col("success"), F.lit(S.EMA_ALPHA) * decay(F.col("later"))).otherwise(F.lit(0.0))).alias("w"),
+            F.max("id").alias("top"),
+            F.sum("weight").alias("weight"),
             F.max("ts").alias("last"),
-            F.min(F.when(F.col("success"), F.col("later"))).alias("trailing"),
+            F.max(F.when(F.col("success"), F.col("id"))).alias("last_success"),
         )
     )
-    newer = (
-        Window.partitionBy("name").orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    newer = Window.partitionBy("name").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     after = F.coalesce(F.sum("n").over(newer), F.lit(0))
+    from_top = F.col("weight") / decay((F.col("block") + 1) * block_rows - 1 - F.col("top"))
     return (
-        slices.withColumn("after", after)
+        blocks.withColumn("after", after)
         .groupBy("name")
         .agg(
             F.sum("n").alias("uses"),
-            F.sum(F.col("w") * decay(F.col("after"))).alias("gain"),
+            F.sum(F.lit(S.EMA_ALPHA) * from_top * decay(F.col("after"))).alias("gain"),
             F.max("last").alias("last_used_at"),
-            F.min(F.col("trailing") + F.col("after")).alias("failures_since_success"),
+            F.min(F.col("top") - F.col("last_success") + F.col("after")).alias("failures_since_success"),
         )
     )
 

@@ -2,52 +2,59 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from signpost import schema as S
-from signpost.operators.circuit import circuit_trace
-from signpost.operators.usage import SLICE_SECONDS
+from signpost.operators import circuit as C
 from signpost.operators.windows import rank_within
-from signpost.sources.snapshot import is_committed, read_snapshot, write_snapshot
+from signpost.streaming.ordered import MICROS, fold_in_order, read_told
+
+DECISION = "attempt_id {id}, name {name}, t long, success boolean, decision string, opened_at long, failures long"
+TOLD = DECISION + ", final boolean, late long"
+STATE = "opened_at long, failures long"
+START = (C.CLOSED, 0)
 
 
-def states_type(name_type: str) -> str:
-    return f"name {name_type}, state string, failures long, last_failure timestamp, last_ts timestamp, late long"
+def settle(state: tuple, attempts: pd.DataFrame, threshold: int, recovery: int) -> tuple[tuple, pd.DataFrame]:
+    """State after one key's attempts, and the decisions on them."""
+    t, success = attempts["t"].to_numpy(np.int64), attempts["success"].to_numpy(bool)
+    cut = C.Slices(t, success, np.zeros(1, np.int64), threshold, recovery)
+    decision, last, failures = cut.replay(np.array([state[0]]), np.array([state[1]]))
+    rows = C.told(attempts.assign(name=None).reset_index(drop=True), decision, last, failures)
+    return (int(last[-1]), int(failures[-1])), rows
 
 
-def read_circuits(spark: SparkSession, path: str, name_type: str = "string") -> DataFrame:
-    """Stored state per key, the time of its last attempt and the number of its late attempts."""
-    states = read_snapshot(spark, f"{path}/states")
-    return spark.createDataFrame([], states_type(name_type)) if states is None else states
+def tell(key, late: int, settled: pd.DataFrame | None, pending: pd.DataFrame | None, _state: tuple) -> pd.DataFrame:
+    parts = [rows.assign(final=final) for rows, final in ((settled, True), (pending, False)) if rows is not None]
+    return pd.concat(parts, ignore_index=True).assign(name=key, late=late)
 
 
-def read_decisions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/decisions").drop("batch")
+def _told(spark: SparkSession, path: str, name_type: str, id_type: str) -> DataFrame:
+    """Final decisions, and those on waiting attempts as last told of their key."""
+    rows = read_told(spark, path, TOLD.format(name=name_type, id=id_type))
+    newest = rows.groupBy("name").agg(F.max("batch").alias("newest"))
+    return rows.join(newest, "name").where(F.col("final") | (F.col("batch") == F.col("newest")))
 
 
-def on_time(batch: DataFrame, states: DataFrame) -> DataFrame:
-    """Batch with `late`: older than the last attempt its key was folded with."""
-    seen = states.select("name", "last_ts")
-    return batch.join(seen, "name", "left").withColumn("late", F.coalesce(F.col("ts") < F.col("last_ts"), F.lit(False)))
+def read_circuits(spark: SparkSession, path: str, name_type: str = "string", id_type: str = "long") -> DataFrame:
+    """State per key after all its attempts so far, the time of the last one and the number of its late attempts."""
+    told = _told(spark, path, name_type, id_type)
+    last = rank_within(told, "name", [F.desc("t"), F.desc("attempt_id")], 1)
+    late = told.groupBy("name").agg(F.max("late").alias("late"))
+    return C.shown_trace(last).select("name", "state", "failures", "last_failure", F.col("ts").alias("last_ts")).join(late, "name")
 
 
-def next_states(states: DataFrame, told: DataFrame, marked: DataFrame) -> DataFrame:
-    """States after a batch; keys without an attempt in it keep theirs."""
-    last = rank_within(told, "name", [F.desc("ts"), F.desc("attempt_id")], 1)
-    newest = last.select("name", *[F.col(c).alias(f"_{c}") for c in ("state", "failures", "last_failure", "ts")])
-    late = marked.groupBy("name").agg(F.count_if("late").alias("_late"))
-    both = states.join(newest, "name", "full_outer").join(late, "name", "full_outer")
-    moved = F.col("_state").isNotNull()
-    return both.select(
-        "name",
-        F.coalesce("_state", "state").alias("state"),
-        F.coalesce("_failures", "failures").alias("failures"),
-        F.when(moved, F.col("_last_failure")).otherwise(F.col("last_failure")).alias("last_failure"),
-        F.coalesce("_ts", "last_ts").alias("last_ts"),
-        (F.coalesce("late", F.lit(0)) + F.coalesce("_late", F.lit(0))).alias("late"),
-    )
+def read_decisions(spark: SparkSession, path: str, name_type: str = "string", id_type: str = "long") -> DataFrame:
+    """Decisions in the columns of `circuit_trace`, and `final`: whether no attempt on time can change them."""
+    told = _told(spark, path, name_type, id_type)
+    finals = told.select("name", "attempt_id", "final")
+    return C.shown_trace(told).join(finals, ["name", "attempt_id"])
 
 
 def stream_circuit(
@@ -57,27 +64,14 @@ def stream_circuit(
     interval: str | None = "10 seconds",
     threshold: int = S.FAILURE_THRESHOLD,
     recovery_seconds: float = S.RECOVERY_SECONDS,
-    slice_seconds: int = SLICE_SECONDS,
+    delay_seconds: float | None = 86_400.0,
 ) -> StreamingQuery:
-    """Decide a stream `(attempt_id, name, ts, success)`; decisions and states are kept under `path`.
+    """Decide a stream `(attempt_id, name, ts, success)`; decisions are kept under `path`.
 
-    Each micro-batch is traced from the stored states by the sliced fold, so a key that floods a batch is still spread
-    over tasks. Decisions go to a folder per batch, overwritten if the batch is run again; the states that follow from
-    them are committed once. Attempts older than their key's last folded one are late: left out and counted.
+    Attempts may arrive in any order within `delay_seconds` of their key's latest one (None: of any age); a decision is
+    final once no earlier attempt on time can arrive. Older ones are counted as late. A micro-batch works on, and
+    writes, the keys it touches only.
     """
-    spark = attempts.sparkSession
-    name_type = attempts.schema["name"].dataType.simpleString()
-
-    def decide(batch: DataFrame, epoch: int) -> None:
-        note, folder = f"circuit-{epoch}", f"{path}/decisions/batch={epoch}"
-        if is_committed(spark, f"{path}/states", note):
-            return
-        states = read_circuits(spark, path, name_type)
-        marked = on_time(batch, states)
-        timely = marked.filter(~F.col("late")).select(*batch.columns)
-        told = circuit_trace(timely, threshold, recovery_seconds, slice_seconds, states)
-        told.write.mode("overwrite").parquet(folder)
-        write_snapshot(next_states(states, spark.read.parquet(folder), marked), f"{path}/states", note)
-
-    writer = attempts.writeStream.option("checkpointLocation", checkpoint).foreachBatch(decide)
-    return (writer.trigger(availableNow=True) if interval is None else writer.trigger(processingTime=interval)).start()
+    output = TOLD.format(name=attempts.schema["name"].dataType.simpleString(), id=attempts.schema["attempt_id"].dataType.simpleString())
+    decide = partial(settle, threshold=threshold, recovery=round(recovery_seconds * MICROS))
+    return fold_in_order(attempts, path, checkpoint, interval, delay_seconds, STATE, START, decide, tell, output)

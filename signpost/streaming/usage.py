@@ -2,52 +2,58 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from signpost.operators.usage import fold_usage, merge_folds
-from signpost.sources.snapshot import is_committed, read_snapshot, write_snapshot
+from signpost import schema as S
+from signpost.operators.usage import KEEP
+from signpost.operators.windows import rank_within
+from signpost.streaming.ordered import fold_in_order, read_told
 
 FOLD = "name string, uses long, gain double, last_used_at timestamp, failures_since_success long, late long"
-
-
-def read_usage(spark: SparkSession, path: str) -> DataFrame:
-    """Current folds, in the shape `apply_usage` takes, with the number of late attempts dropped per name."""
-    folds = read_snapshot(spark, path)
-    return spark.createDataFrame([], FOLD) if folds is None else folds
-
-
-def merge_batch(stored: DataFrame, attempts: DataFrame) -> DataFrame:
-    """Stored folds with one batch of attempts merged in.
-
-    The batch is folded by itself, spread over time slices, and merged by the closed form; stored folds are small
-    rows, so no attempt is ever re-read. Attempts older than a name's last stored one are late: dropped, counted.
-    """
-    known = stored.select("name", F.col("last_used_at").alias("_last"))
-    marked = attempts.join(known, "name", "left").withColumn("_late", F.coalesce(F.col("ts") < F.col("_last"), F.lit(False)))
-    folded = fold_usage(marked.filter(~F.col("_late")).select(*attempts.columns))
-    late = marked.groupBy("name").agg(F.count_if("_late").alias("_new_late"))
-    old_late = stored.select("name", F.col("late").alias("_old_late"))
-    merged = merge_folds(stored.drop("late"), folded)
-    return (
-        merged.join(late, "name", "left")
-        .join(old_late, "name", "left")
-        .withColumn("late", F.coalesce("_old_late", F.lit(0)) + F.coalesce("_new_late", F.lit(0)))
-        .drop("_old_late", "_new_late")
+TOLD = "name {name}, uses long, gain double, last_t long, failures_since_success long, late long"
+STATE = "uses long, gain double, last_t long, failures_since_success long"
+START = (0, 0.0, None, None)
+
+
+def settle(state: tuple, attempts: pd.DataFrame) -> tuple[tuple, None]:
+    """The fold with later attempts added."""
+    uses, gain, _, since = state
+    n = len(attempts)
+    success = attempts["success"].to_numpy(bool)
+    added = S.EMA_ALPHA * float((KEEP ** np.arange(n - 1, -1, -1.0))[success].sum())
+    if success.any():
+        since = n - 1 - int(np.flatnonzero(success)[-1])
+    elif since is not None:
+        since += n
+    return (uses + n, gain * KEEP**n + added, int(attempts["t"].iloc[-1]), since), None
+
+
+def tell(key, late: int, _settled, _pending, state: tuple) -> pd.DataFrame:
+    uses, gain, last, since = state
+    row = {"name": [key], "uses": [uses], "gain": [gain], "last_t": [last], "failures_since_success": [since], "late": [late]}
+    return pd.DataFrame(row).astype({"last_t": "Int64", "failures_since_success": "Int64"})
+
+
+def read_usage(spark: SparkSession, path: str, name_type: str = "string") -> DataFrame:
+    """Current folds, in the shape `apply_usage` takes, with the number of late attempts left out per name."""
+    told = read_told(spark, path, TOLD.format(name=name_type))
+    newest = rank_within(told, "name", [F.desc("batch")], 1)
+    return newest.select(
+        "name", "uses", "gain", F.timestamp_micros("last_t").alias("last_used_at"), "failures_since_success", "late"
     )
 
 
 def stream_usage(
-    attempts: DataFrame, path: str, checkpoint: str, interval: str | None = "10 seconds"
+    attempts: DataFrame, path: str, checkpoint: str, interval: str | None = "10 seconds", delay_seconds: float | None = 86_400.0
 ) -> StreamingQuery:
-    """Fold a stream `(attempt_id, name, ts, success)` into the versioned table at `path`."""
-    spark = attempts.sparkSession
+    """Fold a stream `(attempt_id, name, ts, success)`; what each touched name adds up to is kept under `path`.
 
-    def fold(batch: DataFrame, epoch: int) -> None:
-        note = f"usage-{epoch}"
-        if not is_committed(spark, path, note):
-            write_snapshot(merge_batch(read_usage(spark, path), batch), path, note)
-
-    writer = attempts.writeStream.option("checkpointLocation", checkpoint).foreachBatch(fold)
-    return (writer.trigger(availableNow=True) if interval is None else writer.trigger(processingTime=interval)).start()
+    Attempts may arrive in any order within `delay_seconds` of their name's latest one (None: of any age); older ones are
+    counted as late. A micro-batch works on, and writes, the names it touches only.
+    """
+    output = TOLD.format(name=attempts.schema["name"].dataType.simpleString())
+    return fold_in_order(attempts, path, checkpoint, interval, delay_seconds, STATE, START, settle, tell, output)

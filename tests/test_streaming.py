@@ -1,15 +1,15 @@
 import json
 from datetime import timedelta
 
+import pytest
 from fixtures import AS_OF, FIVE, ask, entries
 from test_usage import START, attempts, random_log
 
 from signpost.operators import circuit as C
 from signpost.operators import usage as U
 from signpost.plans.route import route
-from signpost.sources.snapshot import current_version, read_catalog
+from signpost.sources.snapshot import read_catalog
 from signpost.streaming import (
-    merge_batch,
     read_circuits,
     read_decisions,
     read_usage,
@@ -32,44 +32,86 @@ def stream(spark, folder, schema):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
-def test_usage_stream_equals_batch(spark, tmp_path):
+def shuffled(log, folder, n, seed):
+    """Write a log as n files whose rows are in no order of time."""
+    for i in range(n):
+        log.filter(f"abs(hash(attempt_id, {seed})) % {n} = {i}").coalesce(1).write.mode("append").parquet(folder)
+
+
+def usage_of(rows):
+    return {r["name"]: (r.uses, round(r.gain, 12), r.last_used_at, r.failures_since_success) for r in rows.collect()}
+
+
+@pytest.mark.parametrize("delay", [None, 10_000_000])
+def test_usage_stream_equals_batch_in_any_order(spark, tmp_path, delay):
     log = attempts(spark, random_log(11, n=300))
+    shuffled(log, f"{tmp_path}/log", 5, 1)
+    source = stream(spark, f"{tmp_path}/log", ATTEMPT)
+    stream_usage(source, f"{tmp_path}/usage", f"{tmp_path}/cp", None, delay).awaitTermination()
+    got = read_usage(spark, f"{tmp_path}/usage")
+    assert usage_of(got) == usage_of(U.fold_usage(log)) and {r.late for r in got.collect()} == {0}
+
+
+def test_usage_stream_settles_and_counts_late(spark, tmp_path):
+    """In order, with a short delay, most is settled; what comes after it was settled is left out and counted."""
+    log = attempts(spark, random_log(12, n=300))
     chunks(log, f"{tmp_path}/log", [0, 100, 200, 300])
+    run = lambda: stream_usage(stream(spark, f"{tmp_path}/log", ATTEMPT), f"{tmp_path}/usage", f"{tmp_path}/cp", None, 50)
+    run().awaitTermination()
+    assert usage_of(read_usage(spark, f"{tmp_path}/usage")) == usage_of(U.fold_usage(log))
+    late = attempts(spark, [("k0", 0, False), ("k0", 1, False), ("new", 3, True)]).selectExpr("attempt_id + 1000 AS attempt_id", "name", "ts", "success")
+    late.coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+    run().awaitTermination()
+    got = read_usage(spark, f"{tmp_path}/usage")
+    after = usage_of(got)
+    assert after.pop("new")[:1] == (1,) and after == usage_of(U.fold_usage(log))
+    assert {r["name"]: r.late for r in got.collect() if r.late} == {"k0": 2}
+
+
+def test_a_batch_writes_touched_names_only(spark, tmp_path):
+    chunks(attempts(spark, [("a", 1, True), ("b", 2, True), ("c", 3, False), ("b", 4, False)]), f"{tmp_path}/log", [0, 3, 4])
     stream_usage(stream(spark, f"{tmp_path}/log", ATTEMPT), f"{tmp_path}/usage", f"{tmp_path}/cp", None).awaitTermination()
-    got = {r["name"]: r for r in read_usage(spark, f"{tmp_path}/usage").collect()}
-    expected = {r["name"]: r for r in U.fold_usage(log).collect()}
-    assert current_version(spark, f"{tmp_path}/usage") == 3 and got.keys() == expected.keys()
-    for name, row in expected.items():
-        assert abs(got[name].gain - row.gain) < 1e-12
-        assert (got[name].uses, got[name].failures_since_success, got[name].late) == (row.uses, row.failures_since_success, 0)
+    written = [{r["name"] for r in spark.read.parquet(f"{tmp_path}/usage/batch={i}").collect()} for i in (0, 1)]
+    assert written == [{"a", "b", "c"}, {"b"}]
+    assert read_usage(spark, f"{tmp_path}/nothing").count() == 0
 
 
-def test_late_attempts_are_counted(spark, tmp_path):
-    first = merge_batch(read_usage(spark, f"{tmp_path}/none"), attempts(spark, [("a", 100, True), ("b", 5, False)]))
-    second = merge_batch(first, attempts(spark, [("a", 50, False), ("a", 120, True), ("b", 9, True)]))
-    got = {r["name"]: (r.uses, r.late, r.last_used_at) for r in second.collect()}
-    assert got == {"a": (2, 1, START + timedelta(seconds=120)), "b": (2, 0, START + timedelta(seconds=9))}
+COLUMNS = ["attempt_id", "decision", "state", "failures", "last_failure"]
 
 
-def test_circuit_stream_equals_batch(spark, tmp_path):
-    log = attempts(spark, random_log(12, n=300))
-    chunks(log, f"{tmp_path}/log", [0, 90, 210, 300])
+def decisions(df):
+    return sorted(map(tuple, df.select(COLUMNS).collect()), key=str)
+
+
+@pytest.mark.parametrize("delay, threshold, recovery", [(None, 3, 60.0), (10_000_000, 2, 600.0)])
+def test_circuit_stream_equals_batch_in_any_order(spark, tmp_path, delay, threshold, recovery):
+    log = attempts(spark, random_log(13, n=300))
+    shuffled(log, f"{tmp_path}/log", 4, 2)
+    options = {"threshold": threshold, "recovery_seconds": recovery}
     source = stream(spark, f"{tmp_path}/log", ATTEMPT)
-    stream_circuit(source, f"{tmp_path}/out", f"{tmp_path}/cp", None, slice_seconds=400).awaitTermination()
-    columns = ["attempt_id", "decision", "state", "failures"]
-    trace = C.circuit_trace(log)
-    got = sorted(map(tuple, read_decisions(spark, f"{tmp_path}/out").select(columns).collect()))
-    assert got == sorted(map(tuple, trace.select(columns).collect()))
-    states = read_circuits(spark, f"{tmp_path}/out")
-    columns = ["name", "state", "failures", "last_failure"]
-    assert sorted(map(str, states.select(columns).collect())) == sorted(map(str, C.stored_circuits(trace).collect()))
-    late = attempts(spark, [("k0", 0, False), ("k0", 1, False)]).selectExpr("attempt_id + 1000 AS attempt_id", "name", "ts", "success")
-    late.write.mode("append").parquet(f"{tmp_path}/log")
-    stream_circuit(stream(spark, f"{tmp_path}/log", ATTEMPT), f"{tmp_path}/out", f"{tmp_path}/cp", None).awaitTermination()
-    assert read_decisions(spark, f"{tmp_path}/out").count() == 300
-    after = read_circuits(spark, f"{tmp_path}/out")
-    assert after.filter("name = 'k0'").first().late == 2
-    assert sorted(map(str, after.select(columns).collect())) == sorted(map(str, states.select(columns).collect()))
+    stream_circuit(source, f"{tmp_path}/out", f"{tmp_path}/cp", None, delay_seconds=delay, **options).awaitTermination()
+    trace = C.circuit_trace(log, **options)
+    assert decisions(read_decisions(spark, f"{tmp_path}/out")) == decisions(trace)
+    states = read_circuits(spark, f"{tmp_path}/out").drop("last_ts", "late")
+    assert sorted(map(str, states.collect())) == sorted(map(str, C.stored_circuits(trace).select(states.columns).collect()))
+
+
+def test_circuit_stream_settles_and_counts_late(spark, tmp_path):
+    log = attempts(spark, random_log(14, n=300))
+    chunks(log, f"{tmp_path}/log", [0, 90, 210, 300])
+    run = lambda: stream_circuit(stream(spark, f"{tmp_path}/log", ATTEMPT), f"{tmp_path}/out", f"{tmp_path}/cp", None, delay_seconds=100)
+    run().awaitTermination()
+    trace = decisions(C.circuit_trace(log))
+    got = read_decisions(spark, f"{tmp_path}/out")
+    assert decisions(got) == trace and 200 < got.filter("final").count() < 300
+    # one that waits takes its place before those that came earlier; one too old is counted
+    latest = log.filter("name = 'k1'").agg({"ts": "max"}).first()[0]
+    more = [(1000, "k1", latest - timedelta(seconds=50), False), (1001, "k1", START, False)]
+    spark.createDataFrame(more, ATTEMPT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+    run().awaitTermination()
+    full = log.unionByName(spark.createDataFrame(more[:1], ATTEMPT))
+    assert decisions(read_decisions(spark, f"{tmp_path}/out")) == decisions(C.circuit_trace(full))
+    assert {r["name"]: r.late for r in read_circuits(spark, f"{tmp_path}/out").collect() if r.late} == {"k1": 1}
 
 
 def test_route_stream_equals_batch(spark, tmp_path):

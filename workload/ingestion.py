@@ -233,16 +233,17 @@ def streamed_manifests(spark, sf_dir):
     return MA.shown(SN.read_catalog(spark, path))
 
 
+def scattered_attempts(spark, attempts):
+    """A log as files that each span its whole time, read one per micro-batch."""
+    folder = new_folder(spark, "attempts")
+    attempts.repartition(5, F.xxhash64("attempt_id")).write.parquet(folder)
+    return spark.readStream.schema(attempts.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 def streamed_usage(spark, sf_dir):
-    events = stream_of(spark, sf_dir, "events")
-    attempts = events.select(
-        F.col("event_id").alias("attempt_id"),
-        F.concat(F.lit("doc_"), F.col("user_id").cast("string")).alias("name"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        (F.col("event_type") != "error").alias("success"),
-    )
     path = new_folder(spark, "usage")
-    finish(stream_usage(attempts, path, new_folder(spark, "checkpoint"), interval=None))
+    source = scattered_attempts(spark, T.document_attempts(spark, sf_dir))
+    finish(stream_usage(source, path, new_folder(spark, "checkpoint"), interval=None, delay_seconds=None))
     return read_usage(spark, path).select(
         "name", "uses", T.rounded("gain", 6).alias("gain"), F.unix_micros("last_used_at").alias("last_used_us"),
         "failures_since_success",
@@ -250,15 +251,10 @@ def streamed_usage(spark, sf_dir):
 
 
 def streamed_circuit(spark, sf_dir):
-    events = stream_of(spark, sf_dir, "events")
-    attempts = events.select(
-        F.col("event_id").alias("attempt_id"),
-        F.concat(F.lit("doc_"), F.col("user_id").cast("string")).alias("name"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        (~((F.col("event_type") == "error") | (F.col("value") < 20))).alias("success"),
-    )
     path = new_folder(spark, "circuit")
-    finish(stream_circuit(attempts, path, new_folder(spark, "checkpoint"), None, recovery_seconds=T.CIRCUIT_RECOVERY))
+    source = scattered_attempts(spark, T.circuit_attempts(spark, sf_dir))
+    options = {"recovery_seconds": T.CIRCUIT_RECOVERY, "delay_seconds": None}
+    finish(stream_circuit(source, path, new_folder(spark, "checkpoint"), None, **options))
     return read_decisions(spark, path).select("attempt_id", "name", "decision", "state", "failures")
 
 

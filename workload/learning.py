@@ -39,7 +39,7 @@ def apply_usage_parts(spark, sf_dir):
     )
     names = T.raw_parts(spark, sf_dir).select("part_key", "name")
     attempts = lines.join(names, "part_key").drop("part_key")
-    return learned(U.apply_usage(T.part_catalog(spark, sf_dir), U.fold_usage(attempts, 86_400 * 30), T.as_of()))
+    return learned(U.apply_usage(T.part_catalog(spark, sf_dir), U.fold_usage(attempts), T.as_of()))
 
 
 def merge_folds(spark, sf_dir):
