@@ -8,17 +8,25 @@ with adaptive skew splitting for the heavy terms.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signpost import schema as S
 from signpost.functions import text as X
-from signpost.session import shuffle_partitions
+from signpost.operators.blocks import cells, keyword_scores
+from signpost.session import shared_folder, shuffle_partitions
 
 
 NO_TERM = ""
+#: Terms of a batch that travel with the tasks; more are joined to the tokens.
+FEW_TERMS = 100_000
 
 
 @dataclass(frozen=True)
@@ -89,23 +97,26 @@ def narrow_text_index(catalog: DataFrame, vocabulary: DataFrame) -> TextIndex:
     terms = vocabulary.select("term")
     every = terms.unionByName(terms.sparkSession.range(1).select(F.lit(NO_TERM).alias("term")))
     counted = by_name(rows.join(every, "term", "left_semi")).groupBy("name", "doc_len", "term").agg(F.count("*").alias("tf"))
+    return TextIndex(counted, corpus_of_postings(counted))
+
+
+def corpus_of_postings(postings: DataFrame) -> DataFrame:
     entry = F.col("term") == NO_TERM
-    corpus = counted.agg(
+    return postings.agg(
         F.count_if(entry).alias("n"), F.coalesce(F.avg(F.when(entry, F.col("doc_len"))), F.lit(0.0)).alias("avg_len")
     )
-    return TextIndex(counted, corpus)
 
 
 def inverse_document_frequency(n: Column, df: Column) -> Column:
     return F.log((n - df + F.lit(0.5)) / (df + F.lit(0.5)) + F.lit(1.0))
 
 
-def corpus_stats(index: TextIndex) -> DataFrame:
-    """Document frequency and idf per term."""
+def corpus_stats(index: TextIndex, n: int | None = None) -> DataFrame:
+    """Document frequency and idf per term; `n` entries, if that is known."""
     terms = index.terms
     if terms is None:
         terms = index.postings.groupBy("term").agg(F.count("*").alias("df"))
-    n = index.corpus.select("n").scalar()
+    n = index.corpus.select("n").scalar() if n is None else F.lit(n)
     return terms.select("term", "df", inverse_document_frequency(n, F.col("df")).alias("idf"))
 
 
@@ -130,13 +141,69 @@ def bm25_parts(index: TextIndex, terms: DataFrame) -> DataFrame:
     )
 
 
+def counted_where_read(catalog: DataFrame, vocabulary: pa.Array) -> DataFrame:
+    """Postings of a vocabulary of bounded size, counted in the tasks that read the texts: no token is exchanged."""
+    known = pa.concat_arrays([vocabulary, pa.array([NO_TERM], vocabulary.type)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tokens = b.column("tokens")
+            length = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            term = pc.fill_null(pc.index_in(tokens.flatten(), value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(b)), length)[term >= 0]
+            # each entry also has NO_TERM once
+            code = np.concatenate([row * len(known) + term[term >= 0], np.arange(len(b)) * len(known) + len(vocabulary)])
+            code, tf = np.unique(code, return_counts=True)
+            row, term = code // len(known), code % len(known)
+            columns = [b.column("name").take(pa.array(row)), pa.array(length[row].astype(np.int32)), known.take(pa.array(term)), pa.array(tf)]
+            yield pa.RecordBatch.from_arrays(columns, ["name", "doc_len", "term", "tf"])
+
+    tokens = catalog.select("name", X.doc_tokens(F.col("search_text")).alias("tokens"))
+    return tokens.mapInArrow(run, "name string, doc_len int, term string, tf long")
+
+
+def index_of_batch(catalog: DataFrame, terms: DataFrame, stored: TextIndex | None) -> tuple[TextIndex, int, float]:
+    """The part of the index that a batch needs, the number of entries and their average length.
+
+    Without a stored index that part is built from the catalog and written once to the shared folder, so that the text is
+    read once, and its figures are known before the ranking is planned.
+    """
+    spark = catalog.sparkSession
+    vocabulary = terms.select("term").distinct()
+    if stored is None:
+        path = f"{shared_folder(spark)}/narrow-{uuid.uuid4().hex}"
+        few = vocabulary.limit(FEW_TERMS + 1).toArrow().column("term")
+        if len(few) <= FEW_TERMS:
+            postings = counted_where_read(catalog, few.combine_chunks())
+        else:
+            postings = narrow_text_index(catalog, vocabulary).postings
+        postings.write.parquet(path)
+        postings = spark.read.parquet(path)
+        index = TextIndex(postings, corpus_of_postings(postings))
+    else:
+        index = TextIndex(stored.postings.join(vocabulary, "term", "left_semi"), stored.corpus, stored.terms)
+    figures = index.corpus.first()
+    return index, figures["n"], figures["avg_len"]
+
+
+def weighted_terms(index: TextIndex, terms: DataFrame, n: int) -> DataFrame:
+    """`query_id, term, weight`: how often the query has the term, times its idf."""
+    return terms.join(corpus_stats(index, n), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+
+
+def saturated_postings(index: TextIndex, avg_len: float) -> DataFrame:
+    """`name, term, part`: the term frequency, saturated and set against the entry's length."""
+    length = F.lit(1 - S.B) + F.lit(S.B) * F.col("doc_len") / F.lit(float(avg_len))
+    part = F.col("tf") * F.lit(S.K1 + 1) / (F.col("tf") + F.lit(S.K1) * length)
+    return index.postings.select("name", "term", part.alias("part"))
+
+
 def bm25(catalog: DataFrame, queries: DataFrame, index: TextIndex | None = None) -> DataFrame:
     """BM25 of every (query, entry) sharing a term: `query_id, name, score`."""
     terms = query_term_counts(queries)
-    if index is None:
-        index = narrow_text_index(catalog, terms)
-    scores = bm25_parts(index, terms).groupBy("query_id", "name").agg(F.sum("part").alias("score"))
-    return scores.filter(F.col("score") > 0)
+    index, n, avg_len = index_of_batch(catalog, terms, index)
+    rows = cells(queries.count(), weighted_terms(index, terms, n), saturated_postings(index, avg_len), n)
+    return keyword_scores(rows, queries.schema["query_id"].dataType.simpleString())
 
 
 def trigger_words(catalog: DataFrame, words: DataFrame) -> DataFrame:

@@ -43,17 +43,27 @@ def fuse_scores(
 
     Only the five scoring fields of the catalog travel; wide columns are joined after the top-k.
     """
-    fields = catalog.select("name", "usage_count", "success_rate", "last_used_at", "source")
+    return final_scores(stages.join(entry_figures(catalog, as_of, weights, match), "name"), threshold)
+
+
+def entry_figures(
+    catalog: DataFrame, as_of: Column, weights: Mapping[str, float] | None = None, match: str = "exact"
+) -> DataFrame:
+    """`name, usage, success, recency, factor`: what an entry adds to its stages, and the weight of its source."""
     recency = X.recency_factor(F.col("last_used_at"), as_of)
-    scored = (
-        stages.join(fields, "name")
-        .withColumn("recency", recency)
-        .withColumn("usage", X.usage_bonus(F.col("usage_count"), F.col("recency")))
-        .withColumn("success", X.success_bonus(F.col("success_rate")))
+    return catalog.select(
+        "name",
+        X.usage_bonus(F.col("usage_count"), recency).alias("usage"),
+        X.success_bonus(F.col("success_rate")).alias("success"),
+        recency.alias("recency"),
+        X.source_weight(F.col("source"), weights, match).alias("factor"),
     )
+
+
+def final_scores(candidates: DataFrame, threshold: float) -> DataFrame:
+    """Rounded scores of candidates with stages and figures; the unrounded score must reach the threshold."""
     raw = F.col("trigger") + F.col("keyword") + F.col("semantic") + F.col("usage") + F.col("success")
-    final = raw * X.source_weight(F.col("source"), weights, match)
-    scored = scored.withColumn("final", final).filter(
+    scored = candidates.withColumn("final", raw * F.col("factor")).filter(
         (F.col("final") >= F.lit(float(threshold))) & ~F.isnan("final")
     )
     return scored.select(

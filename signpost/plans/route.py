@@ -1,4 +1,4 @@
-"""The whole ranking as one plan: three candidate stages, fusion, top-k."""
+"""The whole ranking as one plan: three candidate stages, fusion and top-k within blocks, final top-k."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from signpost import schema as S
 from signpost.operators import lexical as L
 from signpost.operators import rank as R
 from signpost.operators import vectors as V
+from signpost.operators.blocks import best_of_blocks, cells
 
 
 def stage_scores(
@@ -43,6 +44,34 @@ def stage_scores(
     return R.sum_stages(frames)
 
 
+def best_candidates(
+    catalog: DataFrame,
+    queries: DataFrame,
+    as_of: Column,
+    k: int,
+    threshold: float,
+    weights: Mapping[str, float] | None,
+    match: str,
+    text_index: L.TextIndex | None,
+    vector_index: V.VectorIndex | None,
+    vector_k: int,
+    vector_categories: int,
+) -> DataFrame:
+    """Each block's best k of each query, with stage scores and the entry's figures."""
+    terms = L.query_term_counts(queries)
+    index, n, avg_len = L.index_of_batch(catalog, terms, text_index)
+    weighted = L.weighted_terms(index, terms, n).withColumn("weight", F.col("weight") * F.lit(S.KEYWORD_WEIGHT))
+    none = F.lit(0.0)
+    triggers = L.trigger_parts(catalog, L.query_word_counts(queries))
+    hits = [triggers.select("query_id", "name", (F.col("hits") * F.lit(S.TRIGGER_WEIGHT)).alias("trigger"), none.alias("semantic"))]
+    if vector_index is not None:
+        semantic = V.semantic_stage(vector_index, queries, vector_k, vector_categories)
+        hits.append(semantic.select("query_id", "name", none.alias("trigger"), F.col("score").alias("semantic")))
+    figures = R.entry_figures(catalog, as_of, weights, match)
+    rows = cells(queries.count(), weighted, L.saturated_postings(index, avg_len), n, figures, hits)
+    return best_of_blocks(rows, queries.schema["query_id"].dataType.simpleString(), k, threshold)
+
+
 def route(
     catalog: DataFrame,
     queries: DataFrame,
@@ -67,11 +96,12 @@ def route(
     `explorer_seed` for the explorer slot.
     """
     now = F.current_timestamp() if as_of is None else as_of
-    scored = R.fuse_scores(
-        stage_scores(catalog, queries, text_index, vector_index, vector_k, vector_categories),
-        catalog, now, threshold or S.THRESHOLD, weights, match,
+    least = threshold or S.THRESHOLD
+    found = best_candidates(
+        catalog, queries, now, R.effective_top_k(top_k), least, weights, match,
+        text_index, vector_index, vector_k, vector_categories,
     )
-    ranked = R.rank_top_k(scored, top_k)
+    ranked = R.rank_top_k(R.final_scores(found, least), top_k)
     if explorer_seed is None:
         return ranked.withColumn("explorer", F.lit(False))
     return R.add_explorer(ranked, catalog, top_k, explorer_seed, explorer_percent)
