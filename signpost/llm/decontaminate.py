@@ -180,6 +180,12 @@ def _matches(docs: DataFrame, items: DataFrame, k: int, similarity: float) -> Da
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that match no item, with their columns."""
-    hit = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("i"), F.col("version").alias("v")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("v")), "left_anti")
+    """The documents that match no item, with their columns, whatever they are called."""
+    hit = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("hit_id"), F.col("version").alias("hit_version")).distinct()
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col("doc_id").alias("own_id"),
+        F.xxhash64("text").alias("own_version"),
+    )
+    left = rows.join(hit, F.col("own_id").eqNullSafe(F.col("hit_id")) & (F.col("own_version") == F.col("hit_version")), "left_anti")
+    return left.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signpost.llm.common import written
+from signpost.llm.common import words, written
 from signpost.llm.components import components
 
 #: Similarity as a fraction, so that every bound is a whole number.
@@ -132,7 +132,7 @@ def _set_rows(bands: Bands, k: int):
                                 found.append(signatures(segment_sums(tokens, m)[1], scheme, np.arange(m)))
                         rows.append((len(tokens), fingerprint(tokens), np.concatenate(found) if found else np.zeros(0, np.int64)))
                     yield pd.DataFrame(
-                        {"doc_id": part["doc_id"].array, "n": [r[0] for r in rows], "fp": [r[1] for r in rows], "sigs": [r[2] for r in rows]}
+                        {"doc_id": part["doc_id"].array, "version": part["version"].array, "n": [r[0] for r in rows], "fp": [r[1] for r in rows], "sigs": [r[2] for r in rows]}
                     )
 
     return run
@@ -222,10 +222,13 @@ def _verified(pairs: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFr
 
 
 def _tokens_of(classes: DataFrame, sets: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """Whole sets of the classes (column fp), read again from one document each."""
-    holders = sets.join(classes, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    held = docs.select("doc_id", "text").join(holders.select("doc_id").distinct(), "doc_id", "left_semi")
-    rows = held.mapInPandas(_token_rows(k), "fp long, tokens array<long>").join(holders.select("fp"), "fp", "left_semi")
+    """Whole sets of the classes (column fp), read again from one text each."""
+    first = F.min(F.struct("version", F.col("doc_id").alias("holder"))).alias("first")
+    holders = sets.join(classes, "fp", "left_semi").groupBy("fp").agg(first).select("fp", "first.*")
+    own = docs.select("doc_id", F.xxhash64("text").alias("own_version"), "text")
+    same = (F.col("own_version") == F.col("version")) & F.col("doc_id").eqNullSafe(F.col("holder"))
+    held = own.join(holders.select("version", "holder").distinct(), same, "left_semi")
+    rows = held.select("text").mapInPandas(_token_rows(k), "fp long, tokens array<long>").join(holders.select("fp"), "fp", "left_semi")
     return written(rows.dropDuplicates(["fp"]), "class-tokens")
 
 
@@ -307,10 +310,11 @@ def _small_group_candidates(rows: DataFrame, bands: Bands) -> DataFrame:
 def class_links(
     docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, shingle: int = SHINGLE
 ) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, fp) per document, and (node, component) of linked classes."""
+    """(doc_id, version, n, fp) per document, version being the hash of its text, and (node, component) of linked classes."""
     bands = Bands(num, den)
-    schema = "doc_id long, n int, fp long, sigs array<long>"
-    sets = written(docs.select("doc_id", "text").mapInPandas(_set_rows(bands, shingle), schema), "shingle-sets")
+    schema = "doc_id long, version long, n int, fp long, sigs array<long>"
+    held = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
+    sets = written(held.mapInPandas(_set_rows(bands, shingle), schema), "shingle-sets")
     rows = sets.select("fp", "n", F.explode_outer("sigs").alias("sig"))
     held = rows.groupBy("sig").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y")
     shared = written(rows.join(held.select("sig"), "sig", "left_semi").distinct(), "shared-signatures")
@@ -322,7 +326,7 @@ def class_links(
     pairs = _small_group_candidates(rows, bands).unionAll(_allotted_candidates(crowded, tokens, labels, bands))
     more = _verified(written(pairs.distinct(), "candidates"), tokens, num, den)
     links = written(links.unionAll(more), "all-links")
-    return sets.select("doc_id", "n", "fp"), written(components(links), "labels")
+    return sets.select("doc_id", "version", "n", "fp"), written(components(links), "labels")
 
 
 def jaccard_components(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, shingle: int = SHINGLE) -> DataFrame:
@@ -338,10 +342,23 @@ def jaccard_components(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMIN
 
 
 def one_per_component(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, shingle: int = SHINGLE) -> DataFrame:
-    """The documents whose id names their component, one row each; documents without shingles or without id all stay."""
-    heads = jaccard_components(docs, num, den, shingle).where("n_shingles > 0 and doc_id <> component_id").select(
-        F.col("doc_id").alias("linked_id")
+    """One row of each group of linked rows, with its columns, whatever they are called; rows without shingles all stay.
+
+    Rows are told apart by id and text, so texts that share an id are judged each. The row of smallest id stays (none last), of
+    smallest text hash among rows of that id, of smallest hash of all columns among rows of that text.
+    """
+    sets, labels = class_links(docs, num, den, shingle)
+    rows = _labelled(sets, labels).where("n > 0")
+    # without id: after every id
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "version")
+    heads = rows.groupBy("comp").agg(F.min(order).alias("head")).select(
+        F.col("head.doc_id").alias("head_id"), F.col("head.version").alias("head_version")
     )
-    left = docs.join(heads.distinct(), F.col("doc_id") == F.col("linked_id"), "left_anti")
-    no_id = left.where("doc_id is null")
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionAll(no_id)
+    wordless = F.size(words(F.col("text"))) == 0
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    own = docs.select(every.alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_version"), wordless.alias("wordless"))
+    same = F.col("own_id").eqNullSafe(F.col("head_id")) & (F.col("own_version") == F.col("head_version"))
+    kept = own.where("not wordless").join(heads, same, "left_semi")
+    one = kept.groupBy("own_id", "own_version").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    left = one.select("row").unionAll(own.where("wordless").select("row"))
+    return left.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

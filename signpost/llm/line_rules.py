@@ -29,7 +29,9 @@ MAX_LOSS = 0.5
 MAX_BOILERPLATE = 1 / 3
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\x0b\x0c\r"
-NAVIGATION = re.compile(rb"(?:[^|>\xbb\n]{1,30}(?:\||>|\xc2\xbb|\xe2\x80\xba)){2,}[^|>\n]{0,30}")
+SEPARATOR = re.compile(rb"\||>|\xc2\xbb|\xe2\x80\xba")
+#: Most bytes of an entry of a menu.
+MENU_ENTRY = 30
 BOILERPLATE = re.compile(
     rb"all rights reserved|released under the [\w .-]{1,40}licen[cs]e|licensed under|cookie(?:s| policy)|privacy policy"
     rb"|terms of (?:use|service)|click here|subscribe to|sign (?:in|up)|log ?in\b|enable javascript|copyright \(c\)"
@@ -52,12 +54,18 @@ def repeated_words(words: list[bytes]) -> int:
     return sum(a or b or c for a, b, c in zip([*hit, False, False], [False, *hit, False], [False, False, *hit], strict=True))
 
 
+def is_menu(line: bytes) -> bool:
+    """At least three short entries between separators; the last one may be empty."""
+    *entries, last = SEPARATOR.split(line.strip(SPACE))
+    return len(entries) > 1 and len(last) <= MENU_ENTRY and all(0 < len(e) <= MENU_ENTRY for e in entries)
+
+
 def line_fails(line: bytes, n_chars: int) -> bool:
     """n_chars: the line's word characters."""
     symbols = len(line) - len(line.translate(None, SYMBOLS))
     if symbols >= MAX_SYMBOLS * n_chars:
         return True
-    if NAVIGATION.fullmatch(line.strip(SPACE)):
+    if is_menu(line):
         return True
     hits = [m.span() for m in BOILERPLATE.finditer(line)]
     return bool(hits) and _sentences_size(line, hits) >= MAX_BOILERPLATE * n_chars
@@ -80,8 +88,8 @@ def _code_points(b: bytes) -> int:
     return len(b) if b.isascii() else len(b.decode("utf-8", "replace"))
 
 
-def judge(text: str | None) -> tuple[int, int, int, int, int, bool, int, bool, str]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_chars, kept, cleaned text."""
+def judge(text: str | None) -> tuple[int, int, int, int, int, bool, bool, int, str]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lost_chars, cleaned text."""
     raw = (text or "").encode("utf-8", "replace")
     words = raw.split()
     word_chars = _code_points(b"".join(words))
@@ -96,10 +104,10 @@ def judge(text: str | None) -> tuple[int, int, int, int, int, bool, int, bool, s
     lost = sum(size for size, ok in zip(sizes, good, strict=True) if not ok)
     kept = not base_failed and lost <= MAX_LOSS * word_chars
     cleaned = b"\n".join(compress(lines, good)).decode("utf-8", "replace")
-    return len(words), word_chars, n_symbols, n_dup, n_repeat, base_failed, lost, kept, cleaned
+    return len(words), word_chars, n_symbols, n_dup, n_repeat, base_failed, kept, lost, cleaned
 
 
-COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_chars", "kept")
+COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars")
 
 
 def judge_documents(docs: DataFrame, with_text: bool = False) -> DataFrame:

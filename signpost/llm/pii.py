@@ -2,10 +2,12 @@
 
 Patterns find the protected entities. A term t reveals an entity e as far as they occur together in the corpus:
 PMI(t, e) = log2(N n_te / (n_t n_e)) bits of the IC(e) = log2(N / n_e) bits that e holds, with counts over all distinct
-texts. In a text that holds e, terms that reveal at least `remove_at` of it are removed, those from `generalise_at` on are
-replaced by a general word. Entities of every frequency are looked at. Of fewer than `support` common texts the share
-n_te / n_t is smoothed by one more text, (n_te + n_e / N) / (n_t + 1), which stays below a share of 1: few texts
-generalise a rare word, and only `support` of them remove it. Texts without entities are left as they are.
+texts. IC - PMI = log2(n_t / n_te) bits are left open, whatever the size of the corpus, so a term is judged by its share n_te / n_t: one
+half leaves a bit, one leaves nothing. In a text that holds e, terms of a share of at least `remove_at` are removed, those from
+`generalise_at` on are replaced by a general word. Entities of every frequency are looked at. Of fewer than `support` common
+texts the share is smoothed by one more text, (n_te + n_e / N) / (n_t + 1), which stays below 1: few texts generalise a rare
+word, and only `support` of them remove it. An entity of all texts holds no information. Texts without entities are left as
+they are.
 
 Offsets count code points; the end is exclusive. Hits of one kind do not overlap; of hits of several kinds that do, the
 first by start, then kind, is masked and the others with it.
@@ -23,8 +25,10 @@ from signpost.llm.common import lower_ascii, written
 
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 5
-GENERALISE_AT = 0.9
+GENERALISE_AT = 0.5
 REMOVE_AT = 1.0
+#: Bits of the bitmap of texts with copies, and of the parts it is put together from.
+BITS, PART = 2**26, 2**15
 
 # Possessive where nothing that follows could need a shorter match: the same matches, without deep recursion.
 PATTERNS = {
@@ -129,10 +133,45 @@ def _identity(kind: str):
     return lambda hit: F.xxhash64(F.lit(kind), hit["value"])
 
 
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text."""
+    flat = F.split(lower_ascii(text), r"[\x20\x09-\x0D]+", -1)
+    return F.array_distinct(F.transform(F.array_distinct(flat), lambda w: F.regexp_replace(w, r"^\p{Punct}++|\p{Punct}++$", "")))
+
+
+def has_copies(copies: DataFrame) -> Column:
+    """Whether `version` may be one of the `copies(version)`: a test against a bitmap of their hashes, of BITS / 8 bytes
+    whatever their number. All copies pass, and of other texts about the share of bits that are set."""
+    bit = lambda v: F.pmod(v, F.lit(BITS))
+    parts = copies.select(bit(F.col("version")).alias("bit")).groupBy((F.col("bit") / PART).cast("int").alias("part"))
+    out = bytearray(BITS // 8)
+    for row in parts.agg(F.bitmap_construct_agg(F.col("bit") % PART).alias("bits")).collect():
+        out[row.part * PART // 8 : (row.part + 1) * PART // 8] = row.bits
+    bitmap = copies.sparkSession.createDataFrame([(out,)], "bits binary").scalar()
+    place = bit(F.col("version"))
+    byte = F.conv(F.hex(F.substring(bitmap, (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.call_function("getbit", byte, (place % 8).cast("int")) == 1
+
+
+def text_counts(docs: DataFrame, base: DataFrame) -> DataFrame:
+    """term, n_t: distinct texts that hold the term.
+
+    All rows are counted, each task's sums before the exchange, and what copies of a text count too much is taken off: only texts
+    that have copies are exchanged, once each.
+    """
+    # the outer form: else Spark filters on the array's size first, and computes it twice
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("version", F.xxhash64("text"))
+    copies = written(base.groupBy("version").agg((F.count(F.lit(1)) - 1).alias("extra")).where("extra > 0"), "copies")
+    every = rows.select(F.explode_outer(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    held = rows.where(has_copies(copies)).groupBy("version").agg(F.min("text").alias("text")).join(copies, "version")
+    extra = held.select("extra", F.explode_outer(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.sum("extra").alias("extra"))
+    return every.join(extra, "term", "left").select("term", (F.col("n") - F.coalesce("extra", F.lit(0))).alias("n_t"))
+
+
 def revealing_terms(
     docs: DataFrame, base: DataFrame, *, support: int, generalise_at: float
 ) -> DataFrame:
-    """version, start, end, share (of the entity's information) of the words that give an entity of their text away."""
+    """version, start, end, share of the words that give an entity of their text away."""
     n_texts = base.select("version").distinct().count()
     spans = F.concat(*KINDS)
     held = base.where(F.size(spans) > 0).groupBy("version").agg(
@@ -159,17 +198,8 @@ def revealing_terms(
     together = written(together, "together")
     # how many of all distinct texts hold each of these terms
     terms = together.select("term").distinct()
-    cleaned = F.transform(
-        F.array_distinct(F.split(lower_ascii(F.col("text")), r"[\x20\x09-\x0D]+", -1)),
-        lambda w: F.regexp_replace(w, r"^\p{Punct}++|\p{Punct}++$", ""),
-    )
-    # every text once, with its words; then counts of all terms, added up before the exchange
-    distinct = docs.select(F.coalesce("text", F.lit("")).alias("text")).select(
-        F.xxhash64("text").alias("v"), F.array_distinct(cleaned).alias("words")
-    ).dropDuplicates(["v"])
-    counts = distinct.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     # an inner join: a semi join would be moved below the counting
-    frequency = counts.join(terms, "term")
+    frequency = text_counts(docs, base).join(terms, "term").where("n_t > 0")
     # few common texts count with one text more that holds the term, and the entity as often as any text does
     chance = F.col("n_e") / F.lit(float(max(n_texts, 1)))
     told_by = F.when(F.col("n_te") >= support, F.col("n_te") / F.col("n_t").cast("double")).otherwise(
@@ -178,7 +208,7 @@ def revealing_terms(
     held_bits = -F.log2(chance)
     told = (
         together.join(frequency, "term")
-        .withColumn("share", F.when(held_bits > 0, F.log2(told_by / chance) / held_bits))
+        .withColumn("share", F.when(held_bits > 0, told_by))
         .where(F.col("share") >= generalise_at - 1e-9)
         .select("entity", "term", "share")
     )
