@@ -28,7 +28,7 @@ SUPPORT = 5
 GENERALISE_AT = 0.5
 REMOVE_AT = 1.0
 #: Bits of the bitmap of texts with copies, and of the parts it is put together from.
-BITS, PART = 2**26, 2**15
+BITS, PART = 2**23, 2**15
 
 # Possessive where nothing that follows could need a shorter match: the same matches, without deep recursion.
 PATTERNS = {
