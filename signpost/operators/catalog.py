@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from signpost import schema as S
@@ -171,6 +171,24 @@ def fill_embeddings(catalog: DataFrame, embed: Embedder) -> DataFrame:
     return catalog.filter(F.col("embedding").isNotNull()).unionByName(lacking)
 
 
+def fill_embeddings_observed(catalog: DataFrame, embed: Embedder) -> tuple[DataFrame, Observation]:
+    """The catalog of `fill_embeddings` and what an action on it counts: embedded, failed and skipped entries.
+
+    Counts are taken as the rows pass, so each text is embedded once for both; `get` waits for the first action.
+    """
+    seen = Observation("embedding")
+    vector = F.col("_new")
+    new = embed_missing(catalog, embed).withColumnRenamed("embedding", "_new")
+    joined = catalog.join(new, "name", "left").observe(
+        seen,
+        F.count_if(F.col("embedding").isNull() & (F.size(vector) > 0)).alias("embedded"),
+        F.count_if(F.col("embedding").isNotNull()).alias("skipped"),
+        F.count_if(F.col("embedding").isNull() & ~F.coalesce(F.size(vector) > 0, F.lit(False))).alias("failed"),
+    )
+    filled = F.coalesce("embedding", F.when(F.size(vector) > 0, vector)).alias("embedding")
+    return joined.select(*[filled if c == "embedding" else F.col(c) for c in catalog.columns]), seen
+
+
 def embedding_report(catalog: DataFrame, embed: Embedder) -> DataFrame:
     """One row: entries embedded, skipped (had a vector) and failed."""
     done = embed_missing(catalog, embed).agg(F.count_if(F.size("embedding") > 0).alias("n")).scalar()
