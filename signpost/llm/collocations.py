@@ -10,8 +10,9 @@ that order gives the phrases counted within it and, whatever their count, the fi
 go on in the next one; adding up the few parts of a phrase completes it.
 
 One pass counts words, and one runs of two to five. A phrase found often enough has only words and pairs found as often, so
-runs are cut at rare words and at pairs that are surely rare. Which are frequent travels as two bitmaps of fixed size: that
-of words comes from their counts, that of pairs from counts of pair hashes, summed by hash over all tasks in a pass between.
+runs are cut at rare words and at pairs and triples that are surely rare. Which are frequent travels as bitmaps of fixed size:
+that of words comes from their counts, that of pairs and triples from counts of their hashes, summed by hash over all tasks in a
+pass between.
 Keys of one hash cost an additional count and never a result.
 
 Scores are whole numbers throughout (38 digits).
@@ -93,12 +94,15 @@ class WordIds(dict):
         ids.extend(map(self.__getitem__, text.translate(PIECES).replace(b"\n", BETWEEN).split()))
         ids.append(RARE)
 
-    def pair_hashes(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Bits of pairs of ids."""
+    def bits(self, *ids: np.ndarray) -> np.ndarray:
+        """Bits of runs of two or three ids; those of three lie behind those of two."""
         own = np.array(self.hashes, np.uint64)
         with np.errstate(over="ignore"):
-            x = own[first] * SPREAD[0] + own[second] * SPREAD[1] + np.uint64(zlib.crc32(self.lang)) * SPREAD[2]
-            return ((x ^ (x >> np.uint64(31))) * SPREAD[0] >> np.uint64(38)).astype(np.int64)
+            x = np.uint64(zlib.crc32(self.lang)) * SPREAD[2]
+            for part in ids:
+                x = (x ^ (x >> np.uint64(29))) * SPREAD[1] + own[part] * SPREAD[0]
+            hashed = ((x ^ (x >> np.uint64(31))) * SPREAD[0] >> np.uint64(38)).astype(np.int64)
+        return hashed + (len(ids) - 2) * BITS
 
 
 class Container:
@@ -278,7 +282,8 @@ def chunks(batches: Iterator[pa.RecordBatch], words: bytes, most_words: int = MO
 
 
 def pair_counts(words: bytes):
-    """Counts of pair hashes of frequent words: rows of one part of the hashes each, with places and counts up to 255."""
+    """Counts of hashes of two and three frequent words: rows of one part of the hashes each, with places and counts up to
+    255."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -286,7 +291,7 @@ def pair_counts(words: bytes):
         def told():
             bits, counts = np.unique(np.concatenate([*held, np.zeros(0, np.int64)]), return_counts=True)
             held.clear()
-            cuts = np.searchsorted(bits, np.arange(BITS // PART + 1) * PART)
+            cuts = np.searchsorted(bits, np.arange(2 * BITS // PART + 1) * PART)
             parts = np.flatnonzero(np.diff(cuts))
             places, few = (bits % PART).astype(np.uint16), np.minimum(counts, 255).astype(np.uint8)
             rows = [(places[cuts[p] : cuts[p + 1]].tobytes(), few[cuts[p] : cuts[p + 1]].tobytes()) for p in parts]
@@ -295,8 +300,11 @@ def pair_counts(words: bytes):
 
         for ids, chunk in chunks(batches, words):
             if chunk is not None:
-                at = np.flatnonzero((chunk[:-1] >= 0) & (chunk[1:] >= 0))
-                held.append(ids.pair_hashes(chunk[at], chunk[at + 1]))
+                good = chunk >= 0
+                at = np.flatnonzero(good[:-1] & good[1:])
+                held.append(ids.bits(chunk[at], chunk[at + 1]))
+                at = np.flatnonzero(good[:-2] & good[1:-1] & good[2:])
+                held.append(ids.bits(chunk[at], chunk[at + 1], chunk[at + 2]))
                 if sum(map(len, held)) > 4 * ENTRIES:
                     yield told()
         yield told()
@@ -348,15 +356,18 @@ def phrase_runs(most: int, words: bytes, pairs: bytes, entries: int = ENTRIES, b
 
 def packed_paths(ids: WordIds, chunk: np.ndarray, most: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The longest run from each place that has one of two words at least, packed; words count from 1, 0 is none."""
-    joined = np.zeros(len(chunk), bool)
+    joined, tripled = np.zeros(len(chunk), bool), np.zeros(len(chunk) + most, bool)
     at = np.flatnonzero((chunk[:-1] >= 0) & (chunk[1:] >= 0))
-    bits = ids.pair_hashes(chunk[at], chunk[at + 1])
+    bits = ids.bits(chunk[at], chunk[at + 1])
     joined[at] = frequent[bits >> 3] >> (bits & 7) & 1
+    at = np.flatnonzero(joined[:-1] & joined[1:])
+    bits = ids.bits(chunk[at], chunk[at + 1], chunk[at + 2])
+    tripled[at] = frequent[bits >> 3] >> (bits & 7) & 1
     start = np.flatnonzero(joined)
     columns, alive = [chunk[start] + 1], np.ones(len(start), bool)
     padded, links = np.concatenate([chunk, np.full(most, RARE)]), np.concatenate([joined, np.zeros(most, bool)])
     for k in range(1, 5):
-        alive = alive & links[start + k - 1] if k < most else np.zeros(len(start), bool)
+        alive = alive & links[start + k - 1] & (tripled[start + k - 2] if k > 1 else True) if k < most else np.zeros(len(start), bool)
         columns.append(np.where(alive, padded[np.minimum(start + k, len(padded) - 1)] + 1, 0))
     high = (columns[0] << 2 * WIDTH) | (columns[1] << WIDTH) | columns[2]
     return high, (columns[3] << WIDTH) | columns[4], np.ones(len(start), np.int64)
@@ -402,10 +413,10 @@ def _counted(runs: DataFrame, least: int, most: int, min_count: int, name: str)
     return written(rows, name)
 
 
-def _bitmap(parts: DataFrame) -> bytes:
-    """A bitmap from its parts (part, bits): BITS / 8 bytes whatever the number of keys."""
-    out = bytearray(BITS // 8)
-    # BITS / PART rows at most
+def _bitmap(parts: DataFrame, size: int = BITS) -> bytes:
+    """A bitmap from its parts (part, bits): size / 8 bytes whatever the number of keys."""
+    out = bytearray(size // 8)
+    # size / PART rows at most
     for row in parts.collect():
         at = row.part * PART // 8
         out[at : at + PART // 8] = row.bits
@@ -421,7 +432,7 @@ def frequent_words(singles: DataFrame) -> bytes:
 def frequent_pairs(held: DataFrame, words: bytes, min_count: int) -> bytes:
     counts = held.mapInArrow(pair_counts(words), "part int, places binary, counts binary")
     dealt = counts.repartition("part").sortWithinPartitions("part")
-    return _bitmap(dealt.mapInArrow(frequent_parts(min(min_count, 255)), "part int, bits binary"))
+    return _bitmap(dealt.mapInArrow(frequent_parts(min(min_count, 255)), "part int, bits binary"), 2 * BITS)
 
 
 def phrase_counts(docs: DataFrame, *, min_count: int = MIN_COUNT, longest: int = LONGEST, entries: int = ENTRIES, burst: int = BURST) -> DataFrame:
