@@ -7,15 +7,20 @@ segment, and more generally, whatever allocation of 0 (skip), 1 (equal) or 2 (on
 segments adds up to their number, the pair meets in one of them. A set is indexed in the scheme of its own band and looked
 up in that and the next smaller one.
 
-1. Sets of equal content are one class, known by their fingerprint. Each class is written with its segment signatures.
-2. Signatures held by several classes give each class a hub it shares most of them with. These links are verified exactly,
-   and linked classes joined to components. A group of near copies is mostly one component after this, without a pair
-   between its other members.
-3. Signatures that classes of several components still share give candidates: all pairs of different components where few
-   classes hold the signature. A pair that shares none of these shares one that many hold, so both are crowded.
-4. Crowded classes are partitioned anew: segments are indexed with all their one-deletion neighbours, the candidates behind
+1. Sets of equal content are one class, known by their fingerprint. Segments without a shingle are allotted 0: a band has a
+   few segments more to make up for them, and a set with more empty ones than that is indexed by these too. The signatures
+   of the others are exchanged once; those of one class alone end there.
+2. Signatures held by several classes give each class a hub it shares most of them with. These pairs are verified exactly:
+   linked classes form components, classes of half the similarity asked for, or more, form groups.
+3. Pairs within a group are told by what differs from the group's core, the shingles that more than half of it hold:
+   x ^ y = (x ^ core) ^ (y ^ core). All pairs whose differences are small enough by their sizes alone are linked through
+   the class of largest slack; any other pair must share enough of its differences, so only the rarest of them are
+   indexed. No pair of a group is formed but those that share one of these.
+4. Signatures that classes of several groups share give candidates: all pairs of different groups where few classes hold
+   the signature. A pair that shares none of these shares one that many hold, so both are crowded.
+5. Crowded classes are partitioned anew: segments are indexed with all their one-deletion neighbours, the candidates behind
    each segment are counted, and each class allots its own segments at the least cost, so that it avoids those it shares
-   with a large group. Candidates of other components are verified exactly.
+   with a large group. Candidates of other groups are verified exactly.
 
 Shingles, classes and signatures are 64-bit hashes; apart from their collisions the join is exact.
 
@@ -31,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signpost.llm.common import words, written
@@ -40,7 +45,7 @@ from signpost.llm.components import components
 #: Similarity as a fraction, so that every bound is a whole number.
 NUMERATOR, DENOMINATOR = 9, 10
 SHINGLE = 3
-#: Classes behind a signature up to which all its pairs of different components are candidates.
+#: Classes behind a signature up to which all its pairs of different groups are candidates.
 CROWD = 32
 #: Rows per output batch of the signature pass, in documents.
 SLICE = 256
@@ -87,8 +92,20 @@ class Bands:
             low = high + 1
         self.num, self.den = num, den
         self.lows = np.array(lows, np.int64)
-        # the largest difference between a set of the band and a larger partner, plus one
-        self.segments = [(h + h * den // num) * (den - num) // (den + num) + 1 for h in highs]
+        # the largest difference between a set of the band and a larger partner, plus one: segments to be allotted
+        self.needed = [(h + h * den // num) * (den - num) // (den + num) + 1 for h in highs]
+        self.segments = [self.with_empty(need, low) for need, low in zip(self.needed, lows, strict=True)]
+
+    @staticmethod
+    def with_empty(need: int, size: int) -> int:
+        """Segments of which `need` hold a shingle, as a rule, in a set of this size; one where only equal sets link."""
+        if need == 1:
+            return 1
+        m = float(need)
+        for _ in range(8):
+            empty = m * np.exp(-size / m)
+            m = min(need + empty + 3 * np.sqrt(empty), 2.0 * need)
+        return int(np.ceil(m))
 
     def of(self, size: int) -> int:
         return int(np.searchsorted(self.lows, size, side="right")) - 1
@@ -115,25 +132,50 @@ def signatures(sums: np.ndarray, scheme: int, seg: np.ndarray) -> np.ndarray:
         return mix(sums + place).view(np.int64)
 
 
-def _set_rows(bands: Bands, k: int):
+def _set_rows(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with np.errstate(over="ignore"):
+            for b in batches:
+                sets = [(len(t), fingerprint(t)) for t in (shingle_set(text, k) for text in b["text"])]
+                n, fp = zip(*sets, strict=True) if sets else ((), ())
+                yield pd.DataFrame({"doc_id": b["doc_id"].array, "version": b["version"].array, "n": n, "fp": fp})
+
+    return run
+
+
+def class_signatures(tokens: np.ndarray, bands: Bands) -> np.ndarray:
+    """Signatures of a set in its schemes: of its segments with a shingle, and where these are too few of the others too."""
+    found = []
+    for scheme in bands.schemes(len(tokens)) if len(tokens) else []:
+        m = bands.segments[scheme]
+        # one segment: only equal sets, which are one class, agree
+        if m > 1:
+            seg, sums = segment_sums(tokens, m)
+            held = np.flatnonzero(np.bincount(seg, minlength=m))
+            held = held if len(held) >= bands.needed[scheme] else np.arange(m)
+            found.append(signatures(sums[held], scheme, held))
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def _signature_rows(bands: Bands, k: int):
+    """Signatures with their class, once per class and task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = set()
         with np.errstate(over="ignore"):
             for b in batches:
                 for at in range(0, len(b), SLICE):
-                    part = b.iloc[at : at + SLICE]
-                    rows = []
-                    for text in part["text"]:
+                    fps, sigs = [], []
+                    for text in b["text"].iloc[at : at + SLICE]:
                         tokens = shingle_set(text, k)
-                        found = []
-                        for scheme in bands.schemes(len(tokens)) if len(tokens) else []:
-                            m = bands.segments[scheme]
-                            # one segment: only equal sets, which are one class, agree
-                            if m > 1:
-                                found.append(signatures(segment_sums(tokens, m)[1], scheme, np.arange(m)))
-                        rows.append((len(tokens), fingerprint(tokens), np.concatenate(found) if found else np.zeros(0, np.int64)))
-                    yield pd.DataFrame(
-                        {"doc_id": part["doc_id"].array, "version": part["version"].array, "n": [r[0] for r in rows], "fp": [r[1] for r in rows], "sigs": [r[2] for r in rows]}
-                    )
+                        fp = fingerprint(tokens)
+                        if fp not in seen:
+                            seen.add(fp)
+                            fps.append(fp)
+                            sigs.append(class_signatures(tokens, bands))
+                    if fps:
+                        owners = np.repeat(np.array(fps, np.int64), [len(x) for x in sigs])
+                        yield pd.DataFrame({"sig": np.concatenate(sigs), "fp": owners})
 
     return run
 
@@ -209,18 +251,20 @@ def _allotments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"fp": fp, "scheme": scheme, "total": total, "seg": seg, "units": out})
 
 
-def _verified(pairs: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) among candidate pairs, by their whole sets."""
+def _compared(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the size of their intersection, and the sum of their sizes."""
     size, both = F.size, F.array_intersect("ta", "tb")
     return (
         pairs.join(tokens.select(F.col("fp").alias("a"), F.col("tokens").alias("ta")), "a")
         .join(tokens.select(F.col("fp").alias("b"), F.col("tokens").alias("tb")), "b")
-        .select("a", "b", size(both).alias("shared"), (size("ta") + size("tb")).alias("sizes"))
-        .where(F.col("shared") * den >= (F.col("sizes") - F.col("shared")) * num)
-        .select("a", "b")
+        .select("a", "b", size(both).cast("long").alias("shared"), (size("ta") + size("tb")).cast("long").alias("sizes"))
     )
 
 
+def _similar(num: int, den: int) -> Column:
+    return F.col("shared") * den >= (F.col("sizes") - F.col("shared")) * num
+
+
 def _tokens_of(classes: DataFrame, sets: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """Whole sets of the classes (column fp), read again from one text each."""
     first = F.min(F.struct("version", F.col("doc_id").alias("holder"))).alias("first")
@@ -288,6 +332,68 @@ def _stars(shared: DataFrame) -> DataFrame:
     return best.select(F.col("fp").alias("a"), F.col("best.hub").alias("b"))
 
 
+def _several(rows: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is held by classes of several components (column comp)."""
+    held = rows.groupBy(key).agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
+    return rows.join(held.where("x <> y").select(key), key, "left_semi")
+
+
+def _flipped(array: str, other: str) -> Column:
+    """Symmetric difference of two arrays without repeated elements."""
+    return F.concat(F.array_except(array, other), F.array_except(other, array))
+
+
+def _group_differences(groups: DataFrame, labels: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
+    """fp, grp, n, diff and slack for each class of a group that is not one component yet.
+
+    diff is the class's symmetric difference with its group's core. Two classes link when their slacks and
+    2 * (num + den) for each element that their differences share add up to 0 or more.
+    """
+    rows = groups.select(F.col("node").alias("fp"), F.col("component").alias("grp"))
+    rows = _several(_labelled(rows, labels), "grp").select("fp", "grp")
+    first = tokens.select(F.col("fp").alias("grp"), F.col("tokens").alias("base"))
+    apart = rows.join(tokens.select("fp", "tokens"), "fp").join(first, "grp")
+    apart = written(apart.select("fp", "grp", F.size("tokens").cast("long").alias("n"), _flipped("tokens", "base").alias("apart")), "apart")
+    counts = apart.select("grp", F.explode("apart").alias("token")).groupBy("grp", "token").agg(F.count(F.lit(1)).alias("f"))
+    most = counts.join(apart.groupBy("grp").agg(F.count(F.lit(1)).alias("members")), "grp").where("2 * f > members")
+    # fewer than twice the mean difference of a group
+    cores = most.groupBy("grp").agg(F.collect_list("token").alias("most"))
+    every = apart.join(cores, "grp", "left").withColumn("most", F.coalesce("most", F.array().cast("array<long>")))
+    every = every.select("fp", "grp", "n", _flipped("apart", "most").alias("diff"))
+    slack = F.col("n") * (den - num) - F.size("diff") * F.lit(den + num)
+    return written(every.withColumn("slack", slack.cast("long")), "differences")
+
+
+def _slack_links(every: DataFrame, num: int, den: int) -> DataFrame:
+    """Links of each class with the class of largest slack in its group."""
+    top = every.groupBy("grp").agg(F.max(F.struct("slack", "fp")).alias("top")).select(F.col("top.fp").alias("fp"))
+    tops = every.join(top, "fp", "left_semi").select("grp", F.col("fp").alias("b"), F.col("slack").alias("most"), F.col("diff").alias("other"))
+    shared = F.size(F.array_intersect("diff", "other")) * F.lit(2 * (num + den))
+    linked = every.join(tops, "grp").where((F.col("fp") != F.col("b")) & (F.col("slack") + F.col("most") + shared >= 0))
+    return linked.select(F.col("fp").alias("a"), "b")
+
+
+def _group_candidates(every: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of one group and different components that share one of the rarest elements of their differences."""
+    rows = _several(_labelled(every, labels), "grp")
+    rows = written(rows.join(rows.groupBy("grp").agg(F.max("slack").alias("most")), "grp"), "open-differences")
+    slim = rows.select("fp", "grp", "comp", "n", "slack", "most", F.size("diff").alias("len"), F.explode("diff").alias("token"))
+    counts = slim.groupBy("grp", "token").agg(F.count(F.lit(1)).alias("f"))
+    place = F.row_number().over(Window.partitionBy("fp").orderBy("f", "token"))
+    unit = 2 * (num + den)
+    # an element of one class alone keeps its place, but need not be looked up
+    told = slim.join(counts, ["grp", "token"]).withColumn("place", place)
+    told = told.where(f"f > 1 and place <= len + 1 - greatest(1, (-slack - most + {unit - 1}) div {unit})")
+    told = written(told.select("fp", "grp", "comp", "n", "slack", "len", "token", "place"), "rarest-differences")
+    overlap = f"greatest(1, (-x.slack - y.slack + {unit - 1}) div {unit})"
+    meets = F.expr(
+        f"""x.grp = y.grp and x.token = y.token and x.fp > y.fp and x.comp <> y.comp
+        and least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num}
+        and least(x.len - x.place, y.len - y.place) + 1 >= {overlap}"""
+    )
+    return told.alias("x").join(told.alias("y"), meets).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
+
+
 def _open_rows(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """sig, fp, n, comp and holders (classes of the signature), for signatures that several components share."""
     rows = _labelled(shared, labels)
@@ -312,19 +418,25 @@ def class_links(
 ) -> tuple[DataFrame, DataFrame]:
     """(doc_id, version, n, fp) per document, version being the hash of its text, and (node, component) of linked classes."""
     bands = Bands(num, den)
-    schema = "doc_id long, version long, n int, fp long, sigs array<long>"
     held = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
-    sets = written(held.mapInPandas(_set_rows(bands, shingle), schema), "shingle-sets")
-    rows = sets.select("fp", "n", F.explode_outer("sigs").alias("sig"))
-    held = rows.groupBy("sig").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y")
-    shared = written(rows.join(held.select("sig"), "sig", "left_semi").distinct(), "shared-signatures")
+    sets = written(held.mapInPandas(_set_rows(shingle), "doc_id long, version long, n int, fp long"), "shingle-sets")
+    rows = docs.select("text").mapInPandas(_signature_rows(bands, shingle), "sig long, fp long")
+    # one exchange: the least and the largest class of a signature stand beside its rows
+    holders = Window.partitionBy("sig")
+    several = rows.select("sig", "fp", F.min("fp").over(holders).alias("x"), F.max("fp").over(holders).alias("y"))
+    several = written(several.where("x <> y").select("sig", "fp").distinct(), "several-holders")
+    shared = written(several.join(sets.select("fp", "n").distinct(), "fp").select("sig", "fp", "n"), "shared-signatures")
     tokens = _tokens_of(shared.select("fp").distinct(), sets, docs, shingle)
-    links = written(_verified(written(_stars(shared), "stars"), tokens, num, den), "star-links")
-    labels = written(components(links), "labels")
-    rows = written(_open_rows(shared, labels), "open-rows")
+    stars = written(_compared(written(_stars(shared), "stars"), tokens), "compared-stars")
+    links = stars.where(_similar(num, den)).select("a", "b")
+    near = written(components(stars.where(_similar(num, 2 * den)).select("a", "b")), "groups")
+    every = _group_differences(near, written(components(links), "labels"), tokens, num, den)
+    links = written(links.unionAll(_slack_links(every, num, den)), "star-links")
+    within = _group_candidates(every, written(components(links), "labels"), num, den)
+    rows = written(_open_rows(shared, near), "open-rows")
     crowded = rows.where(F.col("holders") > CROWD).select("fp", "n").distinct()
-    pairs = _small_group_candidates(rows, bands).unionAll(_allotted_candidates(crowded, tokens, labels, bands))
-    more = _verified(written(pairs.distinct(), "candidates"), tokens, num, den)
+    pairs = within.unionAll(_small_group_candidates(rows, bands)).unionAll(_allotted_candidates(crowded, tokens, near, bands))
+    more = _compared(written(pairs.distinct(), "candidates"), tokens).where(_similar(num, den)).select("a", "b")
     links = written(links.unionAll(more), "all-links")
     return sets.select("doc_id", "version", "n", "fp"), written(components(links), "labels")
 

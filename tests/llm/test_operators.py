@@ -306,6 +306,32 @@ def test_jaccard_group_of_near_copies(spark):
     assert got == brute_components(texts, 3, 9, 10)
 
 
+def test_jaccard_copies_too_far_apart(spark, monkeypatch):
+    """Copies of an origin that is not there, none similar enough to another: no pair of them is a candidate."""
+    import random
+
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for i in range(150):
+        w = list(base)
+        for at in rng.sample(range(300), 9):
+            w[at] = f"z{i}_{at}"
+        texts.append((i, " ".join(w)))
+    pairs = {}
+
+    def counted(df, name, **options):
+        pairs[name] = table = written(df, name, **options)
+        return table
+
+    written = jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", counted)
+    got = {tuple(r) for r in jaccard_join.jaccard_components(small(spark, texts)).collect()}
+    assert got == {(i, 298, i) for i, _ in texts}
+    assert pairs["differences"].count() == len(texts)
+    assert pairs["candidates"].count() == 0
+
+
 def test_jaccard_edges(spark, edges):
     got = sorted((r.doc_id or 99, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(edges).collect())
     assert got == [(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (4, 1, 4), (5, 1, 5), (99, 0, None), (99, 1, None)]
@@ -319,7 +345,7 @@ def test_bands_never_miss_a_partner():
         for size in range(1, s + 1):
             if size * 10 >= s * 9:
                 assert bands.of(size) in bands.schemes(s)
-                assert (s + size) // 19 < bands.segments[bands.of(size)]
+                assert (s + size) // 19 < bands.needed[bands.of(size)] <= bands.segments[bands.of(size)]
 
 
 # ---- personal data ----
