@@ -206,22 +206,30 @@ def bm25(catalog: DataFrame, queries: DataFrame, index: TextIndex | None = None)
     return keyword_scores(rows, queries.schema["query_id"].dataType.simpleString())
 
 
+def trigger_owners(catalog: DataFrame) -> DataFrame:
+    return catalog.select("name", F.explode(F.array_distinct("triggers")).alias("trigger"))
+
+
+def trigger_grams(triggers: DataFrame) -> DataFrame:
+    """Character n-grams of each distinct trigger, however many entries bear it."""
+    return triggers.select("trigger").distinct().select(
+        "trigger", F.explode(F.concat(X.grams(F.col("trigger"), 2), X.grams(F.col("trigger"), 3))).alias("gram")
+    )
+
+
 def trigger_words(catalog: DataFrame, words: DataFrame) -> DataFrame:
     """Distinct (entry, word) with the word inside one of the entry's triggers, partitioned by name.
 
-    Candidates meet on character n-grams: a two-letter word on its bigram, a longer one on its first
-    trigram; `contains` then decides. A one-to-all comparison never happens.
+    Words meet the dictionary of distinct triggers on character n-grams: a two-letter word on its bigram, a longer one on its
+    first trigram; `contains` then decides, and entries are joined to what was found. A one-to-all comparison never happens.
     """
     keyed = words.select(
         "word", F.when(F.length("word") == 2, F.col("word")).otherwise(F.substring("word", 1, 3)).alias("gram")
     )
-    triggers = catalog.select("name", F.explode(F.array_distinct("triggers")).alias("trigger"))
-    spread = triggers.select(
-        "name", "trigger",
-        F.explode(F.concat(X.grams(F.col("trigger"), 2), X.grams(F.col("trigger"), 3))).alias("gram"),
-    )
-    hits = spread.join(keyed, "gram").filter(F.col("trigger").contains(F.col("word")))
-    return by_name(hits.select("name", "word")).distinct()
+    owners = trigger_owners(catalog)
+    hits = trigger_grams(owners).join(keyed, "gram").filter(F.col("trigger").contains(F.col("word")))
+    found = owners.join(hits.select("trigger", "word").distinct(), "trigger")
+    return by_name(found.select("name", "word")).distinct()
 
 
 def trigger_parts(catalog: DataFrame, words: DataFrame) -> DataFrame:

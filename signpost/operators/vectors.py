@@ -8,6 +8,7 @@ task. No all-pairs table is built, and a category holding a third of all rows is
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,10 +21,13 @@ from pyspark.sql import functions as F
 from signpost import schema as S
 from signpost.functions.scoring import round_half_up
 from signpost.operators.windows import rank_within
+from signpost.session import shared_folder
 
 ROWS_PER_BLOCK = 32_768
 QUERIES_PER_BLOCK = 8_192
 CELLS_AT_ONCE = 8_000_000
+#: Chosen categories up to which the scan of the vectors is given their list; more are joined to it.
+FEW_CATEGORIES = 1_000
 COSINE_DIGITS = 12  # scores closer than this tie and fall back to the name
 
 
@@ -156,6 +160,22 @@ def nearest_categories(index: VectorIndex, queries: DataFrame, top_categories: i
     return nearest_in_groups(queries, wanted, rows, top_categories).withColumnRenamed("name", "category")
 
 
+def chosen_categories(index: VectorIndex, queries: DataFrame, top_categories: int) -> DataFrame:
+    """`query_id, category`, written once to the shared folder: the queries and the scan of the vectors both start from it."""
+    path = f"{shared_folder(queries.sparkSession)}/chosen-{uuid.uuid4().hex}"
+    nearest_categories(index, queries, top_categories).select("query_id", "category").write.parquet(path)
+    return queries.sparkSession.read.parquet(path)
+
+
+def vectors_of(index: VectorIndex, chosen: DataFrame) -> DataFrame:
+    """Vectors of the chosen categories; where they are stored by category, the others are not read."""
+    categories = chosen.select("category").distinct()
+    few = [r.category for r in categories.limit(FEW_CATEGORIES + 1).collect()]
+    if len(few) <= FEW_CATEGORIES:
+        return index.vectors.where(F.col("category").isin(few))
+    return index.vectors.join(categories, "category", "left_semi")
+
+
 def centroid_search(
     index: VectorIndex,
     queries: DataFrame,
@@ -164,9 +184,9 @@ def centroid_search(
 ) -> DataFrame:
     """Exact nearest entries within each query's best categories: `query_id, name, cosine, rank`."""
     sizes = index.centroids.select("category", block_count(F.col("n")).alias("blocks"))
-    chosen = nearest_categories(index, queries, top_categories).select("query_id", "category")
+    chosen = chosen_categories(index, queries, top_categories)
     wanted = chosen.join(usable_queries(index, queries), "query_id").join(sizes, "category")
-    rows = index.vectors.join(sizes, "category")
+    rows = vectors_of(index, chosen).join(sizes, "category")
     return nearest_in_groups(
         queries,
         wanted.select("query_id", "query_vec", F.col("category").alias("grp"), "blocks"),

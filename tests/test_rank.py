@@ -102,6 +102,14 @@ def test_trigger_blocking_equals_brute_force(spark, sf_dir):
     assert got == expected
 
 
+def test_grams_follow_distinct_triggers(spark):
+    one = entries(spark, [{"name": "a", "triggers": ["prune", "soil bed"]}])
+    many = one.select("triggers").crossJoin(spark.range(50)).select(F.concat(F.lit("e"), "id").alias("name"), "triggers")
+    grams = [L.trigger_grams(L.trigger_owners(c)).count() for c in (one, many)]
+    assert grams[0] == grams[1] > 0
+    assert L.trigger_match(many, ask(spark, "prune soil")).filter("hits = 2").count() == 50
+
+
 def test_top_k_is_a_prefix_of_the_next(spark):
     catalog, queries = entries(spark, FIVE), ask(spark, "soil garden", "garden")
     one, two = [
@@ -205,6 +213,19 @@ def test_blocked_search_equals_exact(spark, sf_dir, monkeypatch, tmp_path):
         assert list(got[got.query_id == query]["name"]) == list(names[order])
 
 
+@pytest.mark.parametrize("few", [1000, 0])
+def test_chosen_categories_prune_the_stored_vectors(spark, monkeypatch, tmp_path, few):
+    monkeypatch.setattr(V, "FEW_CATEGORIES", few)
+    index = write_vector_index(vector_catalog(spark), str(tmp_path / "vectors"))
+    query = vector_query(spark, [1.0, 0.0])
+    chosen = V.chosen_categories(index, query, 1)
+    read = V.vectors_of(index, chosen)
+    assert {r["name"] for r in read.collect()} == {"a1", "a2"}
+    if few:
+        assert "(category#" in read._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+    assert found(V.centroid_search(index, query, top_categories=1)) == [("a1", 1.0), ("a2", 0.8)]
+
+
 def test_route_with_vectors(spark):
     catalog = entries(spark, [{"name": n, "category": c, "embedding": v} for n, c, v in VECTORS])
     queries = spark.createDataFrame(

@@ -237,7 +237,11 @@ def resolve_fallback(spark, sf_dir):
 
 
 def alternatives(spark, sf_dir):
-    return D.alternatives(gated(spark, sf_dir), resolve_fallback(spark, sf_dir))
+    """From one ranking, written first: the plan and the offer both read it."""
+    path = f"{shared_folder(spark)}/ranked-{uuid4().hex}"
+    gated(spark, sf_dir).write.parquet(path)
+    ranked = spark.read.parquet(path)
+    return D.alternatives(ranked, D.resolve_fallback(D.fallback_plan(ranked, CONFIDENT), outcomes(spark, sf_dir)))
 
 
 def attempt_log(spark, sf_dir):
