@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from signpost import schema as S
 from signpost.functions.text import blank_to_null
@@ -21,13 +22,29 @@ from signpost.operators.windows import keep_last
 NAMES = S.CATALOG.names
 
 
+def _orderable(kind: DataType) -> bool:
+    if isinstance(kind, ArrayType):
+        return _orderable(kind.elementType)
+    if isinstance(kind, StructType):
+        return all(_orderable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, MapType | VariantType)
+
+
 def _whole_row(df: DataFrame) -> Column:
-    """A total order over rows that hold no order of their own."""
-    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    """A total order over rows that hold no order of their own: by their columns from left to right, nulls first.
+
+    Columns are compared as they are, and only where all before them tie; those without an order count by their JSON.
+    """
+    parts = []
+    for i, f in enumerate(df.schema.fields):
+        column = F.col(f"`{f.name}`")
+        told = column if _orderable(f.dataType) else F.when(column.isNotNull(), F.to_json(F.struct(column)))
+        parts.append(told.alias(f"_{i}"))
+    return F.struct(*parts)
 
 
 def dedupe_batch(batch: DataFrame) -> DataFrame:
-    """One row per name: the last by `seq`, or without one the last in the order of the whole rows' JSON."""
+    """One row per name: the last by `seq`, among equal ones or without it the last in the order of the rows' columns."""
     order = [F.desc("seq")] if "seq" in batch.columns else []
     return keep_last(batch, "name", [*order, F.desc(_whole_row(batch))])
 
@@ -126,7 +143,7 @@ def update_entries(
     """Validated change of known entries: the next catalog and the judged updates.
 
     Given fields replace, others stay; several updates of a name apply in `seq` order, without
-    one in the order of the whole rows' JSON. Custom triggers and boost
+    one in the order of the rows' columns. Custom triggers and boost
     keywords are lost, since the entry is built anew, unless `preserve_all`.
     """
     judged = Q.validate_update(updates, catalog)

@@ -106,6 +106,16 @@ def test_upsert_keeps_what_was_learned(spark):
     assert sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))
 
 
+def test_rows_that_repeat_a_name(spark):
+    rows = [("a", 9, {"k": 1}, ["x"]), ("a", 10, None, ["x"]), ("a", 10, {"k": 2}, ["x"]), ("b", None, None, None), ("b", None, None, [])]
+    batch = spark.createDataFrame(rows, "name string, size int, extra map<string,int>, tags array<string>")
+    for given in (batch, batch.orderBy(F.desc("size"), F.desc("tags")), batch.unionAll(batch)):
+        kept = {r["name"]: (r["size"], r.extra, r.tags) for r in C.dedupe_batch(given).collect()}
+        assert kept == {"a": (10, {"k": 2}, ["x"]), "b": (None, None, [])}
+    first = batch.withColumn("seq", F.when(F.col("size") == 9, 2).otherwise(1))
+    assert {r["size"] for r in C.dedupe_batch(first).where("name = 'a'").collect()} == {9}
+
+
 def test_deletes(spark):
     catalog = entries(spark, [{"name": n, "source": s, "provider": p} for n, s, p in (("a", "s", "p"), ("b", "s", "q"), ("c", "t", "p"))])
 
