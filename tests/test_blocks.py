@@ -69,3 +69,32 @@ def test_losers_are_not_finished():
     (q, e, trigger, keyword, semantic), = cell.best(3, 0.1)
     assert [names[i] for i in e] == ["n0007", "n0006", "n0005"] and finished and finished[0] < 10
     assert np.allclose(keyword, [9 * (1 + i / 100) + 0.1 for i in (7, 6, 5)])
+
+
+def test_the_catalog_is_never_broadcast(spark, capsys):
+    """However small its files are: exploded to triggers or postings it may be any size."""
+    catalog, queries = random_catalog(spark, 4)
+    L.trigger_words(catalog, L.query_word_counts(queries).select("word").distinct()).explain("simple")
+    shown = capsys.readouterr().out
+    assert "SortMergeJoin" in shown and shown.count("BroadcastHashJoin") == 1
+
+
+def test_stages_meet_in_the_cells(spark):
+    """Trigger words, repeated ones too, terms and hits of one cell give one row per query and entry."""
+    terms = spark.createDataFrame([(1, "t", 2.0)], "query_id long, term string, weight double")
+    postings = spark.createDataFrame([("a", "t", 0.5), ("b", "u", 1.0)], "name string, term string, part double")
+    words = spark.createDataFrame([(1, "w", 6.0), (2, "w", 3.0), (2, "v", 3.0), (3, "none", 3.0)], "query_id long, word string, weight double")
+    found = spark.createDataFrame([("a", "w"), ("a", "v"), ("c", "v")], "name string, word string")
+    hits = spark.createDataFrame([(2, "d", 0.0, 4.0)], "query_id long, name string, trigger double, semantic double")
+    rows = B.cells(3, terms, postings, 4, hits=[hits], words=words, found=found)
+    got = sorted(map(tuple, B.stage_scores_of(rows, "bigint").collect()))
+    assert got == [(1, "a", 6.0, 1.0, 0.0), (2, "a", 6.0, 0.0, 0.0), (2, "c", 3.0, 0.0, 0.0), (2, "d", 0.0, 0.0, 4.0)]
+
+
+def test_cells_follow_the_postings(spark, monkeypatch):
+    """More postings make more blocks, and every cell may have a task of its own."""
+    monkeypatch.setattr(B, "POSTINGS_PER_BLOCK", 100)
+    terms = spark.createDataFrame([(1, "t", 2.0)], "query_id long, term string, weight double")
+    postings = spark.createDataFrame([("a", "t", 0.5)], "name string, term string, part double")
+    rows = B.cells(1, terms, postings, 1, n_postings=2_000)
+    assert rows.select("block").distinct().count() == 20 and rows.rdd.getNumPartitions() == 20
