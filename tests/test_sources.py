@@ -197,3 +197,15 @@ def test_route_after_reload_is_the_same(spark):
         for c in (once, twice)
     ]
     assert ranks[0] == ranks[1]
+
+
+def test_manifest_folder_is_written_by_many_tasks(spark, tmp_path):
+    from pathlib import Path
+
+    from workload.ingestion import supplier_directory
+
+    suppliers = spark.range(50).selectExpr("id AS s_suppkey", "concat('maker ', id) AS s_name")
+    suppliers.coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    folder = supplier_directory(spark, str(tmp_path)).removeprefix("file:")
+    files = [f.name for f in Path(folder).glob("*.json")]
+    assert len(files) == 50 and len({f.split("-")[1] for f in files}) > 1

@@ -113,13 +113,15 @@ def ingest_summary(spark, sf_dir):
 
 
 def supplier_directory(spark, sf_dir) -> str:
-    """A folder with one manifest file per supplier."""
-    s = T.table(spark, sf_dir, "supplier")
+    """A folder with one manifest file per supplier, written by many tasks, each of which commits its own files."""
+    s = T.spread(T.table(spark, sf_dir, "supplier"), "s_suppkey")
     number = F.col("s_suppkey").cast("string")
     entry = F.struct(F.concat(F.lit("order_from_"), number).alias("name"), F.concat(F.lit("Order from "), "s_name").alias("description"))
     folder = new_folder(spark, "manifests")
     manifests = s.select("s_name", F.array(entry).alias("tools")).withColumnRenamed("s_name", "provider")
-    manifests.write.option("maxRecordsPerFile", 1).json(folder)
+    # the folder is new, and read only once it is whole; else the driver alone would move all files at the end
+    each = {"maxRecordsPerFile": 1, "mapreduce.fileoutputcommitter.algorithm.version": 2}
+    manifests.write.options(**each).json(folder)
     return folder
 
 
