@@ -21,18 +21,19 @@ STATE = "opened_at long, failures long"
 START = (C.CLOSED, 0)
 
 
-def settle(state: tuple, attempts: pd.DataFrame, threshold: int, recovery: int) -> tuple[tuple, pd.DataFrame]:
-    """State after one key's attempts, and the decisions on them."""
+def settle(states: list[tuple], attempts: pd.DataFrame, starts: np.ndarray, threshold: int, recovery: int) -> tuple[list[tuple], pd.DataFrame]:
+    """States after the keys' attempts, and the decisions on them."""
     t, success = attempts["t"].to_numpy(np.int64), attempts["success"].to_numpy(bool)
-    cut = C.Slices(t, success, np.zeros(1, np.int64), threshold, recovery)
-    decision, last, failures = cut.replay(np.array([state[0]]), np.array([state[1]]))
-    rows = C.told(attempts.assign(name=None).reset_index(drop=True), decision, last, failures)
-    return (int(last[-1]), int(failures[-1])), rows
+    cut = C.Slices(t, success, starts, threshold, recovery)
+    opened, before = (np.array(x, np.int64) for x in zip(*states, strict=True))
+    decision, last, failures = cut.replay(opened, before)
+    ends = cut.ends - 1
+    return list(zip(last[ends].tolist(), failures[ends].tolist(), strict=True)), C.told(attempts, decision, last, failures)
 
 
-def tell(key, late: int, settled: pd.DataFrame | None, pending: pd.DataFrame | None, _state: tuple) -> pd.DataFrame:
-    parts = [rows.assign(final=final) for rows, final in ((settled, True), (pending, False)) if rows is not None]
-    return pd.concat(parts, ignore_index=True).assign(name=key, late=late)
+def tell(_names: list, late: np.ndarray, _states: list[tuple], parts: list) -> pd.DataFrame:
+    told = [rows.assign(final=final, late=late[key]) for rows, key, final in parts if rows is not None]
+    return pd.concat(told, ignore_index=True)
 
 
 def _told(spark: SparkSession, path: str, name_type: str, id_type: str) -> DataFrame:

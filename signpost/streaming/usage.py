@@ -19,23 +19,25 @@ STATE = "uses long, gain double, last_t long, failures_since_success long"
 START = (0, 0.0, None, None)
 
 
-def settle(state: tuple, attempts: pd.DataFrame) -> tuple[tuple, None]:
-    """The fold with later attempts added."""
-    uses, gain, _, since = state
-    n = len(attempts)
-    success = attempts["success"].to_numpy(bool)
-    added = S.EMA_ALPHA * float((KEEP ** np.arange(n - 1, -1, -1.0))[success].sum())
-    if success.any():
-        since = n - 1 - int(np.flatnonzero(success)[-1])
-    elif since is not None:
-        since += n
-    return (uses + n, gain * KEEP**n + added, int(attempts["t"].iloc[-1]), since), None
-
-
-def tell(key, late: int, _settled, _pending, state: tuple) -> pd.DataFrame:
-    uses, gain, last, since = state
-    row = {"name": [key], "uses": [uses], "gain": [gain], "last_t": [last], "failures_since_success": [since], "late": [late]}
-    return pd.DataFrame(row).astype({"last_t": "Int64", "failures_since_success": "Int64"})
+def settle(states: list[tuple], attempts: pd.DataFrame, starts: np.ndarray) -> tuple[list[tuple], None]:
+    """The folds with later attempts added."""
+    success, t = attempts["success"].to_numpy(bool), attempts["t"].to_numpy()
+    ends = np.append(starts[1:], len(t))
+    n = ends - starts
+    place = np.arange(len(t))
+    added = S.EMA_ALPHA * np.add.reduceat(np.where(success, KEEP ** (np.repeat(ends, n) - 1.0 - place), 0.0), starts)
+    last_ok = np.maximum.reduceat(np.where(success, place, -1), starts)
+    after = []
+    for (uses, gain, _, since), new, more, ok, end in zip(states, n.tolist(), added.tolist(), last_ok.tolist(), ends.tolist(), strict=True):
+        since = end - 1 - ok if ok >= 0 else None if since is None else since + new
+        after.append((uses + new, gain * KEEP**new + more, int(t[end - 1]), since))
+    return after, None
+
+
+def tell(names: list, late: np.ndarray, states: list[tuple], _parts: list) -> pd.DataFrame:
+    uses, gain, last, since = zip(*states, strict=True)
+    rows = {"name": pd.Series(names, dtype=object), "uses": uses, "gain": gain, "last_t": last, "failures_since_success": since, "late": late}
+    return pd.DataFrame(rows).astype({"last_t": "Int64", "failures_since_success": "Int64"})
 
 
 def read_usage(spark: SparkSession, path: str, name_type: str = "string") -> DataFrame:

@@ -150,3 +150,14 @@ def test_manifest_stream(spark, tmp_path):
     assert run() == ["three_a", "two_a"]
     assert run() == ["three_a", "two_a"]
     assert reloads == [["failed", "loaded"], ["loaded"]]
+
+
+def test_many_names_of_one_bucket(spark, tmp_path, monkeypatch):
+    """What a micro-batch brings for a bucket is settled at once, each name for itself; rows without a name are one too."""
+    from signpost.streaming import ordered
+
+    monkeypatch.setattr(ordered, "BUCKETS", 1)
+    log = attempts(spark, [(f"k{i % 7}" if i % 9 else None, i, i % 4 > 0) for i in range(60)])
+    shuffled(log, f"{tmp_path}/log", 2, 3)
+    stream_usage(stream(spark, f"{tmp_path}/log", ATTEMPT), f"{tmp_path}/usage", f"{tmp_path}/cp", None, None).awaitTermination()
+    assert usage_of(read_usage(spark, f"{tmp_path}/usage")) == usage_of(U.fold_usage(log))
