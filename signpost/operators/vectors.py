@@ -25,7 +25,8 @@ from signpost.session import shared_folder
 
 ROWS_PER_BLOCK = 32_768
 QUERIES_PER_BLOCK = 8_192
-CELLS_AT_ONCE = 8_000_000
+#: Cosines of a task worked on at once: 8 MB, and as much again for what is derived from them.
+CELLS_AT_ONCE = 1_000_000
 #: Chosen categories up to which the scan of the vectors is given their list; more are joined to it.
 FEW_CATEGORIES = 1_000
 COSINE_DIGITS = 12  # scores closer than this tie and fall back to the name
@@ -78,7 +79,8 @@ def _unit_rows(vectors: pd.Series) -> np.ndarray:
     m = np.vstack(vectors.to_numpy()).astype(np.float64)
     norms = np.sqrt(np.einsum("ij,ij->i", m, m))
     norms[norms == 0] = np.inf  # a zero vector scores 0 against everything
-    return m / norms[:, None]
+    m /= norms[:, None]
+    return m
 
 
 def _block_top_k(k: int):
@@ -91,8 +93,9 @@ def _block_top_k(k: int):
         step = max(1, CELLS_AT_ONCE // len(rows))
         out_query, out_row, out_score = [], [], []
         for start in range(0, len(queries), step):
-            cos = np.round(wanted[start : start + step] @ unit.T, COSINE_DIGITS)
-            floor = -np.partition(-cos, best - 1, axis=1)[:, best - 1]
+            cos = wanted[start : start + step] @ unit.T
+            np.round(cos, COSINE_DIGITS, out=cos)
+            floor = np.partition(cos, len(rows) - best, axis=1)[:, len(rows) - best]
             for i, line in enumerate(cos):
                 # everything at or above the k-th score; rows are in name order, so a stable sort breaks ties by name
                 keep = np.flatnonzero(line >= floor[i])

@@ -98,3 +98,21 @@ def test_cells_follow_the_postings(spark, monkeypatch):
     postings = spark.createDataFrame([("a", "t", 0.5)], "name string, term string, part double")
     rows = B.cells(1, terms, postings, 1, n_postings=2_000)
     assert rows.select("block").distinct().count() == 20 and rows.rdd.getNumPartitions() == 20
+
+
+def test_vector_blocks_hold_few_cosines():
+    """500 queries against 20,000 rows of a block: the cosines worked on at once stay at some megabytes."""
+    import tracemalloc
+
+    import pandas as pd
+
+    from signpost.operators.vectors import _block_top_k
+
+    rng = np.random.default_rng(5)
+    rows = pd.DataFrame({"name": [f"n{i:05d}" for i in range(20_000)], "vec": list(rng.normal(size=(20_000, 4)))})
+    queries = pd.DataFrame({"query_id": np.arange(500), "query_vec": list(rng.normal(size=(500, 4)))})
+    tracemalloc.start()
+    found = _block_top_k(3)(None, queries, rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 1500 and peak < 60e6
