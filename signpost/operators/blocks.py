@@ -25,7 +25,7 @@ from signpost.session import shuffle_partitions
 
 ENTRIES_PER_BLOCK = 50_000
 #: Postings of a block, on average: what a cell holds at once.
-POSTINGS_PER_BLOCK = 2_000_000
+POSTINGS_PER_BLOCK = 500_000
 #: Tasks that the cells are dealt to, at most; beyond them a task takes several cells, one after another.
 MOST_TASKS = 10_000
 QUERIES_PER_BATCH = 4_096

@@ -27,7 +27,7 @@ NO_TERM = ""
 #: Terms of a batch that travel with the tasks; more are joined to the tokens.
 FEW_TERMS = 100_000
 #: Postings that one task puts together where names may repeat.
-POSTINGS_PER_TASK = 4_000_000
+POSTINGS_PER_TASK = 2_000_000
 
 
 @dataclass(frozen=True)
