@@ -134,9 +134,10 @@ def explode_manifests(files: DataFrame) -> DataFrame:
 def stage_entries(files: DataFrame, folder: str) -> DataFrame:
     """Parse once into a table under `folder`, for the several joins a load makes.
 
-    Read back, the entries also have a known size, by which Spark chooses how to join them.
+    Read back, the entries also have a known size, by which Spark chooses how to join them. They are dealt out anew by
+    their size before: a task of a few small manifests would else leave a file of its own, and every join open them all.
     """
-    explode_manifests(files).write.mode("overwrite").parquet(folder)
+    explode_manifests(files).hint("rebalance").write.mode("overwrite").parquet(folder)
     return files.sparkSession.read.parquet(folder)
 
 

@@ -209,3 +209,12 @@ def test_manifest_folder_is_written_by_many_tasks(spark, tmp_path):
     folder = supplier_directory(spark, str(tmp_path)).removeprefix("file:")
     files = [f.name for f in Path(folder).glob("*.json")]
     assert len(files) == 50 and len({f.split("-")[1] for f in files}) > 1
+
+
+def test_staged_entries_are_few_files(spark, tmp_path):
+    text = '{"provider": "p%d", "tools": [{"name": "n%d", "description": "d"}]}'
+    rows = [(f"/{i:03d}", text % (i, i)) for i in range(60)]
+    files = spark.createDataFrame(rows, M.FILES).repartition(30)
+    staged = M.stage_entries(files, str(tmp_path / "staged"))
+    assert {r.name for r in staged.collect()} == {f"n{i}" for i in range(60)}
+    assert len(staged.inputFiles()) <= 4
