@@ -54,7 +54,14 @@ def _hashed(docs: DataFrame, key: str, source: str, size: Column) -> DataFrame:
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
     )
     order = F.md5(F.concat_ws(":", F.col("key").cast("string"), F.col("size").cast("string")).cast("binary"))
-    return d.withColumn("order_hash", order).withColumn("bucket", F.substring("order_hash", 1, BUCKET_DIGITS))
+    d = d.withColumn("order_hash", order).withColumn("bucket", F.substring("order_hash", 1, BUCKET_DIGITS))
+    # one key of bucket and source, a null source included, for the window and the join alike
+    return d.withColumn("slot", _slot(F.col("bucket"), F.col("source")))
+
+
+def _slot(bucket: Column, source: Column) -> Column:
+    """Text that no other bucket or source has: buckets are of one length, and a source stands after a sign."""
+    return F.concat(bucket, F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("")))
 
 
 def source_targets(sizes: DataFrame, schedule: DataFrame, share: float, max_repeats: float) -> DataFrame:
@@ -144,11 +151,11 @@ def plan_mix(
     )
     t, b = targets.alias("t"), before.alias("b")
     placed = b.join(t, F.expr("b.source <=> t.source")).select("b.*", "source_size", "target", "total_weight", "segments")
-    inside = (
-        Window.partitionBy("source", "bucket").orderBy("order_hash", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    h, q = hashed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("h"), placed.alias("q")
-    joined = h.join(q, F.expr("h.source <=> q.source and h.bucket = q.bucket")).select(
+    inside = Window.partitionBy("slot").orderBy("order_hash", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    h = hashed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("h")
+    # whole rows are dealt out once, by slot
+    q = placed.withColumn("slot", _slot(F.col("bucket"), F.col("source"))).alias("q")
+    joined = h.join(q, F.col("h.slot") == F.col("q.slot")).select(
         "h.row", "h.key", "h.source", "h.size", "q.source_size", "q.target", "q.total_weight", "q.segments",
         (F.col("q.bucket_before") + F.col("h.inside")).alias("offset"),
     )

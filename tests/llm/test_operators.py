@@ -68,6 +68,26 @@ def test_mix_reaches_targets_and_orders(spark):
     assert abs(sums.target.sum() - 1.5 * both["size"].sum()) < 1
 
 
+def test_mix_deals_rows_out_once(spark):
+    rows = [(i, "a b c", None if i % 3 == 0 else f"s{i % 3}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = mixing.plan_mix(docs)
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        got = {r.key: r.copies for r in plan.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    # by slot, once for the rows and once for the buckets; not by bucket for the window and again for the join
+    assert len(re.findall(r"Exchange hashpartitioning\(slot", text)) == 2
+    # 1.5 times 90 words: s1 gets 60, its limit, s2 and the null source share 75 as 1 to 2; copies of 3 words
+    taken = Counter()
+    for i, copies in got.items():
+        taken[i % 3] += copies
+    assert len(got) == 30 and taken[1] == 20 and abs(taken[2] - 25 / 3) < 1 and abs(taken[0] - 50 / 3) < 1
+
+
 def test_mix_edges(spark, edges):
     rows = mixing.plan_mix(edges).select("key", "source", "size", "copies", "target", "source_size").collect()
     assert len(rows) == len(EDGES)
