@@ -116,3 +116,25 @@ def test_vector_blocks_hold_few_cosines():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(found) == 1500 and peak < 60e6
+
+
+def test_blocks_are_fewer_where_batches_give_cells(spark, monkeypatch):
+    monkeypatch.setattr(B, "QUERIES_PER_BATCH", 5)
+    terms = spark.createDataFrame([(i, "t", 1.0) for i in range(20)], "query_id long, term string, weight double")
+    postings = spark.createDataFrame([(f"n{i}", "t", 1.0) for i in range(9)], "name string, term string, part double")
+    rows = B.cells(20, terms, postings, 9)
+    # 4 batches are 4 cells for the 4 shuffle partitions: one block does, so no term is copied
+    assert rows.filter(F.col("kind") == B.TERM).count() == 20
+    got = {(r.query_id, r["name"]): r.score for r in B.keyword_scores(rows, "bigint").collect()}
+    assert got == {(q, f"n{e}"): 1.0 for q in range(20) for e in range(9)}
+
+
+def test_a_large_vocabulary_is_not_broadcast(spark, monkeypatch):
+    catalog = entries(spark, [{"name": f"e{i}", "description": "one two two", "triggers": []} for i in range(6)] + [{"name": None, "description": "", "triggers": []}])
+    words = spark.createDataFrame([("two",), ("three",)], "term string")
+    index = L.narrow_text_index(catalog, words)
+    plan = index.postings._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    rows = {(r["name"], r.term, r.tf) for r in index.postings.collect() if r["name"]}
+    assert rows == {(f"e{i}", t, n) for i in range(6) for t, n in (("two", 2), (L.NO_TERM, 1))}
+    assert index.corpus.first().n == 7
