@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signpost.operators.lexical import NO_TERM, TextIndex, marked_token_rows
+from signpost.operators.lexical import NO_TERM, TextIndex, by_name, marked_token_rows
 from signpost.operators.vectors import VectorIndex, build_vector_index
 
 
@@ -13,10 +13,10 @@ def write_text_index(catalog: DataFrame, path: str) -> TextIndex:
     """Postings sorted by term within each file, so a term's row groups are found by their min/max statistics.
 
     The text is read once: entries without tokens are in the postings too, by their NO_TERM row, so that term and
-    corpus figures come from what was written.
+    corpus figures come from what was written. Texts are exchanged by name, not their terms, which take some times as much.
     """
     spark = catalog.sparkSession
-    counted = marked_token_rows(catalog).groupBy("name", "doc_len", "term").agg(F.count("*").alias("tf"))
+    counted = marked_token_rows(by_name(catalog.select("name", "search_text"))).groupBy("name", "doc_len", "term").agg(F.count("*").alias("tf"))
     counted.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
     postings = spark.read.parquet(f"{path}/postings")
     entry = F.col("term") == NO_TERM
