@@ -241,3 +241,16 @@ def test_source_weights_scale_the_score(spark):
     plain = route(catalog, ask(spark, "prune roses"), as_of=AS_OF).first().score
     scaled = route(catalog, ask(spark, "prune roses"), as_of=AS_OF, weights={"local": 0.8}).first().score
     assert scaled == pytest.approx(plain * 0.8, abs=0.011)
+
+
+def test_stored_postings_of_a_name_lie_together(spark, tmp_path):
+    rows = [{"name": f"n{i % 20}", "description": "one two two three", "triggers": []} for i in range(40)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = write_text_index(entries(spark, rows), str(tmp_path / "together"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = index.postings.select("name", F.input_file_name().alias("file")).distinct()
+    assert files.count() == 20
+    assert {r.tf for r in index.postings.filter("term = 'two'").collect()} == {4}
+    assert index.terms.filter("term = 'two'").first().df == 20
