@@ -131,7 +131,7 @@ def test_blocks_are_fewer_where_batches_give_cells(spark, monkeypatch):
 
 def test_a_large_vocabulary_is_not_broadcast(spark, monkeypatch):
     catalog = entries(spark, [{"name": f"e{i}", "description": "one two two", "triggers": []} for i in range(6)] + [{"name": None, "description": "", "triggers": []}])
-    words = spark.createDataFrame([("two",), ("three",)], "term string")
+    words = spark.range(2).select(F.when(F.col("id") == 0, "two").otherwise("three").alias("term"))
     index = L.narrow_text_index(catalog, words)
     plan = index.postings._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
