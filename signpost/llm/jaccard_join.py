@@ -17,10 +17,12 @@ up in that and the next smaller one.
    the class of largest slack; any other pair must share enough of its differences, so only the rarest of them are
    indexed. No pair of a group is formed but those that share one of these.
 4. Signatures that classes of several groups share give candidates: all pairs of different groups where few classes hold
-   the signature. A pair that shares none of these shares one that many hold, so both are crowded.
-5. Crowded classes are partitioned anew: segments are indexed with all their one-deletion neighbours, the candidates behind
-   each segment are counted, and each class allots its own segments at the least cost, so that it avoids those it shares
-   with a large group. Candidates of other groups are verified exactly.
+   the signature beside its largest group, which are at most as many for each holder. Other signatures are crowded.
+5. A class that has enough segments with a shingle outside crowded signatures shares one of these with each partner. Classes
+   with fewer are short and are partitioned anew: segments are indexed with all their one-deletion neighbours, the candidates
+   behind each segment are counted, and each class allots its own segments at the least cost, so that it avoids those it
+   shares with a large group. A pair that shares crowded signatures alone is short on both sides. Candidates of other groups
+   are verified exactly.
 
 Shingles, classes and signatures are 64-bit hashes; apart from their collisions the join is exact.
 
@@ -45,7 +47,7 @@ from signpost.llm.components import components
 #: Similarity as a fraction, so that every bound is a whole number.
 NUMERATOR, DENOMINATOR = 9, 10
 SHINGLE = 3
-#: Classes behind a signature up to which all its pairs of different groups are candidates.
+#: Classes behind a signature, beside those of its largest group, up to which all its pairs of different groups are candidates.
 CROWD = 32
 #: Rows per output batch of the signature pass, in documents.
 SLICE = 256
@@ -192,18 +194,24 @@ def _token_rows(k: int):
 
 
 def _neighbour_rows(bands: Bands):
-    """Segments of a class: index or probe, scheme, segment, signature, one-deletion signatures."""
+    """Segments of a class in the schemes where it is short: index or probe, scheme, segment, signature, one-deletion
+    signatures. `crowded` are those of its signatures that are crowded."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with np.errstate(over="ignore"):
             for b in batches:
-                for fp, n, tokens in zip(b["fp"], b["n"], b["tokens"], strict=True):
+                for fp, n, tokens, crowded in zip(b["fp"], b["n"], b["tokens"], b["crowded"], strict=True):
                     tokens = np.asarray(tokens).view(np.uint64)
                     for role, scheme in enumerate(bands.schemes(n)):
                         m = bands.segments[scheme]
                         if m == 1:
                             continue
                         seg, sums = segment_sums(tokens, m)
+                        sigs = signatures(sums, scheme, np.arange(m))
+                        full = np.bincount(seg, minlength=m) > 0
+                        shut = np.isin(sigs, np.asarray(crowded))
+                        if not shut.any() or (full & ~shut).sum() >= bands.needed[scheme]:
+                            continue
                         less = sums[seg] - mix(tokens ^ np.uint64(0x5851F42D4C957F2D))
                         gone = signatures(less, scheme, seg)
                         order = np.argsort(seg, kind="stable")
@@ -216,7 +224,7 @@ def _neighbour_rows(bands: Bands):
                                 "own": role == 0,
                                 "scheme": scheme,
                                 "seg": np.arange(m, dtype=np.int32),
-                                "sig": signatures(sums, scheme, np.arange(m)),
+                                "sig": sigs,
                                 "gone": [gone[cuts[i] : cuts[i + 1]] for i in range(m)],
                             }
                         )
@@ -284,8 +292,11 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _allotted_candidates(crowded: DataFrame, tokens: DataFrame, labels: DataFrame, bands: Bands) -> DataFrame:
-    """Pairs (a, b) of these classes, of different components, that meet in an allotted segment."""
-    rows = crowded.join(tokens, "fp").select("fp", "n", "tokens")
+    """Pairs (a, b) of these classes (sig, fp, n), of different components and both short of segments beside these signatures,
+    that meet in an allotted segment."""
+    # at most one signature for each segment of a class
+    by_class = crowded.groupBy("fp", "n").agg(F.collect_list("sig").alias("crowded"))
+    rows = by_class.join(tokens, "fp").select("fp", "n", "tokens", "crowded")
     schema = "fp long, n int, own boolean, scheme int, seg int, sig long, gone array<long>"
     segs = written(_labelled(rows.mapInPandas(_neighbour_rows(bands), schema), labels), "class-segments")
     equal = segs.select("fp", "n", "comp", "own", "scheme", "seg", "sig", F.lit(False).alias("less"))
@@ -395,22 +406,25 @@ def _group_candidates(every: DataFrame, labels: DataFrame, num: int, den: int) -
 
 
 def _open_rows(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """sig, fp, n, comp and holders (classes of the signature), for signatures that several components share."""
+    """sig, fp, n, comp, main (largest component of the signature) and rest (its classes of others), for signatures that
+    several components share."""
     rows = _labelled(shared, labels)
-    counts = rows.groupBy("sig").agg(
-        F.count(F.lit(1)).alias("holders"), F.min("comp").alias("x"), F.max("comp").alias("y")
-    )
-    return rows.join(counts.where("x <> y").select("sig", "holders"), "sig")
+    parts = rows.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("held"))
+    counts = parts.groupBy("sig").agg(F.sum("held").alias("holders"), F.max(F.struct("held", "comp")).alias("top"))
+    several = counts.select("sig", F.col("top.comp").alias("main"), (F.col("holders") - F.col("top.held")).alias("rest"))
+    return rows.join(several.where("rest > 0"), "sig")
 
 
 def _small_group_candidates(rows: DataFrame, bands: Bands) -> DataFrame:
-    """Pairs (a, b) of different components that share a signature of at most CROWD classes."""
-    few = rows.where(F.col("holders") <= CROWD).select("sig", "fp", "n", "comp")
-    x, y = few.alias("x"), few.alias("y")
+    """Pairs (a, b) of different components that share a signature of at most CROWD classes beside its largest component."""
+    few = rows.where(F.col("rest") <= CROWD).select("sig", "fp", "n", "comp", "main")
+    # at most CROWD rows of a signature on the right
+    x, y = few.alias("x"), few.where("comp <> main").alias("y")
     partners = F.expr(
-        f"x.sig = y.sig and x.fp > y.fp and x.comp <> y.comp and least(x.n, y.n) * {bands.den} >= greatest(x.n, y.n) * {bands.num}"
+        f"""x.sig = y.sig and x.comp <> y.comp and (x.comp = x.main or x.fp > y.fp)
+        and least(x.n, y.n) * {bands.den} >= greatest(x.n, y.n) * {bands.num}"""
     )
-    return x.join(y, partners).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
+    return x.join(y, partners).select(F.greatest("x.fp", "y.fp").alias("a"), F.least("x.fp", "y.fp").alias("b")).distinct()
 
 
 def class_links(
@@ -434,7 +448,7 @@ def class_links(
     links = written(links.unionAll(_slack_links(every, num, den)), "star-links")
     within = _group_candidates(every, written(components(links), "labels"), num, den)
     rows = written(_open_rows(shared, near), "open-rows")
-    crowded = rows.where(F.col("holders") > CROWD).select("fp", "n").distinct()
+    crowded = rows.where(F.col("rest") > CROWD).select("sig", "fp", "n")
     pairs = within.unionAll(_small_group_candidates(rows, bands)).unionAll(_allotted_candidates(crowded, tokens, near, bands))
     more = _compared(written(pairs.distinct(), "candidates"), tokens).where(_similar(num, den)).select("a", "b")
     links = written(links.unionAll(more), "all-links")

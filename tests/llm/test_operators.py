@@ -352,6 +352,64 @@ def test_jaccard_copies_too_far_apart(spark, monkeypatch):
     assert pairs["candidates"].count() == 0
 
 
+def test_jaccard_group_with_strangers(spark, monkeypatch):
+    """Signatures that a large group and a few strangers share are settled without one-deletion neighbours."""
+    import random
+
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for i in range(70):
+        w = list(base)
+        for at in rng.sample(range(300), 2):
+            w[at] = f"z{i}_{at}"
+        texts.append((i, " ".join(w)))
+    texts += [(100 + i, " ".join([*base[:160], *(f"s{i}_{at}" for at in range(140))])) for i in range(12)]
+    tables = {}
+
+    def kept(df, name, **options):
+        tables[name] = table = written(df, name, **options)
+        return table
+
+    written = jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", kept)
+    got = {tuple(r) for r in jaccard_join.jaccard_components(small(spark, texts), 4, 5, 5).collect()}
+    assert got == brute_components(texts, 5, 4, 5)
+    opened = tables["open-rows"].groupBy("sig").count().where("count > 32")
+    assert opened.count() > 0 and tables["class-segments"].count() == 0
+
+
+@pytest.mark.parametrize("crowd", [0, 2, 6])
+def test_jaccard_short_classes(spark, monkeypatch, crowd):
+    """Without groups, pairs are found through signatures that are not crowded, or on both sides by allotment."""
+    import random
+
+    rng = random.Random(crowd)
+    passage = [f"w{i}" for i in range(70)]
+    texts = []
+    for i in range(40):
+        own = [f"o{i}_{at}" for at in range(rng.choice([6, 25, 60]))]
+        for copy in range(3):
+            w = passage[: rng.choice([40, 70])] + own
+            for at in rng.sample(range(len(w)), copy):
+                w[at] = f"x{i}_{copy}_{at}"
+            texts.append((3 * i + copy, " ".join(w)))
+    tables = {}
+
+    def kept(df, name, **options):
+        tables[name] = table = written(df, name, **options)
+        return table
+
+    written = jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", kept)
+    monkeypatch.setattr(jaccard_join, "CROWD", crowd)
+    monkeypatch.setattr(jaccard_join, "_stars", lambda shared: shared.selectExpr("fp as a", "fp as b").where("false"))
+    got = {tuple(r) for r in jaccard_join.jaccard_components(small(spark, texts), 4, 5, 3).collect()}
+    assert got == brute_components(texts, 3, 4, 5)
+    short = tables["class-segments"].select("fp").distinct().count()
+    assert 0 < short < len(texts) if crowd else short > 0
+
+
 def test_jaccard_edges(spark, edges):
     got = sorted((r.doc_id or 99, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(edges).collect())
     assert got == [(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (4, 1, 4), (5, 1, 5), (99, 0, None), (99, 1, None)]
