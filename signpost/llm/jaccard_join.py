@@ -23,6 +23,9 @@ up in that and the next smaller one.
    behind each segment are counted, and each class allots its own segments at the least cost, so that it avoids those it
    shares with a large group. A pair that shares crowded signatures alone is short on both sides. Candidates of other groups
    are verified exactly.
+6. Before a pair is verified its sketches are compared: the parities of the counts of shingles in some cells, two to four for
+   each shingle. Parities that differ are no more than shingles that differ, so no pair that links is lost; whole sets, some
+   twenty times as long, are read only for the classes of pairs that remain.
 
 Shingles, classes and signatures are 64-bit hashes; apart from their collisions the join is exact.
 
@@ -134,13 +137,44 @@ def signatures(sums: np.ndarray, scheme: int, seg: np.ndarray) -> np.ndarray:
         return mix(sums + place).view(np.int64)
 
 
-def _set_rows(k: int):
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parity of the number of tokens in each cell; cells are a power of two, so that a sketch folds to a shorter one."""
+    cells = max(64, 1 << (2 * len(tokens) - 1).bit_length())
+    with np.errstate(over="ignore"):
+        place = mix(tokens ^ np.uint64(0xA0761D6478BD642F)) & np.uint64(cells - 1)
+    return np.packbits(np.bincount(place.astype(np.int64), minlength=cells) & 1, bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the size of the symmetric difference of two sets, from their sketches."""
+    bits = 8 * min(len(a), len(b))
+    x = int.from_bytes(a, "little") ^ int.from_bytes(b, "little")
+    width = 8 * max(len(a), len(b))
+    while width > bits:
+        width //= 2
+        x = (x >> width) ^ (x & ((1 << width) - 1))
+    return x.bit_count()
+
+
+def spare_segments(tokens: np.ndarray, bands: Bands) -> int:
+    """Segments with a shingle beyond those needed, in the scheme where they are fewest."""
+    spare = []
+    for scheme in bands.schemes(len(tokens)) if len(tokens) else []:
+        m = bands.segments[scheme]
+        if m > 1:
+            seg = (tokens >> np.uint64(20)) % np.uint64(m)
+            spare.append(int((np.bincount(seg.astype(np.int64), minlength=m) > 0).sum()) - bands.needed[scheme])
+    return min(spare, default=0)
+
+
+def _set_rows(bands: Bands, k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with np.errstate(over="ignore"):
             for b in batches:
-                sets = [(len(t), fingerprint(t)) for t in (shingle_set(text, k) for text in b["text"])]
-                n, fp = zip(*sets, strict=True) if sets else ((), ())
-                yield pd.DataFrame({"doc_id": b["doc_id"].array, "version": b["version"].array, "n": n, "fp": fp})
+                sets = [(len(t), fingerprint(t), spare_segments(t, bands), sketch(t)) for t in (shingle_set(text, k) for text in b["text"])]
+                n, fp, spare, bits = zip(*sets, strict=True) if sets else ((), (), (), ())
+                ids = {"doc_id": b["doc_id"].array, "version": b["version"].array}
+                yield pd.DataFrame(ids | {"n": n, "fp": fp, "spare": spare, "sketch": bits})
 
     return run
 
@@ -183,12 +217,27 @@ def _signature_rows(bands: Bands, k: int):
 
 
 def _token_rows(k: int):
+    """Sets of the texts that have the fingerprint `fp`."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with np.errstate(over="ignore"):
             for b in batches:
                 for at in range(0, len(b), SLICE):
                     sets = [shingle_set(t, k) for t in b["text"].iloc[at : at + SLICE]]
-                    yield pd.DataFrame({"fp": [fingerprint(s) for s in sets], "tokens": [s.view(np.int64) for s in sets]})
+                    held = [(fp, s.view(np.int64)) for fp, s in zip(b["fp"].iloc[at : at + SLICE], sets, strict=True) if fingerprint(s) == fp]
+                    yield pd.DataFrame({"fp": [fp for fp, _ in held], "tokens": [s for _, s in held]})
+
+    return run
+
+
+def _likely_rows(num: int, den: int):
+    """Pairs whose sketches leave a similarity of num / den possible."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            apart = [least_difference(x, y) for x, y in zip(b["sa"], b["sb"], strict=True)]
+            kept = np.array(apart, np.int64) * (den + num) <= b["sizes"].to_numpy() * (den - num)
+            yield b.loc[kept, ["a", "b"]]
 
     return run
 
@@ -269,19 +318,38 @@ def _compared(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     )
 
 
+def _likely(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that may have a similarity of num / den or more, by the sketches of their classes."""
+    of = lambda x: classes.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    rows = pairs.join(of("a"), "a").join(of("b"), "b")
+    rows = rows.select("a", "b", "sa", "sb", (F.col("na").cast("long") + F.col("nb")).alias("sizes"))
+    return rows.mapInPandas(_likely_rows(num, den), "a long, b long")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("fp")).unionAll(pairs.select(F.col("b").alias("fp"))).distinct()
+
+
 def _similar(num: int, den: int) -> Column:
     return F.col("shared") * den >= (F.col("sizes") - F.col("shared")) * num
 
 
 def _tokens_of(classes: DataFrame, sets: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """Whole sets of the classes (column fp), read again from one text each."""
+    key = lambda c: [F.col(c).isNull().alias("no_id"), F.coalesce(c, F.lit(0)).alias("id")]
     first = F.min(F.struct("version", F.col("doc_id").alias("holder"))).alias("first")
-    holders = sets.join(classes, "fp", "left_semi").groupBy("fp").agg(first).select("fp", "first.*")
-    own = docs.select("doc_id", F.xxhash64("text").alias("own_version"), "text")
-    same = (F.col("own_version") == F.col("version")) & F.col("doc_id").eqNullSafe(F.col("holder"))
-    held = own.join(holders.select("version", "holder").distinct(), same, "left_semi")
-    rows = held.select("text").mapInPandas(_token_rows(k), "fp long, tokens array<long>").join(holders.select("fp"), "fp", "left_semi")
-    return written(rows.dropDuplicates(["fp"]), "class-tokens")
+    holders = sets.select("fp", "version", "doc_id").join(classes, "fp", "left_semi").groupBy("fp").agg(first)
+    holders = holders.select("fp", "first.version", *key("first.holder"))
+    own = docs.select(F.xxhash64("text").alias("version"), *key("doc_id"), "text")
+    # rows that come twice are told apart by nothing: the texts are exchanged once, their sets not at all
+    rows = own.join(holders, ["version", "no_id", "id"]).dropDuplicates(["version", "no_id", "id", "fp"])
+    return written(rows.select("fp", "text").mapInPandas(_token_rows(k), "fp long, tokens array<long>"), "class-tokens")
+
+
+def _with_tokens(known: DataFrame, classes: DataFrame, sets: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """The known sets and those of further classes."""
+    new = written(classes.join(known.select("fp"), "fp", "left_anti"), "further-classes")
+    return known if new.isEmpty() else known.unionAll(_tokens_of(new, sets, docs, k))
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -291,12 +359,18 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(named, "fp", "left").withColumn("comp", F.coalesce("known", "fp")).drop("known")
 
 
-def _allotted_candidates(crowded: DataFrame, tokens: DataFrame, labels: DataFrame, bands: Bands) -> DataFrame:
-    """Pairs (a, b) of these classes (sig, fp, n), of different components and both short of segments beside these signatures,
-    that meet in an allotted segment."""
+def _short(crowded: DataFrame, classes: DataFrame) -> DataFrame:
+    """fp, n and crowded signatures of classes (sig, fp, n) that have more of these than segments to spare; others have
+    enough segments without."""
     # at most one signature for each segment of a class
     by_class = crowded.groupBy("fp", "n").agg(F.collect_list("sig").alias("crowded"))
-    rows = by_class.join(tokens, "fp").select("fp", "n", "tokens", "crowded")
+    return by_class.join(classes.select("fp", "spare"), "fp").where(F.size("crowded") > F.col("spare")).drop("spare")
+
+
+def _allotted_candidates(short: DataFrame, tokens: DataFrame, labels: DataFrame, bands: Bands) -> DataFrame:
+    """Pairs (a, b) of these classes (fp, n, crowded), of different components and both short of segments beside their crowded
+    signatures, that meet in an allotted segment."""
+    rows = short.join(tokens, "fp").select("fp", "n", "tokens", "crowded")
     schema = "fp long, n int, own boolean, scheme int, seg int, sig long, gone array<long>"
     segs = written(_labelled(rows.mapInPandas(_neighbour_rows(bands), schema), labels), "class-segments")
     equal = segs.select("fp", "n", "comp", "own", "scheme", "seg", "sig", F.lit(False).alias("less"))
@@ -433,24 +507,31 @@ def class_links(
     """(doc_id, version, n, fp) per document, version being the hash of its text, and (node, component) of linked classes."""
     bands = Bands(num, den)
     held = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
-    sets = written(held.mapInPandas(_set_rows(shingle), "doc_id long, version long, n int, fp long"), "shingle-sets")
+    schema = "doc_id long, version long, n int, fp long, spare int, sketch binary"
+    sets = written(held.mapInPandas(_set_rows(bands, shingle), schema), "shingle-sets")
     rows = docs.select("text").mapInPandas(_signature_rows(bands, shingle), "sig long, fp long")
     # one exchange: the least and the largest class of a signature stand beside its rows
     holders = Window.partitionBy("sig")
     several = rows.select("sig", "fp", F.min("fp").over(holders).alias("x"), F.max("fp").over(holders).alias("y"))
     several = written(several.where("x <> y").select("sig", "fp").distinct(), "several-holders")
-    shared = written(several.join(sets.select("fp", "n").distinct(), "fp").select("sig", "fp", "n"), "shared-signatures")
-    tokens = _tokens_of(shared.select("fp").distinct(), sets, docs, shingle)
-    stars = written(_compared(written(_stars(shared), "stars"), tokens), "compared-stars")
+    whole = sets.select("fp", "n", "spare", "sketch").join(several.select("fp").distinct(), "fp", "left_semi")
+    classes = written(whole.dropDuplicates(["fp"]), "classes")
+    shared = written(several.join(classes.select("fp", "n"), "fp").select("sig", "fp", "n"), "shared-signatures")
+    stars = written(_likely(written(_stars(shared), "stars"), classes, num, 2 * den), "likely-stars")
+    tokens = _tokens_of(_ends(stars), sets, docs, shingle)
+    stars = written(_compared(stars, tokens), "compared-stars")
     links = stars.where(_similar(num, den)).select("a", "b")
     near = written(components(stars.where(_similar(num, 2 * den)).select("a", "b")), "groups")
     every = _group_differences(near, written(components(links), "labels"), tokens, num, den)
     links = written(links.unionAll(_slack_links(every, num, den)), "star-links")
     within = _group_candidates(every, written(components(links), "labels"), num, den)
     rows = written(_open_rows(shared, near), "open-rows")
-    crowded = rows.where(F.col("rest") > CROWD).select("sig", "fp", "n")
-    pairs = within.unionAll(_small_group_candidates(rows, bands)).unionAll(_allotted_candidates(crowded, tokens, near, bands))
-    more = _compared(written(pairs.distinct(), "candidates"), tokens).where(_similar(num, den)).select("a", "b")
+    short = written(_short(rows.where(F.col("rest") > CROWD).select("sig", "fp", "n"), classes), "short-classes")
+    tokens = _with_tokens(tokens, short.select("fp"), sets, docs, shingle)
+    pairs = within.unionAll(_small_group_candidates(rows, bands)).unionAll(_allotted_candidates(short, tokens, near, bands))
+    pairs = written(_likely(written(pairs.distinct(), "candidates"), classes, num, den), "likely-candidates")
+    tokens = _with_tokens(tokens, _ends(pairs), sets, docs, shingle)
+    more = _compared(pairs, tokens).where(_similar(num, den)).select("a", "b")
     links = written(links.unionAll(more), "all-links")
     return sets.select("doc_id", "version", "n", "fp"), written(components(links), "labels")
 
@@ -482,9 +563,11 @@ def one_per_component(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINA
     )
     wordless = F.size(words(F.col("text"))) == 0
     every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    own = docs.select(every.alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_version"), wordless.alias("wordless"))
-    same = F.col("own_id").eqNullSafe(F.col("head_id")) & (F.col("own_version") == F.col("head_version"))
-    kept = own.where("not wordless").join(heads, same, "left_semi")
-    one = kept.groupBy("own_id", "own_version").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    # an id without null in two columns: join and aggregation deal rows alike, so that they are exchanged once
+    key = lambda c: [F.col(c).isNull().alias("no_id"), F.coalesce(c, F.lit(0)).alias("id")]
+    own = docs.select(every.alias("row"), *key("doc_id"), F.xxhash64("text").alias("version"), wordless.alias("wordless"))
+    heads = heads.select(*key("head_id"), F.col("head_version").alias("version"))
+    kept = own.where("not wordless").join(heads, ["no_id", "id", "version"], "left_semi")
+    one = kept.groupBy("no_id", "id", "version").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
     left = one.select("row").unionAll(own.where("wordless").select("row"))
     return left.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
