@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from signpost.session import write_parquet
+
 #: A word is a longest run of characters other than the six ASCII white space ones.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -32,21 +34,6 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
-#: Spark's setting by which an execution that has ended drops what it exchanged.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: computed once, and there whatever executor is lost.
-
-    What was exchanged for them goes with the write; else it stays until the driver happens to collect its garbage.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.options(**options).parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    """The rows as a Parquet table in the shared folder: computed once, and there whatever executor is lost."""
+    return write_parquet(df, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}", **options)

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from signpost.llm import common, jaccard_join
+from signpost.session import CLEANUP
 
 
 def shuffle_files(spark):
@@ -23,7 +24,7 @@ def test_written_rows_leave_no_exchange(spark):
         time.sleep(0.2)
     # the count is an execution of its own and may keep its one row
     assert len({f.split("_")[1] for f in shuffle_files(spark) - before}) <= 1
-    assert spark.conf.get(common.CLEANUP, "false") == "false"
+    assert spark.conf.get(CLEANUP, "false") == "false"
 
 
 def test_sketches_are_lower_bounds():
