@@ -63,3 +63,12 @@ def test_parts_of_a_cell_in_any_order(spark, monkeypatch):
     monkeypatch.setattr(B, "ENTRIES_PER_BLOCK", 6)
     monkeypatch.setattr(B, "POSTINGS_PER_BLOCK", 20)
     assert ranked() == whole and all(whole)
+
+
+def test_triggers_are_not_exchanged_beside_the_cells(spark):
+    """What entries' triggers hold is written first, so that its exchanges are gone when the cells are dealt out."""
+    catalog = entries(spark, [{"name": f"e{i}", "description": "one", "triggers": [f"trigger{i}"]} for i in range(9)])
+    queries = ask(spark, "trigger1 trigger2")
+    found = L.trigger_stage(catalog, queries)["found"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Scan parquet" in plan and found.filter(F.col("word") == "trigger1").count() == 1
